@@ -62,7 +62,7 @@ def session():
 
     return build_session(
         "compare",
-        **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
            "spark.log.level": "ERROR"},
     )
 
@@ -73,7 +73,9 @@ def main():
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark, con = session(), duck(sf_dir)
     queries, oracles = E.queries(), E.oracle_sql()
-    picked = [q for q in queries if not names or any(q == n or (n.endswith("*") and q.startswith(n[:-1])) for n in names)]
+    for n in [n for n in names if n.startswith("@")]:
+        names += list(__import__("importlib").import_module(f"wayloom.plans.{n[1:]}").QUERIES)
+    picked = [q for q in queries if not names or q in names]
     bad = 0
     for name in picked:
         t = time.time()

@@ -65,3 +65,121 @@ MEASUREMENTS = """measurements AS (
 
 def with_tables(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# --- places derived from the customer, supplier and nation tables ----------------------------------------------------
+SEGMENT_CATEGORY = {
+    "BUILDING": (["edificio"] * 5, ["house", "apartments", "residential", "warehouse", "yes"]),
+    "FURNITURE": (
+        ["business"] * 25,
+        ["wholesale", "trade", "butcher", "seafood", "greengrocer", "bakery", "beverages", "alcohol", "supermarket",
+         "convenience", "hardware", "stationery", "sports", "chemist", "car_parts", "cosmetics", "laundry", "company",
+         "lawyer", "insurance", "clothes", "shoes", "deli", "optician", "car"],
+    ),
+    "HOUSEHOLD": (["food_drink"] * 5, ["restaurant", "cafe", "bar", "pub", "fast_food"]),
+    "MACHINERY": (
+        ["school", "hospital", "leisure", "sport", "alojamiento"], ["school", "pharmacy", "museum", "fitness_centre", "hotel"],
+    ),
+    "AUTOMOBILE": (
+        ["taller", "belleza", "mall", "taller", "leisure"], ["car_repair", "hairdresser", "mall", "tyres", "nightclub"],
+    ),
+}
+PLACE_NAMES = [
+    "Café Central", "Cafe Central Malta", "La Marina", "Marina Bar", "Farmacia Nueva", "Ottica Rossi", "Óptica Rossi",
+    "Garage Vella", "Vella & Sons", "Peluquería Ana", "Ana", "Palace Hotel",
+]
+
+
+def _lookup(side: int, quote_list, index) -> str:
+    cases = " ".join(
+        f"WHEN '{segment}' THEN {quote_list(parts[side], index('c_nationkey', len(parts[side])))}"
+        for segment, parts in SEGMENT_CATEGORY.items()
+    )
+    return f"CASE c_mktsegment {cases} END"
+
+
+def _items(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _spark_list(values, place) -> str:
+    return f"element_at(array({_items(values)}), {place})"
+
+
+def _duck_list(values, place) -> str:
+    return f"([{_items(values)}])[{place}]"
+
+
+def _place(key, size) -> str:
+    return f"CAST({key} % {size} AS INT) + 1"
+
+
+def lat_of(key: str) -> str:
+    return f"35.84e0 + (({key} * 7919) % 9973) / 9973e0 * 0.1e0"
+
+
+def lon_of(key: str) -> str:
+    return f"14.44e0 + (({key} * 104729) % 9967) / 9967e0 * 0.14e0"
+
+
+def _pois_sql(pick, source: str) -> str:
+    return f"""SELECT CASE WHEN c_nationkey < 13 THEN 'node' ELSE 'way' END AS osm_type, c_custkey AS osm_id,
+    {_lookup(0, pick, _place)} AS category, {_lookup(1, pick, _place)} AS subcategory,
+    {pick(PLACE_NAMES, _place("c_custkey", len(PLACE_NAMES)))} AS name,
+    {lat_of("c_custkey")} AS latitude, {lon_of("c_custkey")} AS longitude, c_acctbal, c_nationkey FROM {source}"""
+
+
+def _second_sql(pick, source: str) -> str:
+    return f"""SELECT s_suppkey AS place_id, {pick(["restaurant", "retail", "services"], _place("s_nationkey", 3))} AS category,
+    {pick(PLACE_NAMES, _place("s_suppkey", len(PLACE_NAMES)))} AS name,
+    {lat_of("(s_suppkey * 15 + 7)")} + 0.0002e0 AS latitude, {lon_of("(s_suppkey * 15 + 7)")} AS longitude FROM {source}"""
+
+
+def _zones_sql(source: str) -> str:
+    return f"""SELECT n_name AS zone, n_nationkey AS zone_order, 35.845e0 + ((n_nationkey * 37) % 25) / 25e0 * 0.09e0 AS zone_lat,
+    14.45e0 + ((n_nationkey * 53) % 23) / 23e0 * 0.12e0 AS zone_lon FROM {source}"""
+
+
+POIS = f"pois AS ({_pois_sql(_duck_list, 'customer')})"
+SECOND = f"second AS ({_second_sql(_duck_list, 'supplier')})"
+ZONES = f"zones AS ({_zones_sql('nation')})"
+
+
+def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One POI per customer."""
+    return spark.sql(_pois_sql(_spark_list, "{src}"), src=table(spark, sf_dir, "customer"))
+
+
+def second_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One place of the second source per supplier."""
+    return spark.sql(_second_sql(_spark_list, "{src}"), src=table(spark, sf_dir, "supplier"))
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One zone per nation."""
+    return spark.sql(_zones_sql("{src}"), src=table(spark, sf_dir, "nation"))
+
+
+POPULATION = """population AS (
+  SELECT n_name AS zone, CAST(year(o_orderdate) AS VARCHAR) AS date, year(o_orderdate)::INT AS year, count(*) AS population, o_orderpriority AS source
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE year(o_orderdate) < 1998 + n_nationkey % 5 GROUP BY ALL),
+national AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS date, year(o_orderdate)::INT AS year, count(*) AS population FROM orders GROUP BY ALL)"""
+
+
+def population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders per nation, year and priority as a population history; each nation's series stops at its own year."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    year = F.year("o_orderdate")
+    return (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .filter(year < F.col("n_nationkey") % 5 + 1998)
+        .groupBy(F.col("n_name").alias("zone"), year.cast("string").alias("date"), year.alias("year"), F.col("o_orderpriority").alias("source"))
+        .agg(F.count("*").alias("population"))
+    )
+
+
+def national_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = F.year("o_orderdate")
+    return table(spark, sf_dir, "orders").groupBy(year.cast("string").alias("date"), year.alias("year")).agg(F.count("*").alias("population"))
