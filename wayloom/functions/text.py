@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.taxonomy import OUT_OF_SCOPE, SECTOR_NAMES
@@ -96,34 +96,41 @@ def keyword_category(text: Column, rules: Mapping[str, Sequence[str]]) -> tuple[
 
 
 def out_of_scope(text: Column, rules: Mapping[str, tuple[str, Sequence[str]]] = OUT_OF_SCOPE) -> Column:
-    """(position, -length, activity) of the earliest hit, the longest at equal position; NULL without one."""
+    """(position, -length, rank, activity) of the earliest hit, the longest at equal position; NULL without one.
+
+    Longer keywords come first in each pattern, so at one position the longest of an activity matches."""
     hits = []
     for order, (activity, (_, words)) in enumerate(rules.items()):
-        for word in words:
-            spot = first_position(text, word_pattern(word))
-            length = F.length(F.regexp_extract(text, f"({word_pattern(word)})", 1))
-            hits.append(
-                F.when(
-                    spot.isNotNull(),
-                    F.struct(spot.alias("position"), (-length).alias("minus_length"), F.lit(order).alias("rank"), F.lit(activity).alias("activity")),
-                )
-            )
+        pattern = _any_of(sorted(words, key=len, reverse=True))
+        spot = first_position(text, pattern)
+        length = F.length(F.regexp_extract(text, f"({pattern})", 1))
+        found = F.struct(
+            spot.alias("position"), (-length).alias("minus_length"), F.lit(order).alias("rank"), F.lit(activity).alias("activity")
+        )
+        hits.append(F.when(spot.isNotNull(), found))
     return F.array_min(F.filter(F.array(*hits), lambda h: h.isNotNull()))
 
 
-def interpret(text: Column, rules: Mapping[str, Sequence[str]], model_category: Column | None = None) -> Column:
-    """(category, activity, source): keywords first, an activity out of scope when it is named before any business,
-    and the answer of a trained model only where neither speaks."""
-    category, spot = keyword_category(text, rules)
-    outside = out_of_scope(text)
-    refused = outside.isNotNull() & (spot.isNull() | (outside["position"] < spot))
-    answer = F.when(refused, F.lit(None)).otherwise(category)
-    learned = model_category if model_category is not None else F.lit(None).cast("string")
-    return F.struct(
-        F.when(refused, F.lit(None)).otherwise(F.coalesce(answer, learned)).alias("category"),
-        F.when(refused, outside["activity"]).alias("activity"),
-        F.when(refused, "fuera_de_alcance").when(answer.isNotNull(), "palabras_clave").when(learned.isNotNull(), "modelo").alias("source"),
-    )
+def interpret(
+    df: DataFrame, text: str, rules: Mapping[str, Sequence[str]], model_category: str | None = None,
+    outside: Mapping[str, tuple[str, Sequence[str]]] = OUT_OF_SCOPE,
+) -> DataFrame:
+    """Adds category, activity and source for a normalised text: keywords first, an activity out of scope when it is
+    named before any business, and the answer of a trained model only where neither speaks."""
+    category, spot = keyword_category(F.col(text), rules)
+    read = df.withColumns({"_keyword": category, "_spot": spot, "_outside": out_of_scope(F.col(text), outside)})
+    earlier = F.col("_spot").isNull() | (F.col("_outside.position") < F.col("_spot"))
+    read = read.withColumn("_refused", F.col("_outside").isNotNull() & earlier)
+    learned = F.col(model_category) if model_category is not None else F.lit(None).cast("string")
+    return read.withColumns(
+        {
+            "category": F.when(~F.col("_refused"), F.coalesce("_keyword", learned)),
+            "activity": F.when(F.col("_refused"), F.col("_outside.activity")),
+            "source": F.when(F.col("_refused"), "fuera_de_alcance")
+            .when(F.col("_keyword").isNotNull(), "palabras_clave")
+            .when(learned.isNotNull(), "modelo"),
+        }
+    ).drop("_keyword", "_spot", "_outside", "_refused")
 
 
 def sector(category: Column, activity: Column) -> Column:

@@ -157,7 +157,5 @@ def recommend(interpreted: DataFrame, ranked: DataFrame) -> DataFrame:
         F.when(F.col("activity").isNotNull(), F.concat(F.lit("fuera de alcance: "), "activity"))
         .when(F.col("category").isNull(), "tipo de negocio no identificado")
     )
-    asked = interpreted.withColumn("motivo", reason)
-    answers = asked.filter(F.col("motivo").isNull()).join(ranked.select("category", "zone", "score", "puesto"), "category")
-    refused = asked.filter(F.col("motivo").isNotNull())
-    return answers.unionByName(refused, allowMissingColumns=True)
+    answers = ranked.select("category", "zone", "score", "puesto")
+    return interpreted.withColumn("motivo", reason).join(answers, "category", "left")

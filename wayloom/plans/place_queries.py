@@ -359,8 +359,7 @@ register("zone_score_with_lenses", zone_score_with_lenses)
 
 def recommended(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", X.business_text(F.col("p_name")).alias("t"))
-    c = X.interpret(F.col("t"), {"food_drink": GOODS["joyeria"], "business": GOODS["ferreteria"]})
-    asked = p.select("p_partkey", c["category"].alias("category"), c["activity"].alias("activity"))
+    asked = X.interpret(p, "t", {"food_drink": GOODS["joyeria"], "business": GOODS["ferreteria"]})
     best = Z.rank_zones(scored(spark, sf).withColumn("score", shown(F.col("score")))).filter(F.col("puesto") == 1)
     return Z.recommend(asked, best).select("p_partkey", "category", "zone", "score", "motivo")
 

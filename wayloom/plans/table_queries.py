@@ -441,8 +441,8 @@ register(
 )
 register(
     "interpreted_texts",
-    lambda spark, sf: (lambda p, c: p.select("p_partkey", c["category"].alias("category"), c["source"].alias("source"), X.sector_name(X.sector(c["category"], c["activity"])).alias("sector")))(
-        table(spark, sf, "part").select("p_partkey", X.business_text(F.col("p_name")).alias("t")), X.interpret(F.col("t"), GOODS)),
+    lambda spark, sf: X.interpret(table(spark, sf, "part").select("p_partkey", X.business_text(F.col("p_name")).alias("t")), "t", GOODS).select(
+        "p_partkey", "category", "source", X.sector_name(X.sector(F.col("category"), F.col("activity"))).alias("sector")),
     f"""WITH p AS (SELECT p_partkey, lower(p_name) AS t FROM part),
     w AS (SELECT p_partkey, {", ".join(f"least({', '.join(_first(x + s) for x in ws for s in ('', 's', 'es'))}) AS {c}" for c, ws in GOODS.items())} FROM p)
     SELECT p_partkey, CASE WHEN joyeria IS NOT NULL THEN 'joyeria' WHEN ferreteria IS NOT NULL THEN 'ferreteria' WHEN menaje IS NOT NULL THEN 'menaje' END AS category,
