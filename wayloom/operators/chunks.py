@@ -44,31 +44,37 @@ def with_previous_rows(
     values: Sequence[str],
     add: Callable[[Window], dict[str, Column]],
     chunk: Column,
+    after: int = 0,
 ) -> DataFrame:
-    """Adds window columns that look at most `rows` rows back in the order of each key.
+    """Adds window columns that look at most `rows` rows back and `after` rows ahead in the order of each key.
 
-    Each (key, chunk) is a window partition of its own. The last `rows` rows before a chunk are copied into it, used by
-    the window and dropped again. Only those tails are exchanged between chunks: every chunk that exists has at least
-    one row, so the `rows` chunks before it are enough to find them."""
-    keys, order, values = list(keys), list(order), list(values)
+    Each (key, chunk) is a window partition of its own. The last `rows` rows before a chunk and the first `after` rows
+    behind it are copied into it, used by the window and dropped again. Only those edges are exchanged between chunks:
+    every chunk that exists has at least one row, so that many neighbouring chunks are enough to find them."""
+    keys, order = list(keys), list(order)
     base = df.withColumn("_chunk", chunk)
-    newest_first = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order])
+    both = base.withColumn("_halo", F.lit(False))
     payload = F.struct(*order, *[v for v in values if v not in order])
-    tails = (
-        base.select(*keys, "_chunk", payload.alias("_row"), *order)
-        .withColumn("_rn", F.row_number().over(newest_first))
-        .filter(F.col("_rn") <= rows)
-        .groupBy(*keys, "_chunk")
-        .agg(F.sort_array(F.collect_list("_row")).alias("_tail"))
-    )
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    earlier = F.flatten(F.collect_list("_tail").over(by_chunk.rowsBetween(-rows, -1)))
-    halo = (
-        tails.withColumn("_prev", earlier)
-        .select(*keys, "_chunk", F.explode(F.slice("_prev", F.greatest(F.size("_prev") - rows + 1, F.lit(1)), rows)).alias("_row"))
-        .select(*keys, "_chunk", "_row.*", F.lit(True).alias("_halo"))
-    )
-    both = base.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    for count, ahead in ((rows, False), (after, True)):
+        if not count:
+            continue
+        from_edge = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).asc() if ahead else F.col(c).desc() for c in order])
+        edges = (
+            base.select(*keys, "_chunk", payload.alias("_row"), *order)
+            .withColumn("_rn", F.row_number().over(from_edge))
+            .filter(F.col("_rn") <= count)
+            .groupBy(*keys, "_chunk")
+            .agg(F.sort_array(F.collect_list("_row")).alias("_edge"))
+        )
+        frame = by_chunk.rowsBetween(1, count) if ahead else by_chunk.rowsBetween(-count, -1)
+        start = F.lit(1) if ahead else F.greatest(F.size("_near") - count + 1, F.lit(1))
+        halo = (
+            edges.withColumn("_near", F.flatten(F.collect_list("_edge").over(frame)))
+            .select(*keys, "_chunk", F.explode(F.slice("_near", start, count)).alias("_row"))
+            .select(*keys, "_chunk", "_row.*", F.lit(True).alias("_halo"))
+        )
+        both = both.unionByName(halo, allowMissingColumns=True)
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return both.withColumns(add(local)).filter(~F.col("_halo")).drop("_halo", "_chunk")
 
