@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -46,7 +47,7 @@ def two_sided_p(t: float, df: float) -> float | None:
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value of a t statistic."""
     return pd.Series([two_sided_p(a, b) for a, b in zip(t, df)], dtype="float64")
@@ -59,7 +60,7 @@ def pooled_t(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Col
     return (m1 - m2) / F.nullif(sd * F.sqrt(F.lit(1.0) / n1 + F.lit(1.0) / n2), F.lit(0.0)), df, sd
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def partial_autocorrelation(acf: pd.Series) -> pd.Series:
     """Durbin-Levinson recursion over the autocorrelations of lags 0..k."""
     def one(r):
@@ -75,7 +76,7 @@ def partial_autocorrelation(acf: pd.Series) -> pd.Series:
     return pd.Series([one(np.asarray(a, dtype=float)) for a in acf])
 
 
-@F.pandas_udf("struct<coefficient:double,std_error:double>")
+@F.pandas_udf(StructType().add("coefficient", DoubleType()).add("std_error", DoubleType()))
 def regression_term(gram: pd.Series, cross: pd.Series, yy: pd.Series, n: pd.Series, index: pd.Series) -> pd.DataFrame:
     """One coefficient and its standard error from the sums X'X (row-major), X'y and y'y."""
     rows = []

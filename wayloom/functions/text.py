@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from wayloom.functions.taxonomy import OUT_OF_SCOPE, SECTOR_NAMES
 
@@ -23,13 +24,13 @@ def plain_latin(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_folded(text: pd.Series) -> pd.Series:
     """Lower case, compatibility-decomposed, everything outside ASCII dropped."""
     return text.str.lower().str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unmarked(text: pd.Series) -> pd.Series:
     """Lower case, compatibility-decomposed, combining marks dropped, other scripts kept."""
     decomposed = text.str.lower().str.normalize("NFKD")
@@ -150,7 +151,7 @@ def name_tokens(normalised: Column, stop: Sequence[str] = ()) -> Column:
     return F.array_except(words, F.array(*[F.lit(s) for s in stop]).cast("array<string>"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
