@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("measurement_queries", "table_queries", "place_queries", "series_queries", "study_queries", "map_queries")
+MODULES = ("measurement_queries", "table_queries", "place_queries", "series_queries", "study_queries", "map_queries", "model_queries")
 
 
 def _modules():
