@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -14,9 +15,11 @@ from pyspark.ml.feature import (
     IDF, PCA, CountVectorizer, Imputer, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from wayloom.functions import scalars as S
 from wayloom.functions.taxonomy import STUDY_CATEGORIES
@@ -32,6 +35,7 @@ TRAVEL_FEATURES = ["hour_of_day", "day_of_week", "temperature", "humidity", "no_
 MIN_EXPECTED = 1e-3
 ENSEMBLE_WEIGHTS = {"random_forest": 0.5, "gradient_boosting": 0.5}
 CELL = ["fila", "col"]
+SPARSE = 0
 RINGS = ("celda", "anillo1", "anillo2")
 
 
@@ -394,8 +398,8 @@ def closure_study(frame: DataFrame, gate: DataFrame, repeats: int = 10, folds: i
 
 
 # --- phrases ---------------------------------------------------------------------------------------------------------
-def fit_vectoriser(phrases: DataFrame, text: str, low: int = 2, high: int = 5, vocabulary: int = 1 << 18) -> PipelineModel:
-    """Term weighting of character n-grams inside words."""
+def fit_vectoriser(phrases: DataFrame, text: str, low: int = 2, high: int = 5, vocabulary: int = 1 << 18):
+    """Fitted counting and weighting of character n-grams inside words."""
     rows = with_ngrams(phrases, text, low, high)
     counts = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=vocabulary).fit(rows)
     damped = damp(counts.transform(rows))
@@ -408,15 +412,20 @@ def with_ngrams(df: DataFrame, text: str, low: int = 2, high: int = 5) -> DataFr
 
 
 def damp(df: DataFrame) -> DataFrame:
-    """1 + log of every positive term count, the vector staying sparse."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-    import numpy as np
+    """1 + log of every positive term count, the vector staying sparse. Batches of rows pass through Arrow."""
+    schema = StructType([f for f in df.schema.fields if f.name not in ("_grams", "_tf")] + [StructField("_ltf", VectorUDT())])
+    kept = [f.name for f in schema.fields[:-1]]
 
-    @F.udf(VectorUDT())
-    def sublinear(v):
-        return SparseVector(v.size, v.indices, 1.0 + np.log(v.values)) if v.indices.size else v
+    def sublinear(batches):
+        for batch in batches:
+            out = batch[kept].copy()
+            out["_ltf"] = [
+                {"type": SPARSE, "size": v["size"], "indices": v["indices"], "values": 1.0 + np.log(v["values"])}
+                for v in batch["_tf"]
+            ]
+            yield out
 
-    return df.withColumn("_ltf", sublinear("_tf"))
+    return df.mapInPandas(sublinear, schema)
 
 
 def vectorise(fitted, df: DataFrame, text: str, low: int = 2, high: int = 5) -> DataFrame:
@@ -425,12 +434,13 @@ def vectorise(fitted, df: DataFrame, text: str, low: int = 2, high: int = 5) ->
 
 
 def fit_phrases(train: DataFrame, text: str, label: str, c: float = 10.0, low: int = 2, high: int = 5, vocabulary: int = 1 << 18):
-    """Multinomial logistic model with balanced class weights on the weighted n-grams."""
+    """Multinomial logistic model with balanced class weights on the weighted n-grams. The vectors are written once; the
+    iterations read them instead of cutting the texts again."""
     fitted = fit_vectoriser(train, text, low, high, vocabulary)
     sizes = train.groupBy(label).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_total"), F.count("*").alias("_k")).withColumn("_one", F.lit(1))
     weights = sizes.withColumn("_one", F.lit(1)).join(total, "_one").select(label, (F.col("_total") / (F.col("_k") * F.col("_n"))).alias("_w"), "_total")
-    rows = vectorise(fitted, train, text, low, high).join(weights, label)
+    rows = checkpointed(vectorise(fitted, train, text, low, high).select(label, "features")).join(weights, label)
     n = train.count()
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
     model = LogisticRegression(labelCol="_label", weightCol="_w", family="multinomial", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=100).fit(index.transform(rows))
