@@ -36,7 +36,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(traffic, F.col("value") * 0.8).alias("no_traffic_time_min"),
         F.when(traffic, travel - F.col("value") * 0.8).alias("traffic_delay_min"),
         distance.alias("distance_km"),
-        (distance * 60 / F.col("value")).alias("average_speed_kmh"),
+        (distance * 60 / F.nullif(F.col("value"), F.lit(0.0))).alias("average_speed_kmh"),
         F.when(eid % 11 == 0, None).otherwise(k * 0.3 + 5).alias("origin_temperature"),
         (k % 50 + 40).cast("double").alias("origin_humidity"),
         F.when(k % 4 == 0, "clear sky").when(k % 4 == 1, "broken clouds").when(k % 4 == 2, "light rain").alias("origin_weather"),
@@ -53,7 +53,7 @@ MEASUREMENTS = """measurements AS (
     CASE WHEN event_id % 3 = 0 THEN value * 0.8::DOUBLE END AS no_traffic_time_min,
     CASE WHEN event_id % 3 = 0 AND event_id % 50 <> 7 THEN value - value * 0.8::DOUBLE END AS traffic_delay_min,
     (user_id % 10 + 5)::DOUBLE AS distance_km,
-    (user_id % 10 + 5)::DOUBLE * 60 / value AS average_speed_kmh,
+    (user_id % 10 + 5)::DOUBLE * 60 / nullif(value, 0) AS average_speed_kmh,
     CASE WHEN event_id % 11 <> 0 THEN k * 0.3::DOUBLE + 5 END AS origin_temperature,
     (k % 50 + 40)::DOUBLE AS origin_humidity,
     CASE k % 4 WHEN 0 THEN 'clear sky' WHEN 1 THEN 'broken clouds' WHEN 2 THEN 'light rain' END AS origin_weather,

@@ -220,7 +220,7 @@ register(
     legacy_merge,
     MEAS + f"""SELECT origin, destination, CASE WHEN data_source = 'base' THEN 'ors' ELSE 'tomtom' END AS data_source,
     CASE WHEN travel_time_min > 20 THEN 'Alta demora' ELSE 'Movilidad normal' END AS mobility_level, count(*) AS n,
-    {r6("sum(CASE WHEN data_source = 'base' THEN round(distance_km / (travel_time_min / 60), 2) ELSE average_speed_kmh END)", 3)} AS speed,
+    {r6("sum(CASE WHEN data_source = 'base' THEN round(distance_km / nullif(travel_time_min / 60, 0), 2) ELSE average_speed_kmh END)", 3)} AS speed,
     count(CASE WHEN data_source = 'base' THEN origin_temperature ELSE destination_temperature END) AS temperatures FROM measurements GROUP BY 1, 2, 3, 4""",
 )
 register(
