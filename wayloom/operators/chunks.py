@@ -144,19 +144,21 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per key.
 
-    Counts per value range say in which range each wanted position lies; only the rows of those ranges are sorted. No
-    task ever holds the values of a whole key, and most rows are never exchanged."""
+    Equal values are counted first, before the exchange, and everything after works on those counts. Counts per value
+    range say in which range each wanted position lies; only the values of those ranges are sorted. No task ever holds
+    the values of a whole key."""
     keys = list(keys)
     base = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_val"))
-    tagged = value_chunks(base, keys, "_val", parts)
-    per_chunk = tagged.groupBy(*keys, "_chunk").agg(F.count("*").alias("_c"))
+    counts = base.groupBy(*keys, "_val").agg(F.count("*").alias("_c"))
+    tagged = value_chunks(counts, keys, "_val", parts)
+    per_chunk = tagged.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_k"))
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     located = per_chunk.select(
         *keys,
         "_chunk",
-        (F.sum("_c").over(by_chunk) - F.col("_c")).alias("_start"),
-        F.sum("_c").over(by_chunk).alias("_stop"),
-        F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"),
+        (F.sum("_k").over(by_chunk) - F.col("_k")).alias("_start"),
+        F.sum("_k").over(by_chunk).alias("_stop"),
+        F.sum("_k").over(Window.partitionBy(*keys)).alias("_n"),
     )
     spots = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in wanted.items()}
     inside = F.lit(False)
@@ -164,11 +166,7 @@ def exact_percentiles(
         for place in (F.floor(spot), F.ceil(spot)):
             inside = inside | ((place >= F.col("_start")) & (place < F.col("_stop")))
     needed = located.filter(inside).drop("_stop")
-    counted = (
-        tagged.join(needed, [*keys, "_chunk"])
-        .groupBy(*keys, "_chunk", "_val", "_start", "_n")
-        .agg(F.count("*").alias("_c"))
-    )
+    counted = tagged.join(needed, [*keys, "_chunk"])
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_chunk").orderBy("_val"))
     placed = counted.withColumn("_to", F.col("_start") + upto).withColumn("_from", F.col("_to") - F.col("_c"))
 

@@ -71,26 +71,25 @@ def compute_lenses(counts: DataFrame, rules: DataFrame, profiles: Sequence[str]
 
     lens_pairs = members.select("profile", "lens", "category", "subcategory").distinct()
     lens_cells = lens_pairs.join(counts, ["category", "subcategory"]).groupBy("profile", "lens", *CELL).agg(F.sum("n").alias("n"))
-    support = scatter(lens_cells, ["profile", "lens"], "n", (1.0, 1.0), grid).groupBy("profile", *CELL).pivot(
-        "lens", ["competencia", "mercado", "proveedores"]
-    ).agg(F.sum("v"))
-    support = support.select("profile", *CELL, *[F.col(x).alias(f"apoyo_{x}") for x in ("competencia", "mercado", "proveedores")])
-
-    tops = values.filter(F.col("lens") == "mercado").groupBy(*key).agg(F.max("v").alias("top"))
-    scaled = values.filter(F.col("lens") == "mercado").join(tops, key).groupBy("profile", *CELL).agg(
-        F.sum(F.when(F.col("top") > 0, F.col("v") / F.col("top")).otherwise(0.0)).alias("_scaled")
+    near = scatter(lens_cells, ["profile", "lens"], "n", (1.0, 1.0), grid)
+    support = near.groupBy("profile", *CELL).agg(
+        *[F.sum(F.when(F.col("lens") == x, F.col("v"))).alias(f"apoyo_{x}") for x in ("competencia", "mercado", "proveedores")]
     )
-    suppliers = values.filter(F.col("lens") == "proveedores").groupBy("profile", *CELL).agg(
-        F.sum("v").alias("_suppliers"), F.count_if(F.col("v") > 0).alias("_present")
+
+    # one row per cell of the grid at most in each element: its maximum fits a window
+    top = F.max("v").over(Window.partitionBy(*key))
+    marked = values.withColumns({"_column": column, "_share": F.when(top > 0, F.col("v") / top).otherwise(0.0)})
+    wide = marked.groupBy("profile", *CELL).agg(
+        *[F.sum(F.when(F.col("_column") == c, F.col("v"))).alias(c) for c in element_columns()],
+        F.sum(F.when(F.col("lens") == "mercado", F.col("_share"))).alias("_scaled"),
+        F.sum(F.when(F.col("lens") == "proveedores", F.col("v"))).alias("_suppliers"),
+        F.count_if((F.col("lens") == "proveedores") & (F.col("v") > 0)).alias("_present"),
     )
-    wide = values.withColumn("_column", column).groupBy("profile", *CELL).pivot("_column", element_columns()).agg(F.sum("v"))
 
     measured = members.select(*key).distinct().withColumn("_data", F.lit(True))
-    asked = rules.select(*key).distinct().join(measured, key, "left")
-    flags = asked.withColumn("_column", F.concat(F.lit("_has_"), column)).groupBy("profile").pivot(
-        "_column", [f"_has_{c}" for c in element_columns()]
-    ).agg(F.max("_data"))
-    totals = asked.groupBy("profile").agg(
+    asked = rules.select(*key).distinct().join(measured, key, "left").withColumn("_column", column)
+    flags = asked.groupBy("profile").agg(
+        *[F.max(F.when(F.col("_column") == c, F.col("_data"))).alias(f"_has_{c}") for c in element_columns()],
         F.count_if((F.col("lens") == "competencia")).alias("_n_rivals"),
         F.count_if((F.col("lens") == "mercado") & F.col("_data")).alias("_n_market"),
         F.count_if((F.col("lens") == "proveedores") & F.col("_data")).alias("_n_suppliers"),
@@ -99,9 +98,9 @@ def compute_lenses(counts: DataFrame, rules: DataFrame, profiles: Sequence[str]
 
     spine = active_cells(counts, grid).withColumn("profile", F.explode(F.array(*[F.lit(p) for p in profiles])))
     joined = spine
-    for part in (wide, support, scaled, suppliers):
+    for part in (wide, support):
         joined = joined.join(part, ["profile", *CELL], "left")
-    joined = joined.join(flags, "profile", "left").join(totals, "profile", "left")
+    joined = joined.join(flags, "profile", "left")
 
     def counted(name: str) -> Column:
         """Zero where the element has data but this cell has none; competition is always an observed count."""
