@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.llm.bits import bit_filter, passes
 from wayloom.llm.shared import stored
-from wayloom.llm.shingles import U64, WIDTH, row_groups, shingle_hashes
+from wayloom.llm.shingles import WIDTH, row_groups, shingle_hashes
 
 PERCENT = 75
-FILTER_BITS = 24
-_SLOTS_OF_BUCKET = 32768
 
 
 def _hashes(df: DataFrame, key: str, width: int, wanted: np.ndarray | None = None) -> DataFrame:
@@ -28,11 +27,7 @@ def _hashes(df: DataFrame, key: str, width: int, wanted: np.ndarray | None = Non
         for batch in batches:
             for lo, hi, data, bounds in row_groups(batch.column("text")):
                 values, runs = shingle_hashes(data, bounds, width)
-                if wanted is None:
-                    take = np.arange(len(values))
-                else:
-                    slots = values >> U64(64 - FILTER_BITS)
-                    take = np.flatnonzero(wanted[slots >> U64(3)] >> (slots & U64(7)).astype(np.uint8) & np.uint8(1))
+                take = np.arange(len(values)) if wanted is None else np.flatnonzero(passes(wanted, values))
                 if not len(take):
                     continue
                 row = np.searchsorted(np.cumsum(runs), take, "right")
@@ -66,17 +61,6 @@ def item_sketches(benchmark: DataFrame, percent: int = PERCENT, width: int = WID
     return whole.select("item_id", "n", "need", "size_class", F.posexplode("all").alias("rank", "shingle")).withColumn("in_sketch", F.col("rank") <= F.col("n") - F.col("need")).drop("rank")
 
 
-def _bit_filter(items: DataFrame) -> np.ndarray:
-    """One bit for each of 2^24 slots of the hash, set where an item has a shingle: two megabytes, whatever the tables hold."""
-    slot = F.shiftrightunsigned("shingle", 64 - FILTER_BITS)
-    parts = items.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / _SLOTS_OF_BUCKET).alias("bucket")).agg(F.expr(f"bitmap_construct_agg(slot % {_SLOTS_OF_BUCKET})").alias("bits"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in parts.toLocalIterator():
-        at = int(r["bucket"]) * _SLOTS_OF_BUCKET // 8
-        out[at : at + _SLOTS_OF_BUCKET // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
 def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Pairs (doc_id, item_id, n, common): documents with at least `percent` of an item's distinct `width`-word shingles.
 
@@ -87,7 +71,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     rows of one doc_id count as one document, rows of one item_id as one item.
     """
     items = stored(item_sketches(benchmark, percent, width), "bench-items")
-    hits = stored(_hashes(docs.filter("doc_id is not null"), "doc_id", width, _bit_filter(items)), "bench-hits")
+    hits = stored(_hashes(docs.filter("doc_id is not null"), "doc_id", width, bit_filter(items, "shingle")), "bench-hits")
     sketch = items.filter("in_sketch").select("item_id", "need", "shingle")
     candidates = hits.join(sketch, "shingle").filter("set_size >= need").select("doc_id", "item_id").distinct()
     whole = hits.select("doc_id", "shingle").distinct().join(items.select("item_id", "n", "need", "shingle"), "shingle")

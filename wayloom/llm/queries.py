@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm import bpe, decontamination, exact_dedup, language_id, near_dedup
+from wayloom.llm import bpe, decontamination, exact_dedup, html_text, language_id, line_dedup, near_dedup, pii, sharding, url_filter
 from wayloom.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,10 +25,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents")).select("row.doc_id", "n_entities", "kinds", "text")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +49,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encoding(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_assignment(table(spark, sf_dir, "documents")).select("row.doc_id", "n_bytes", "shard", "depth", "page", "shard_bytes", "oversize")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "held_out", "lang_pred", "score")
 
@@ -52,6 +72,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op3_minhash_near_dedup, op6_decontamination, op7_bpe, op10_language_id, pipeline)
+    for f in (
+        op1_exact_dedup, op2_surrogates, op3_minhash_near_dedup, op4_url_filter, op5_html_text, op6_decontamination, op7_bpe, op8_line_dedup, op9_sharding, op10_language_id, pipeline,
+    )
 }
-ORACLE = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+ORACLE = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op9_sharding": sharding.OP9_SQL}
