@@ -375,7 +375,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FR
 def dedup_lines(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
     """The rows of docs with the lines that are not kept taken out of text; a text that loses none, or is null, stays as it is."""
     gone = line_classes(docs, edits, fuzzy_from).filter(~F.col("kept")).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "gone")
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    left = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not array_contains(gone, i)), '\\n')")
-    return joined.select(*[F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    joined = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_hash")), "left")
+    left = F.expr("array_join(filter(split(d.text, '\\n', -1), (l, i) -> not array_contains(g.gone, i)), '\\n')")
+    text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(left).alias("text")
+    return joined.select(*[text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
