@@ -16,8 +16,10 @@ COORDINATES = 32
 THRESHOLD = 11
 PERCENT = 75
 BLOCK = 1024
+FINE = 512
+FINE_LEAST = 333
 _STEP = 1 << 15
-_SKETCH = "row long, doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"
+_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"
 
 
 def _coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,16 +54,27 @@ def sketches(docs: DataFrame, coordinates: int = COORDINATES, width: int = WIDTH
                 lengths = np.cumsum([0] + [len(s) for s in sigs]).astype(np.int32)
                 sig = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row")[lo:hi], batch.column("doc_id")[lo:hi], pa.array(sizes), pa.array(names[:, 0]), pa.array(names[:, 1]), sig],
-                    ["row", "doc_id", "n_shingles", "set_a", "set_b", "sig"],
+                    [batch.column("doc_id")[lo:hi], pa.array(sizes), pa.array(names[:, 0]), pa.array(names[:, 1]), sig],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "sig"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(sketch, _SKETCH)
 
 
+def fine_sketch(values: np.ndarray, times: np.ndarray, plus: np.ndarray) -> bytes:
+    """One byte of each of many more MinHash values: enough to tell most pairs below the wanted similarity from those above."""
+    low = (values >> U64(32)).astype(np.uint32)
+    best = np.full(len(times), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(low), 2048):
+        best = np.minimum(best, (low[at : at + 2048, None] * times + plus).min(axis=0))
+    return ((best * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The distinct shingle hashes of each document: (doc_id, shingles)."""
+    """The distinct shingle hashes of each document and its fine sketch: (doc_id, shingles, fine)."""
+    rng = np.random.default_rng(78)
+    times, plus = rng.integers(1, 2**32, FINE, np.uint32) | np.uint32(1), rng.integers(1, 2**32, FINE, np.uint32)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,14 +85,17 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 lengths = np.cumsum([0] + [len(s) for s in own]).astype(np.int32)
                 values = np.concatenate(own) if own else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.ListArray.from_arrays(pa.array(lengths), pa.array(values.view(np.int64)))], ["doc_id", "shingles"]
+                    [batch.column("doc_id")[lo:hi], pa.ListArray.from_arrays(pa.array(lengths), pa.array(values.view(np.int64))), pa.array([fine_sketch(s, times, plus) for s in own], pa.binary())],
+                    ["doc_id", "shingles", "fine"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sets, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sets, "doc_id long, shingles array<long>, fine binary")
 
 
 def postings(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Documents posted under (place, value) of their signature: (place, value, doc_id, sig), prefixes only.
+    """Documents posted under (place, value) of their signature, prefixes only: (place, value, doc_id, sig, posted).
+
+    `posted` has a bit for each place under which the document is posted.
 
     A pair that agrees in `threshold` coordinates has one of them outside the `threshold` - 1 most frequent entries of
     either side, in one order of all entries by frequency. So entries that no other document has are left out, the
@@ -92,9 +108,10 @@ def postings(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("n", "place", "value"))).alias("e"))
         .filter(F.size("e") >= threshold)
-        .select("doc_id", F.explode(F.expr(f"slice(e, 1, size(e) - {threshold - 1})")).alias("e"))
+        .select("doc_id", F.expr(f"slice(e, 1, size(e) - {threshold - 1})").alias("e"))
+        .select("doc_id", F.expr("aggregate(e, 0L, (m, x) -> m | shiftleft(1L, x.place))").alias("posted"), F.explode("e").alias("e"))
     )
-    return prefix.select("e.place", "e.value", "doc_id").join(sets.select("doc_id", "sig"), "doc_id")
+    return prefix.select("e.place", "e.value", "doc_id", "posted").join(sets.select("doc_id", "sig"), "doc_id")
 
 
 def _agreeing(a: str, b: str) -> str:
@@ -120,11 +137,13 @@ def hub_pairs(posts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
 
 
-def rest_pairs(posts: DataFrame, roots: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def rest_pairs(posts: DataFrame, roots: DataFrame, full: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """All pairs that meet in a posting list, agree in `threshold` coordinates and are in different components so far.
 
     Lists within one component are left out before. Of the others, every document meets those outside the list's largest
-    component, block against block of about `block` documents, each two blocks in a group of their own.
+    component, block against block of about `block` documents, each two blocks in a group of their own. A pair comes from the
+    first list that both are posted in, and only if its fine sketches agree in FINE_LEAST places; a pair at similarity 0.75
+    agrees in fewer with a probability below one in a million.
     """
     posts = posts.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     parts = posts.groupBy("place", "value", "root").agg(F.count("*").alias("n"))
@@ -132,13 +151,13 @@ def rest_pairs(posts: DataFrame, roots: DataFrame, threshold: int = THRESHOLD, b
     blocks = lists.select(
         "place", "value", F.col("main.root").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("xs"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("ys")
     )
-    cut = posts.join(blocks, ["place", "value"])
+    cut = posts.join(blocks, ["place", "value"]).join(full.select("doc_id", "fine"), "doc_id")
     hashed = F.xxhash64("doc_id")
     left = cut.select(
-        "place", "value", F.pmod(hashed, "xs").cast("int").alias("x"), F.explode(F.expr("sequence(0, ys - 1)")).alias("y"), F.lit(0).alias("side"), (F.col("root") == F.col("main")).alias("mains"), "doc_id", "root", "sig"
+        "place", "value", F.pmod(hashed, "xs").cast("int").alias("x"), F.explode(F.expr("sequence(0, ys - 1)")).alias("y"), F.lit(0).alias("side"), (F.col("root") == F.col("main")).alias("mains"), "doc_id", "root", "sig", "posted", "fine"
     )
     right = cut.filter("root <> main").select(
-        "place", "value", F.explode(F.expr("sequence(0, xs - 1)")).alias("x"), F.pmod(hashed, "ys").cast("int").alias("y"), F.lit(1).alias("side"), F.lit(False).alias("mains"), "doc_id", "root", "sig"
+        "place", "value", F.explode(F.expr("sequence(0, xs - 1)")).alias("x"), F.pmod(hashed, "ys").cast("int").alias("y"), F.lit(1).alias("side"), F.lit(False).alias("mains"), "doc_id", "root", "sig", "posted", "fine"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,17 +185,23 @@ def rest_pairs(posts: DataFrame, roots: DataFrame, threshold: int = THRESHOLD, b
 def _meet(held: list[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one group: its left rows against its right rows; two rows that both come on either side, once."""
     rows = pa.Table.from_batches(held)
-    side, mains, ids, roots = (rows[c].to_numpy() for c in ("side", "mains", "doc_id", "root"))
+    side, mains, ids, roots, posted = (rows[c].to_numpy() for c in ("side", "mains", "doc_id", "root", "posted"))
     sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    fine = np.frombuffer(b"".join(rows["fine"].to_pylist()), np.uint8).reshape(len(ids), -1)
+    before = (1 << int(rows["place"][0].as_py())) - 1
+    bits = np.int64(1) << np.arange(sig.shape[1], dtype=np.int64)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     step = max(1, 4096 // max(1, len(right)))
     for at in range(0, len(left), step):
         own = left[at : at + step]
-        good = (roots[own, None] != roots[right]) & (mains[own, None] | (ids[own, None] < ids[right]))
-        good &= (sig[own, None] == sig[right]).sum(axis=2) >= threshold
-        i, j = np.nonzero(good)
-        if len(i):
-            a, b = ids[own[i]], ids[right[j]]
+        i, j = np.nonzero((roots[own, None] != roots[right]) & (mains[own, None] | (ids[own, None] < ids[right])))
+        i, j = own[i], right[j]
+        same = sig[i] == sig[j]
+        good = (same.sum(axis=1) >= threshold) & ((same @ bits) & posted[i] & posted[j] & before == 0)
+        i, j = i[good], j[good]
+        good = (fine[i] == fine[j]).sum(axis=1) >= FINE_LEAST
+        if good.any():
+            a, b = ids[i[good]], ids[j[good]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
@@ -203,18 +228,21 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, coordinates: int = COORD
     full = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width), "near-full")
     first = stored(verified(hub_pairs(posts, threshold), full, percent), "near-links")
     roots = components(first)
-    more = stored(verified(rest_pairs(posts, roots, threshold), full, percent), "near-links")
-    same = named.join(sets.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("set_root")), ["set_a", "set_b", "n_shingles"])
+    more = stored(verified(rest_pairs(posts, roots, full, threshold), full, percent), "near-links")
+    roots_of_sets = sets.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("set_root"))
+    same = named.join(roots_of_sets, ["set_a", "set_b", "n_shingles"])
     repeated = same.filter("doc_id <> set_root").select(F.col("set_root").alias("a"), F.col("doc_id").alias("b")).distinct()
     doubled = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     # Copies hang on their set's first document, unless a doc_id stands in several rows and so ties sets together.
     ties = repeated.join(doubled, F.col("b") == F.col("doc_id"), "left_semi")
     links = first.unionByName(more).unionByName(ties)
     grouped = components(links)
-    found = same.select("row", "set_root").join(grouped.withColumnRenamed("node", "set_root"), "set_root", "left").select("row", "set_root", F.coalesce("root", "set_root").alias("root"))
-    return sketched.select("row", "doc_id", "n_shingles").join(found, "row", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.coalesce("root", "doc_id") == F.col("doc_id")).alias("kept"), F.coalesce("set_root", "doc_id").alias("set_root")
-    ).withColumn("kept", F.coalesce("kept", F.lit(True)))
+    found = sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(roots_of_sets, ["set_a", "set_b", "n_shingles"], "left").join(grouped.withColumnRenamed("node", "set_root"), "set_root", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "set_root", "doc_id"))
+    return found.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("set_root", "doc_id")).alias("set_root"),
+    )
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
