@@ -14,6 +14,7 @@ from wayloom.operators import geo as G
 from wayloom.operators import lenses as N
 from wayloom.operators import matching as H
 from wayloom.operators import scoring as Z
+from wayloom.operators import upserts as U
 
 PER_LAT = 111_194.92664455874
 
@@ -203,10 +204,35 @@ def test_ngrams_of_short_words(spark):
     assert got == [" a", "ab", "b ", " ab", "ab ", " ab ", " c", "c ", " c "]
 
 
-def test_overrides(spark):
-    changed, warnings = T.apply_overrides("food_drink", directa=(), mercado=("turistas", "nadie"))
-    assert changed["directa"] == T.PROFILES["food_drink"]["directa"] and changed["mercado"] == ("turistas",)
-    assert len(warnings) == 2
+def test_wishes(spark):
+    rules, known = T.profile_rules(spark), T.element_rules(spark)
+    wishes = spark.createDataFrame(
+        [("food_drink", "directa", None, None, None, None), ("food_drink", "mercado", "turistas", None, None, None), ("food_drink", "mercado", "nadie", None, None, None),
+         ("food_drink", "indirecta", None, None, None, None), ("business", "directa", None, "business", ["deli"], None)], T.WISH_SCHEMA)
+    custom = T.custom_profiles(rules, wishes, known)
+
+    def part(df, profile, lens, element=None):
+        rows = df.filter((F.col("profile") == profile) & (F.col("lens") == lens)).collect()
+        return sorted((r["element"], r["category"]) for r in rows if element is None or r["element"] == element)
+
+    assert part(custom, "food_drink", "competencia") == part(rules, "food_drink", "competencia", "directa")
+    assert {e for e, _ in part(custom, "food_drink", "mercado")} == {"turistas"}
+    assert part(custom, "food_drink", "proveedores") == part(rules, "food_drink", "proveedores")
+    got = {(r["profile"], r["warning"], r["part"], r["element"]) for r in T.wish_warnings(rules, wishes, known).collect()}
+    assert got == {("food_drink", "unknown element", "mercado", "nadie"), ("food_drink", "default kept", "directa", None)}
+    assert {r["profile"] for r in T.changed_profiles(rules, custom).filter("custom").collect()} == {"food_drink", "business"}
+    shares = {r["profile"]: r["deviation"] for r in T.deviation(custom, rules).collect()}
+    assert shares["food_drink"] == 0.75 and shares["business"] == 0.25 and shares["school"] == 0
+
+
+def test_equal_maps_in_another_order(spark):
+    df = spark.createDataFrame([("n", 1, {"a": "1", "b": "2"}), ("n", 1, {"b": "2", "a": "1"})], "type string, id long, tags map<string,string>")
+    assert U.unique_elements(df, ["tags"]).count() == 1
+
+
+def test_model_text_decomposes_every_letter(spark):
+    got = spark.createDataFrame([("Ċirku Ġnien Żejtun Ñu Ħal Ệ й",)], "t string").select(X.model_text(F.col("t"))).first()[0]
+    assert got == "cirku gnien zejtun nu ħal e и"
 
 
 def test_second_source_buckets(spark):

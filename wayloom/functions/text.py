@@ -55,8 +55,8 @@ def match_name(name: Column) -> Column:
 
 
 def model_text(text: Column) -> Column:
-    """Normaliser of the text model: lower case without accents, ñ as n."""
-    return plain_latin(text)
+    """Normaliser of the text model: lower case without accents, ñ as n; letters of any block are decomposed."""
+    return unmarked(text)
 
 
 def is_unnamed(normalised: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
+from wayloom.operators.chunks import with_one_row
 from wayloom.functions.text import preferred_name, useful_street_name
 from wayloom.operators.geo import M_PER_DEG_LAT, NORTH, SOUTH
 
@@ -165,8 +166,7 @@ def assign_localities(points: DataFrame, places: DataFrame, tolerance_m: float =
     positions = points.select("lat", "lon").distinct()
     inside = containing_localities(positions, edges).groupBy("lat", "lon").agg(F.min("id").alias("id"))
     free = points.join(inside, ["lat", "lon"], "left_anti").select("lat", "lon")
-    scale = free.agg((F.cos(F.radians(F.avg("lat"))) * M_PER_DEG_LAT).alias("_scale")).withColumn("_one", F.lit(1))
-    open_positions = free.distinct().withColumn("_one", F.lit(1)).join(scale, "_one").drop("_one")
+    open_positions = with_one_row(free.distinct(), free.agg((F.cos(F.radians(F.avg("lat"))) * M_PER_DEG_LAT).alias("_scale")))
     near = sides_within(open_positions, edges, tolerance_m, F.col("_scale"))
     nearest = near.groupBy("lat", "lon").agg(F.min_by("id", F.struct("dist_m", "id")).alias("id"))
     found = inside.withColumn("criterio", F.lit("dentro")).unionByName(nearest.withColumn("criterio", F.lit("cercana")))

@@ -6,14 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions import scalars as S
 from wayloom.functions.stats import pooled_t, replicate_draw, t_p_value
-from wayloom.operators.chunks import day_chunk, exact_percentiles, value_chunks, with_position
+from wayloom.operators.chunks import beside, day_chunk, exact_percentiles, value_chunks, with_one_row, with_position
+from wayloom.operators.indicators import indicators
 from wayloom.schemas import ROUTE
 from wayloom.session import checkpointed
 
@@ -47,10 +48,9 @@ def assign_treatment(rows: DataFrame, treatment: str = "above_typical") -> DataF
     """Adds `treated`: warmer than the median of the own hour and week, or than the overall median."""
     if treatment not in ("above_typical", "above_median"):
         raise ValueError(f"Unknown treatment {treatment!r}")
-    keys = ["hour", "week"] if treatment == "above_typical" else ["_all"]
-    rows = rows.withColumn("_all", F.lit(1))
+    keys = ["hour", "week"] if treatment == "above_typical" else []
     medians = exact_percentiles(rows, keys, "weather", {"_typical": 0.5}, parts=16)
-    return rows.join(medians, keys).withColumn("treated", F.col("weather") > F.col("_typical")).drop("_typical", "_all")
+    return beside(rows, medians, keys).withColumn("treated", F.col("weather") > F.col("_typical")).drop("_typical")
 
 
 def stratum(columns: Sequence[str], df: DataFrame) -> Column:
@@ -123,9 +123,8 @@ def with_propensity(rows: DataFrame, covariates: Sequence[str] = COVARIATES, reg
     penalty = regularisation if regularisation is not None else 1.0 / max(n, 1)
     text = rows.select("*", *[F.col(c).cast("string").alias(f"_t_{c}") for c in covariates], F.col("treated").cast("double").alias("label"))
     stages = [
-        StringIndexer(inputCols=[f"_t_{c}" for c in covariates], outputCols=[f"_i_{c}" for c in covariates], handleInvalid="keep"),
-        OneHotEncoder(inputCols=[f"_i_{c}" for c in covariates], outputCols=[f"_o_{c}" for c in covariates], dropLast=True),
-        VectorAssembler(inputCols=[f"_o_{c}" for c in covariates], outputCol="features"),
+        *indicators([f"_t_{c}" for c in covariates], text),
+        VectorAssembler(inputCols=[f"_o__t_{c}" for c in covariates], outputCol="features"),
         LogisticRegression(regParam=penalty, maxIter=100, standardization=False),
     ]
     scored = Pipeline(stages=stages).fit(text).transform(text)
@@ -166,8 +165,7 @@ def nearest_controls(rows: DataFrame, exact: Sequence[str], score: str = "logit"
 
 def matched_pairs(scored: DataFrame, exact: Sequence[str] = EXACT, caliper_sd: float = CALIPER_SD) -> DataFrame:
     """Nearest controls inside the caliper, a share of the population deviation of the score."""
-    limit = scored.agg((F.stddev_pop("logit") * caliper_sd).alias("caliper")).withColumn("_one", F.lit(1))
-    pairs = nearest_controls(scored, exact).withColumn("_one", F.lit(1)).join(limit, "_one").drop("_one")
+    pairs = with_one_row(nearest_controls(scored, exact), scored.agg((F.stddev_pop("logit") * caliper_sd).alias("caliper")))
     return pairs.filter(F.col("gap") <= F.col("caliper")).withColumn("diff", F.col("y") - F.col("control_y"))
 
 
@@ -176,9 +174,8 @@ def level_balance(treated: DataFrame, control: DataFrame, covariates: Sequence[s
     has variance p(1 - p)."""
     def shares(df, name):
         levels = df.select("w", F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("string").alias("level")) for c in covariates])).alias("l"))
-        total = df.agg(F.sum("w").alias("_t")).withColumn("_one", F.lit(1))
-        sums = levels.groupBy("l.covariate", "l.level").agg(F.sum("w").alias("_w")).withColumn("_one", F.lit(1))
-        return sums.join(total, "_one").select("covariate", "level", (F.col("_w") / F.col("_t")).alias(name))
+        sums = levels.groupBy("l.covariate", "l.level").agg(F.sum("w").alias("_w"))
+        return with_one_row(sums, df.agg(F.sum("w").alias("_total"))).select("covariate", "level", (F.col("_w") / F.col("_total")).alias(name))
 
     both = shares(treated, "pt").join(shares(control, "pc"), ["covariate", "level"], "full_outer").na.fill(0.0, ["pt", "pc"])
     spread = F.sqrt((F.col("pt") * (1 - F.col("pt")) + F.col("pc") * (1 - F.col("pc"))) / 2)
@@ -212,15 +209,16 @@ def score_matching(rows: DataFrame, exact: Sequence[str] = EXACT, covariates: Se
     """Effect over the matched pairs, its interval, the share matched and the balance reached. The scores are written
     once: several parts read them, and a lost executor must not start the fit again."""
     scored = checkpointed(with_propensity(rows, covariates))
-    pairs = checkpointed(matched_pairs(scored, exact)).withColumn("_one", F.lit(1))
-    effect = pairs.groupBy("_one").agg(F.avg("diff").alias("att"), F.count("*").alias("n_matched"), F.first("caliper").alias("caliper"))
+    pairs = checkpointed(matched_pairs(scored, exact))
+    effect = pairs.agg(F.avg("diff").alias("att"), F.count("*").alias("n_matched"), F.first("caliper").alias("caliper"))
     counts = scored.agg(
         F.count_if("treated").alias("n_treated"),
         (F.avg(F.when(F.col("treated"), F.col("y"))) - F.avg(F.when(~F.col("treated"), F.col("y")))).alias("naive_difference"),
-    ).withColumn("_one", F.lit(1))
-    summary = balance_summary(balance(scored, pairs, covariates)).withColumn("_one", F.lit(1))
-    out = effect.join(counts, "_one").join(cluster_interval(pairs, ["_one"], "day", replicates), "_one").join(summary, "_one")
-    return out.withColumn("share_matched", F.col("n_matched") / F.col("n_treated")).drop("_one")
+    )
+    out = effect
+    for part in (counts, cluster_interval(pairs, [], "day", replicates), balance_summary(balance(scored, pairs, covariates))):
+        out = with_one_row(out, part)
+    return out.withColumn("share_matched", F.col("n_matched") / F.col("n_treated"))
 
 
 # --- simpler comparisons ---------------------------------------------------------------------------------------------

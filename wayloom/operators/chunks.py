@@ -21,6 +21,16 @@ def day_chunk(ts: str) -> Column:
     return F.to_date(F.col(ts))
 
 
+def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a table of one row (an aggregate without keys), read as a scalar subquery: no join, no key."""
+    return df.withColumn("_t", one_row.select(F.struct("*")).scalar()).select("*", "_t.*").drop("_t")
+
+
+def beside(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joins one row per key; without keys the summary has one row, see `with_one_row`."""
+    return df.join(summary, list(keys)) if keys else with_one_row(df, summary)
+
+
 def value_chunks(df: DataFrame, keys: Sequence[str], value: str, parts: int = CUTS_PER_KEY) -> DataFrame:
     """Adds `_chunk`: which of about `parts` equally filled value ranges of its key a row falls in.
 
@@ -32,7 +42,7 @@ def value_chunks(df: DataFrame, keys: Sequence[str], value: str, parts: int = CU
             F.percentile_approx(value, [i / parts for i in range(1, parts)], CUT_ACCURACY)
         ).alias("_cuts")
     )
-    tagged = df.join(cuts, keys)
+    tagged = beside(df, cuts, keys)
     return tagged.withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
 

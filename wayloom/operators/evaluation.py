@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from wayloom.functions.scalars import poisson_deviance, relative_gap
 from wayloom.functions.stats import replicate_draw
 from wayloom.operators.causal import cluster_interval
-from wayloom.operators.chunks import average_rank, value_chunks, with_running_totals
+from wayloom.operators.chunks import average_rank, value_chunks, with_one_row, with_running_totals
 
 RUN = ["model", "repetition"]
 
@@ -150,9 +150,8 @@ def gap_artifact_share(rows: DataFrame, k: int) -> DataFrame:
     """Of the k rows with the largest gap, the share where the second source counts more than the map, and the same
     share among all rows with any count. `rows` has (row_id, gap, osm, fsq)."""
     more = (F.col("fsq") > F.col("osm")).cast("double")
-    top = rows.orderBy(F.desc("gap"), "row_id").limit(k).agg(F.avg(more).alias("top_k")).withColumn("_one", F.lit(1))
-    some = rows.filter((F.col("osm") > 0) | (F.col("fsq") > 0)).agg(F.avg(more).alias("reference")).withColumn("_one", F.lit(1))
-    return top.join(some, "_one").drop("_one")
+    top = rows.orderBy(F.desc("gap"), "row_id").limit(k).agg(F.avg(more).alias("top_k"))
+    return with_one_row(top, rows.filter((F.col("osm") > 0) | (F.col("fsq") > 0)).agg(F.avg(more).alias("reference")))
 
 
 # --- clustered AUC ---------------------------------------------------------------------------------------------------
@@ -256,10 +255,10 @@ def threshold_table(df: DataFrame, truth: str, thresholds: Sequence[float] = THR
 
 def choose_threshold(df: DataFrame, truth: str, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """The lowest threshold whose wrong answers stay within the tolerance of the keywords alone, else the highest."""
-    table = threshold_table(df, truth, thresholds).withColumn("_one", F.lit(1))
-    alone = df.agg(F.avg(answer_flags(F.col("keyword"), F.col(truth))["wrong"]).alias("_alone")).withColumn("_one", F.lit(1))
+    table = threshold_table(df, truth, thresholds)
+    alone = df.agg(F.avg(answer_flags(F.col("keyword"), F.col(truth))["wrong"]).alias("_alone"))
     fits = F.when(F.col("wrong") <= F.col("_alone") + TOLERANCE, F.col("threshold"))
-    return table.join(alone, "_one").agg(F.coalesce(F.min(fits), F.max("threshold")).alias("threshold"))
+    return with_one_row(table, alone).agg(F.coalesce(F.min(fits), F.max("threshold")).alias("threshold"))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -295,8 +294,7 @@ def adoption(df: DataFrame, truth: str, keyword: str, candidate: str, replicates
     """Whether a candidate replaces the keywords: surely more right answers, and wrong ones within the tolerance."""
     k, c = answer_flags(F.col(keyword), F.col(truth)), answer_flags(F.col(candidate), F.col(truth))
     rows = df.select(k["right"].alias("_kr"), c["right"].alias("_cr"), k["wrong"].alias("_kw"), c["wrong"].alias("_cw"))
-    rates = rows.agg(F.avg("_kw").alias("keyword_wrong"), F.avg("_cw").alias("candidate_wrong")).withColumn("_one", F.lit(1))
-    gain = paired_interval(rows, "_cr", "_kr", replicates).withColumn("_one", F.lit(1))
-    return gain.join(rates, "_one").drop("_one").withColumn(
+    rates = rows.agg(F.avg("_kw").alias("keyword_wrong"), F.avg("_cw").alias("candidate_wrong"))
+    return with_one_row(paired_interval(rows, "_cr", "_kr", replicates), rates).withColumn(
         "adopt", (F.col("ci_low") > 0) & (F.col("candidate_wrong") <= F.col("keyword_wrong") + TOLERANCE)
     )

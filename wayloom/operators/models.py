@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
-    IDF, PCA, CountVectorizer, Imputer, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
+    IDF, PCA, HashingTF, Imputer, Normalizer, SQLTransformer, StandardScaler, StringIndexer, TargetEncoder, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -25,8 +25,10 @@ from wayloom.functions import scalars as S
 from wayloom.functions.taxonomy import STUDY_CATEGORIES
 from wayloom.functions.text import model_text, word_ngrams
 from wayloom.operators import evaluation as E
+from wayloom.operators.chunks import with_one_row
 from wayloom.operators.closures import block_label
 from wayloom.operators.geo import GRID, Grid, active_cells, kernel_smoothing, nearest_zone, ring_weights, scatter
+from wayloom.operators.indicators import indicators
 from wayloom.operators.routes import lag_means, persistence, positional_split
 from wayloom.schemas import ROUTE
 from wayloom.session import checkpointed
@@ -36,14 +38,18 @@ MIN_EXPECTED = 1e-3
 ENSEMBLE_WEIGHTS = {"random_forest": 0.5, "gradient_boosting": 0.5}
 CELL = ["fila", "col"]
 SPARSE = 0
+SLOTS = 1 << 18
 RINGS = ("celda", "anillo1", "anillo2")
 
 
-def indicators(columns: Sequence[str]) -> list:
-    """Stages that turn text columns into 0/1 indicators, one level left out."""
+def route_stages(label: str) -> list:
+    """Stages that give each route the mean of `label` over its rows of the fit data, so any number of routes will do; an
+    unseen route gets the overall mean."""
     return [
-        StringIndexer(inputCols=list(columns), outputCols=[f"_i_{c}" for c in columns], handleInvalid="keep"),
-        OneHotEncoder(inputCols=[f"_i_{c}" for c in columns], outputCols=[f"_o_{c}" for c in columns], dropLast=True),
+        StringIndexer(inputCol="route", outputCol="_route", handleInvalid="keep"),
+        TargetEncoder(inputCols=["_route"], outputCols=["_route_mean"], labelCol=label, targetType="continuous", handleInvalid="keep"),
+        SQLTransformer(statement="SELECT *, _route_mean + 0D AS _route_value FROM __THIS__"),  # a plain number, no category
+        VectorAssembler(inputCols=[*TRAVEL_FEATURES, "_route_value"], outputCol="features"),
     ]
 
 
@@ -63,12 +69,8 @@ def travel_features(df: DataFrame) -> DataFrame:
 
 def fit_travel_time(features: DataFrame, trees: int = 50, depth: int = 10) -> PipelineModel:
     """One forest for all routes, the route being a feature."""
-    stages = [
-        StringIndexer(inputCol="route", outputCol="_route", handleInvalid="keep"),
-        VectorAssembler(inputCols=[*TRAVEL_FEATURES, "_route"], outputCol="features"),
-        RandomForestRegressor(labelCol="travel_time_min", numTrees=trees, maxDepth=depth, maxBins=1024, seed=42),
-    ]
-    return Pipeline(stages=stages).fit(features)
+    forest = RandomForestRegressor(labelCol="travel_time_min", numTrees=trees, maxDepth=depth, seed=42)
+    return Pipeline(stages=[*route_stages("travel_time_min"), forest]).fit(features)
 
 
 def predict_travel_time(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -124,13 +126,10 @@ def travel_time_verdict(evaluation: DataFrame) -> DataFrame:
 
 # --- ensemble --------------------------------------------------------------------------------------------------------
 def fit_ensemble(features: DataFrame, trees: int = 100, rounds: int = 100) -> dict[str, PipelineModel]:
-    front = [
-        StringIndexer(inputCol="route", outputCol="_route", handleInvalid="keep"),
-        VectorAssembler(inputCols=[*TRAVEL_FEATURES, "_route"], outputCol="features"),
-    ]
+    front = route_stages("travel_time_min")
     models = {
-        "random_forest": RandomForestRegressor(labelCol="travel_time_min", numTrees=trees, maxDepth=12, maxBins=1024, seed=42),
-        "gradient_boosting": GBTRegressor(labelCol="travel_time_min", maxIter=rounds, maxDepth=5, stepSize=0.1, maxBins=1024, seed=42),
+        "random_forest": RandomForestRegressor(labelCol="travel_time_min", numTrees=trees, maxDepth=12, seed=42),
+        "gradient_boosting": GBTRegressor(labelCol="travel_time_min", maxIter=rounds, maxDepth=5, stepSize=0.1, seed=42),
     }
     return {name: Pipeline(stages=[*front, stage]).fit(features) for name, stage in models.items()}
 
@@ -185,33 +184,33 @@ def modelling_frame(df: DataFrame) -> DataFrame:
     return rows.na.drop(subset=[*NUMBERS, "origin_weather_grp", "destination_weather_grp", "travel_time_min"])
 
 
-def design_stages() -> list:
+def design_stages(train: DataFrame) -> list:
     return [
-        *indicators(GROUPS),
+        *indicators(GROUPS, train),
         VectorAssembler(inputCols=NUMBERS, outputCol="_numbers"),
         StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True),
         VectorAssembler(inputCols=["_scaled", *[f"_o_{c}" for c in GROUPS], *CALENDAR], outputCol="features"),
     ]
 
 
-def fit_high_delay(train: DataFrame, trees: int = 100, subsets: Sequence[str] = ("sqrt", "log2", "0.3", "0.5"), folds: int = 3) -> tuple[PipelineModel, PipelineModel, str]:
+def fit_high_delay(train: DataFrame, trees: int = 100, subsets: Sequence[str] = ("sqrt", "log2", "0.3", "0.5"), folds: int = 5) -> tuple[PipelineModel, PipelineModel, str]:
     """Logistic model and the forest whose feature share does best on later rows: time-ordered folds train on the past
     and validate on what follows."""
-    logistic = Pipeline(stages=[*design_stages(), LogisticRegression(labelCol="high", maxIter=100)]).fit(train)
+    logistic = Pipeline(stages=[*design_stages(train), LogisticRegression(labelCol="high", maxIter=100)]).fit(train)
     cuts = train.select(F.percentile_approx(F.unix_micros(F.col("timestamp").cast("timestamp")), [i / (folds + 1) for i in range(1, folds + 1)], 10000).alias("c")).first()["c"]
     stamped = train.withColumn("_us", F.unix_micros(F.col("timestamp").cast("timestamp")))
 
     def forest(subset, data):
         stage = RandomForestClassifier(labelCol="high", numTrees=trees, featureSubsetStrategy=subset, maxDepth=10, seed=42)
-        return Pipeline(stages=[*design_stages(), stage]).fit(data)
+        return Pipeline(stages=[*design_stages(data), stage]).fit(data)
 
     def score(subset):
         total = 0.0
         for i, cut in enumerate(cuts):
             upper = cuts[i + 1] if i + 1 < len(cuts) else None
             later = stamped.filter(F.col("_us") >= cut) if upper is None else stamped.filter((F.col("_us") >= cut) & (F.col("_us") < upper))
-            scored = probability(forest(subset, stamped.filter(F.col("_us") < cut)).transform(later)).withColumn("_g", F.lit(1))
-            total += E.rank_auc(scored, ["_g"], "high", "p").first()["auc"] or 0.0
+            scored = probability(forest(subset, stamped.filter(F.col("_us") < cut)).transform(later))
+            total += E.rank_auc(scored, [], "high", "p").first()["auc"] or 0.0
         return total / len(cuts)
 
     best = subsets[0] if len(subsets) == 1 else max(subsets, key=score)
@@ -243,7 +242,7 @@ def evaluate_regression(df: DataFrame, split: Callable[[DataFrame], DataFrame],
         ("linear", LinearRegression(labelCol="travel_time_min", regParam=1e-6)),
         ("boosting", GBTRegressor(labelCol="travel_time_min", maxIter=rounds, maxDepth=4, seed=42)),
     ):
-        scored = Pipeline(stages=[*design_stages(), stage]).fit(train).transform(test).select(F.lit(name).alias("model"), "travel_time_min", "prediction")
+        scored = Pipeline(stages=[*design_stages(train), stage]).fit(train).transform(test).select(F.lit(name).alias("model"), "travel_time_min", "prediction")
         both = scored if both is None else both.unionByName(scored)
     return E.error_metrics(both, ["model"], "travel_time_min", "prediction")
 
@@ -256,7 +255,7 @@ def corridor_clusters(corridors: DataFrame, k: int = 4, elbow_to: int = 0) -> tu
         PCA(k=2, inputCol="features", outputCol="_pc"),
     ]).fit(corridors.na.drop(subset=columns))
     scaled = front.transform(corridors.na.drop(subset=columns))
-    costs = [(n, KMeans(k=n, seed=42).fit(scaled).summary.trainingCost) for n in range(2, elbow_to + 1)]
+    costs = [(n, KMeans(k=n, seed=42).fit(scaled).summary.trainingCost) for n in range(1, elbow_to + 1)]
     labelled = KMeans(k=k, seed=42).fit(scaled).transform(scaled)
     pc = vector_to_array("_pc")
     return labelled.select(*ROUTE, *columns, "n", F.col("prediction").alias("cluster"), pc[0].alias("pc1"), pc[1].alias("pc2")), costs
@@ -295,11 +294,10 @@ def fit_counts(name: str, train: DataFrame, test: DataFrame, seed: int = 0, roun
         "solo_distancia": ["dist_centro_m"],
         "solo_poblacion": [c for c in train.columns if c.startswith("pob")],
         "solo_densidad": [f"densidad_{r}" for r in RINGS],
-        "boosting": [c for c in train.columns if c.endswith(tuple(f"_{r}" for r in RINGS)) and not c.startswith("densidad")] + ["dist_centro_m"],
+        "boosting": [c for c in train.columns if c.endswith(tuple(f"_{r}" for r in RINGS)) and not c.startswith("densidad")] + ["dist_centro_m"] + [c for c in train.columns if c.endswith("_suavizada") or c.endswith("_suavizado")],
     }
     if name == "media":
-        mean = train.agg(F.avg("y").alias("prediction")).withColumn("_one", F.lit(1))
-        scored = test.withColumn("_one", F.lit(1)).join(mean, "_one").drop("_one")
+        scored = with_one_row(test, train.agg(F.avg("y").alias("prediction")))
     elif name == "boosting":
         stages = [Imputer(strategy="median", inputCols=inputs[name], outputCols=[f"_m_{c}" for c in inputs[name]]),
                   VectorAssembler(inputCols=[f"_m_{c}" for c in inputs[name]], outputCol="features"),
@@ -358,10 +356,10 @@ def fit_closures(name: str, train: DataFrame, test: DataFrame, seed: int = 0, ro
     """Closure probability of each test row by one model."""
     if name == "solo_categoria":
         rates = train.groupBy("category").agg(F.avg("y").alias("_rate"))
-        overall = train.agg(F.avg("y").alias("_all")).withColumn("_one", F.lit(1))
-        scored = test.withColumn("_one", F.lit(1)).join(rates, "category", "left").join(overall, "_one").withColumn("prediction", F.coalesce("_rate", "_all"))
+        overall = train.agg(F.avg("y").alias("_all"))
+        scored = with_one_row(test.join(rates, "category", "left"), overall).withColumn("prediction", F.coalesce("_rate", "_all"))
     elif name == "boosting":
-        stages = [VectorAssembler(inputCols=[*ONE_HOT, *DENSITIES, "dist_m", "chain"], outputCol="features"), GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=3, stepSize=0.05, seed=seed)]
+        stages = [VectorAssembler(inputCols=[*ONE_HOT, *DENSITIES, "dist_m", "chain"], outputCol="features"), GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed)]
         scored = Pipeline(stages=stages).fit(train).transform(test).withColumn("prediction", vector_to_array("probability")[1])
     else:
         logs = name == "solo_densidad"
@@ -371,7 +369,7 @@ def fit_closures(name: str, train: DataFrame, test: DataFrame, seed: int = 0, ro
             train, test = train.withColumns(add), test.withColumns(add)
         rest = [] if logs else [*ONE_HOT, "chain"]
         stages = [VectorAssembler(inputCols=numbers, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
-                  VectorAssembler(inputCols=["_scaled", *rest], outputCol="features"), LogisticRegression(labelCol="y", regParam=1e-3, standardization=False)]
+                  VectorAssembler(inputCols=["_scaled", *rest], outputCol="features"), LogisticRegression(labelCol="y", regParam=1.0 / max(1, train.count()), standardization=False)]
         scored = Pipeline(stages=stages).fit(train).transform(test).withColumn("prediction", vector_to_array("probability")[1])
     return scored.select("row_id", "y", "block", "prediction")
 
@@ -398,10 +396,11 @@ def closure_study(frame: DataFrame, gate: DataFrame, repeats: int = 10, folds: i
 
 
 # --- phrases ---------------------------------------------------------------------------------------------------------
-def fit_vectoriser(phrases: DataFrame, text: str, low: int = 2, high: int = 5, vocabulary: int = 1 << 18):
-    """Fitted counting and weighting of character n-grams inside words."""
+def fit_vectoriser(phrases: DataFrame, text: str, low: int = 2, high: int = 5, slots: int = SLOTS):
+    """Counting and fitted weighting of character n-grams inside words. Every n-gram counts: it is hashed to one of `slots`
+    places, so no vocabulary is kept and none is left out."""
     rows = with_ngrams(phrases, text, low, high)
-    counts = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=vocabulary).fit(rows)
+    counts = HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=slots)
     damped = damp(counts.transform(rows))
     idf = IDF(inputCol="_ltf", outputCol="_tfidf").fit(damped)
     return counts, idf
@@ -433,13 +432,13 @@ def vectorise(fitted, df: DataFrame, text: str, low: int = 2, high: int = 5) ->
     return Normalizer(inputCol="_tfidf", outputCol="features", p=2.0).transform(idf.transform(damp(counts.transform(with_ngrams(df, text, low, high)))))
 
 
-def fit_phrases(train: DataFrame, text: str, label: str, c: float = 10.0, low: int = 2, high: int = 5, vocabulary: int = 1 << 18):
+def fit_phrases(train: DataFrame, text: str, label: str, c: float = 10.0, low: int = 2, high: int = 5, slots: int = SLOTS):
     """Multinomial logistic model with balanced class weights on the weighted n-grams. The vectors are written once; the
     iterations read them instead of cutting the texts again."""
-    fitted = fit_vectoriser(train, text, low, high, vocabulary)
+    fitted = fit_vectoriser(train, text, low, high, slots)
     sizes = train.groupBy(label).agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_total"), F.count("*").alias("_k")).withColumn("_one", F.lit(1))
-    weights = sizes.withColumn("_one", F.lit(1)).join(total, "_one").select(label, (F.col("_total") / (F.col("_k") * F.col("_n"))).alias("_w"), "_total")
+    total = sizes.agg(F.sum("_n").alias("_total"), F.count("*").alias("_k"))
+    weights = with_one_row(sizes, total).select(label, (F.col("_total") / (F.col("_k") * F.col("_n"))).alias("_w"), "_total")
     rows = checkpointed(vectorise(fitted, train, text, low, high).select(label, "features")).join(weights, label)
     n = train.count()
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)

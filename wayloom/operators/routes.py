@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import scalars as S
 from wayloom.operators.chunks import (
+    beside,
+    with_one_row,
     day_chunk,
     exact_percentiles,
     with_position,
@@ -288,8 +290,7 @@ def corridor_profile(df: DataFrame) -> DataFrame:
 def share_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Row count of each combination and its percentage of all rows."""
     counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_total")).withColumn("_one", F.lit(1))
-    joined = counts.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+    joined = with_one_row(counts, counts.agg(F.sum("n").alias("_total")))
     return joined.withColumn("pct", 100.0 * F.col("n") / F.col("_total")).drop("_total")
 
 
@@ -307,12 +308,11 @@ def high_delay_share(df: DataFrame, by: Sequence[Column | str]) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between minimum and maximum, with the mean and the exact median beside each bin."""
-    rows = df.filter(F.col(column).isNotNull()).select(F.lit(1).alias("_one"), F.col(column).alias("v"))
-    ends = rows.groupBy("_one").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"))
-    ends = ends.join(exact_percentiles(rows, ["_one"], "v", {"median": 0.5}), "_one")
+    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    ends = with_one_row(rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean")), exact_percentiles(rows, [], "v", {"median": 0.5}))
     place = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
     return (
-        rows.join(ends, "_one")
+        with_one_row(rows, ends)
         .groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin"), "lo", "hi", "mean", "median")
         .agg(F.count("*").alias("n"))
     )
@@ -499,8 +499,8 @@ def chronological_split(df: DataFrame, keys: Sequence[str], share: float = 0.8)
     always stay together."""
     keys = list(keys)
     placed = with_position(df, keys, ["timestamp", "id"], day_chunk("timestamp"), "_pos", "_n")
-    cut = placed.filter(F.col("_pos") == F.floor(F.col("_n") * share) + 1).select(*keys, F.col("timestamp").alias("_cut"))
-    return df.join(cut, keys).withColumn("part", F.when(F.col("timestamp") < F.col("_cut"), "train").otherwise("test")).drop("_cut")
+    cut = placed.filter(F.col("_pos") == F.floor(F.col("_n") * share) + 1).groupBy(*keys).agg(F.min("timestamp").alias("_cut"))
+    return beside(df, cut, keys).withColumn("part", F.when(F.col("timestamp") < F.col("_cut"), "train").otherwise("test")).drop("_cut")
 
 
 def positional_split(df: DataFrame, keys: Sequence[str], share: float = 0.8, part: str = "part") -> DataFrame:

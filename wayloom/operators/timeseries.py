@@ -77,14 +77,11 @@ def lagged_products(df: DataFrame, keys: Sequence[str], value: str, max_lag: int
     rows = known(df, keys, value).join(means, keys).withColumn("dev", F.col("value") - F.col("_mean"))
 
     def add(w):
-        return {"_past": F.collect_list("dev").over(w.rowsBetween(-max_lag, 0))}
+        return {f"_x{k}": F.col("dev") * F.lag("dev", k).over(w) for k in range(max_lag + 1)}
 
     seen = with_previous_rows(rows, keys, ORDER, max_lag, ["dev"], add, day_chunk("timestamp"))
-    size = F.size("_past")
-    pairs = seen.select(*keys, "dev", size.alias("_size"), F.posexplode("_past").alias("_p", "_x"))
-    sums = pairs.groupBy(*keys, (F.col("_size") - 1 - F.col("_p")).alias("lag")).agg(F.sum(F.col("dev") * F.col("_x")).alias("product"))
-    lengths = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    return sums.join(lengths, keys)
+    sums = seen.groupBy(*keys).agg(F.array(*[F.sum(f"_x{k}") for k in range(max_lag + 1)]).alias("_s"), F.count("*").alias("n"))
+    return sums.select(*keys, F.posexplode("_s").alias("lag", "product"), "n").filter(F.col("product").isNotNull())
 
 
 def autocorrelation(df: DataFrame, keys: Sequence[str], value: str, nlags: int = 20) -> DataFrame:
@@ -151,19 +148,23 @@ def unit_root(df: DataFrame, keys: Sequence[str], value: str, lags: int = 1) ->
 
 
 def change_points(df: DataFrame, keys: Sequence[str], value: str, threshold: float = 2.0) -> DataFrame:
-    """Positions where the step of the five-point centred mean exceeds `threshold` population deviations of all steps.
+    """Positions where the step of the centred mean exceeds `threshold` population deviations of all steps.
 
-    The instant reported is the one at the same position among all rows of the key, those without a value included;
-    `value` is the value at that position among the known ones. Keys with fewer than 15 known values are left out."""
+    The mean is over five values, over n // 3 where a key has fewer than 15, and keys with fewer than 10 known values are left
+    out. A mean over four looks two back and one ahead. The instant reported is the one at the same position among all rows
+    of the key, those without a value included; `value` is the value at that position among the known ones."""
     keys = list(keys)
     chunk = day_chunk("timestamp")
-    rows = with_position(known(df, keys, value), keys, ORDER, chunk, "pos", "n").filter(F.col("n") >= 15)
+    rows = with_position(known(df, keys, value), keys, ORDER, chunk, "pos", "n").filter(F.col("n") >= 10)
 
     def add(w):
-        now = F.avg("value").over(w.rowsBetween(-2, 2))
-        following = F.avg("value").over(w.rowsBetween(-1, 3))
-        inside = F.col("pos").between(3, F.col("n") - 3)
-        return {"step": F.when(inside, following - now).otherwise(0.0)}
+        step = F.lit(0.0)
+        for size, back, ahead in ((3, 1, 1), (4, 2, 1), (5, 2, 2)):
+            now = F.avg("value").over(w.rowsBetween(-back, ahead))
+            following = F.avg("value").over(w.rowsBetween(1 - back, ahead + 1))
+            inside = F.col("pos").between(back + 1, F.col("n") - ahead - 1) & (F.least(F.lit(5), F.floor(F.col("n") / 3)) == size)
+            step = F.when(inside, following - now).otherwise(step)
+        return {"step": step}
 
     steps = with_previous_rows(rows, keys, ORDER, 2, ["value"], add, chunk, 3).filter(F.col("pos") < F.col("n"))
     spread = steps.groupBy(*keys).agg((F.stddev_pop("step") * threshold).alias("limit"))
@@ -271,7 +272,8 @@ def week_ahead(series: DataFrame, keys: Sequence[str], horizon: int = 168) -> Da
 
 def seasonal_forecast(series: DataFrame, keys: Sequence[str], limit: int = 3) -> DataFrame:
     """The next 24 hours: yesterday's value plus a first-order autoregression of the day-on-day change, with an 80 %
-    band from its residuals."""
+    band from its residuals. Gaps of up to `limit` hours are interpolated first. The change decays from the last hour
+    that has one, which may lie before the end of the series; an hour whose value a day before is unknown has no forecast."""
     keys = list(keys)
     filled = interpolate(series, keys, limit)
     shifted = filled.select(*keys, (F.col("hour") + HOUR(hours=F.lit(24))).alias("hour"), F.col("filled").alias("_y24"))
@@ -282,14 +284,16 @@ def seasonal_forecast(series: DataFrame, keys: Sequence[str], limit: int = 3) ->
         F.regr_slope("_z", "_z1").alias("b"), F.regr_intercept("_z", "_z1").alias("a"),
         F.sqrt(F.regr_syy("_z", "_z1") * (1 - F.regr_r2("_z", "_z1")) / F.nullif(F.regr_count("_z", "_z1") - 2, F.lit(0))).alias("sd"),
         F.max("hour").alias("_last"), F.max_by("_z", F.when(F.col("_z").isNotNull(), F.col("hour"))).alias("_zt"),
-    )
+        F.max(F.when(F.col("_z").isNotNull(), F.col("hour"))).alias("_from"),
+    ).withColumn("_late", (F.unix_seconds(F.col("_last").cast("timestamp")) - F.unix_seconds(F.col("_from").cast("timestamp"))) / 3600)
     ahead = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(24)))).withColumns(
         {"hour": F.col("_last") + HOUR(hours=F.col("step")), "_back": F.col("_last") + HOUR(hours=F.col("step") - 24)}
     )
     known_day = filled.select(*keys, F.col("hour").alias("_back"), F.col("filled").alias("_y"))
-    power = F.pow("b", "step")
-    change = F.when(F.abs(1 - F.col("b")) < 1e-12, F.col("a") * F.col("step")).otherwise(F.col("a") * (1 - power) / (1 - F.col("b"))) + power * F.col("_zt")
-    growth = F.when(F.abs(1 - F.col("b") * F.col("b")) < 1e-12, F.col("step")).otherwise((1 - power * power) / (1 - F.col("b") * F.col("b")))
+    ahead_of = F.col("step") + F.col("_late")
+    power = F.pow("b", ahead_of)
+    change = F.when(F.abs(1 - F.col("b")) < 1e-12, F.col("a") * ahead_of).otherwise(F.col("a") * (1 - power) / (1 - F.col("b"))) + power * F.col("_zt")
+    growth = F.when(F.abs(1 - F.col("b") * F.col("b")) < 1e-12, ahead_of).otherwise((1 - power * power) / (1 - F.col("b") * F.col("b")))
     half = NORMAL_80 * F.col("sd") * F.sqrt(growth)
     value = F.col("_y") + change
     return ahead.join(known_day, [*keys, "_back"], "left").select(

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from wayloom.operators.chunks import with_one_row
 from wayloom.functions.taxonomy import catch_all, reclassification
 from wayloom.schemas import ROUTE
 
@@ -43,9 +45,20 @@ def duplicated_categories(pois: DataFrame, context: DataFrame) -> DataFrame:
     return context.select("category").distinct().join(pois.select("category").distinct(), "category", "left_semi")
 
 
+def ordered(value: Column, kind: DataType) -> Column:
+    """The value with every map, at any depth, as a list of entries sorted by key: equal maps then look the same."""
+    if isinstance(kind, MapType):
+        return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"], ordered(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda e: ordered(e, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[ordered(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
 def unique_elements(elements: DataFrame, content: Sequence[str]) -> DataFrame:
     """One row per (type, id). Copies that differ are an error."""
-    digest = F.xxhash64(*[F.to_json(c) if t.startswith(("map", "struct", "array")) else F.col(c) for c, t in elements.dtypes if c in content])
+    digest = F.xxhash64(*[F.to_json(F.struct(ordered(F.col(f.name), f.dataType))) for f in elements.schema if f.name in content])
     rest = [c for c in elements.columns if c not in ("type", "id")]
     grouped = elements.withColumn("_h", digest).groupBy("type", "id").agg(
         F.first(F.struct(*rest)).alias("_row"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi")
@@ -113,9 +126,8 @@ def repair_checks(plan: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(is_legacy(F.col("raw_timestamp")), F.col("n"))), F.lit(0)).alias("legacy_left"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.count_if(F.col("n") > 1).alias("duplicate_groups"),
-    ).withColumn("_one", F.lit(1))
-    expected = plan.agg(F.count_if(F.col("action").isin("keep", "rename")).alias("expected_rows")).withColumn("_one", F.lit(1))
-    return counts.join(expected, "_one").drop("_one")
+    )
+    return with_one_row(counts, plan.agg(F.count_if(F.col("action").isin("keep", "rename")).alias("expected_rows")))
 
 
 def apply_repair(rows: DataFrame, path: str) -> None:

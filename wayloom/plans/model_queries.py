@@ -56,13 +56,13 @@ register("count_model_metrics", lambda spark, sf: rounded(E.count_metrics(order_
          SELECT model, repetition, {r6("avg(d)")} AS deviance, {r6("corr(ry, rp)")} AS spearman, {r6("count(*) FILTER (ty <= 50 AND tp <= 50) / 50e0")} AS precision_k FROM r GROUP BY 1, 2""")
 register("count_model_summary", lambda spark, sf: rounded(E.summarize_metrics(E.count_metrics(order_predictions(spark, sf), 50)).select("model", "deviance", "deviance_sd"), "deviance", "deviance_sd"),
          with_tables(OOF) + f"SELECT model, {r6('avg(d)')} AS deviance, {r6('stddev_samp(d)')} AS deviance_sd FROM (SELECT model, repetition, avg(d) AS d FROM dev GROUP BY 1, 2) GROUP BY 1")
-register("count_model_comparison", lambda spark, sf: rounded(E.compare_with(order_predictions(spark, sf), "size", 200), "difference", "ci_low", "ci_high"),
+register("count_model_comparison", lambda spark, sf: rounded(E.compare_with(order_predictions(spark, sf), "size", 2000), "difference", "ci_low", "ci_high"),
          with_tables(OOF) + f""", p AS (SELECT model, row_id, block, avg(d) AS d FROM dev GROUP BY ALL), f AS (SELECT a.row_id, a.block, a.d - b.d AS diff FROM p a JOIN p b USING (row_id) WHERE a.model = 'wealth' AND b.model = 'size'),
          s AS (SELECT block, sum(diff) AS s, count(*) AS n, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS k FROM f GROUP BY 1),
-         b AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep || ':' || i), 1, 8) AS BIGINT) % k AS i FROM s, range(0, 200) t(rep)), m AS (SELECT rep, sum(s) / sum(n) AS m FROM b JOIN s USING (i) GROUP BY 1),
+         b AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep || ':' || i), 1, 8) AS BIGINT) % k AS i FROM s, range(0, 2000) t(rep)), m AS (SELECT rep, sum(s) / sum(n) AS m FROM b JOIN s USING (i) GROUP BY 1),
          q AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m)
          SELECT 'wealth' AS model, {r6("(SELECT avg(diff) FROM f)")} AS difference, {r6("lo")} AS ci_low, {r6("hi")} AS ci_high, CASE WHEN hi < 0 THEN 'mejora' WHEN lo > 0 THEN 'peor' ELSE 'indistinguible' END AS verdict FROM q""")
-register("count_model_decision", lambda spark, sf: E.decide(order_predictions(spark, sf), ["size"], ["wealth"], 200))
+register("count_model_decision", lambda spark, sf: E.decide(order_predictions(spark, sf), ["size"], ["wealth"], 2000))
 register("supply_gap", lambda spark, sf: rounded(E.supply_gap(order_predictions(spark, sf), "wealth"), "esperado", "brecha_relativa", "brecha_p10", "brecha_p90"),
          with_tables(OOF) + f"""SELECT row_id, {r6("avg(prediction)")} AS esperado, any_value(y) AS observado, {r6("(avg(prediction) - any_value(y)) / sqrt(avg(prediction) + 1)")} AS brecha_relativa,
          {r6("quantile_cont((prediction - y) / sqrt(prediction + 1), 0.1)")} AS brecha_p10, {r6("quantile_cont((prediction - y) / sqrt(prediction + 1), 0.9)")} AS brecha_p90 FROM oof WHERE model = 'wealth' GROUP BY 1""")
@@ -137,15 +137,15 @@ register("threshold_table", lambda spark, sf: rounded(E.threshold_table(answered
 register("chosen_threshold", lambda spark, sf: E.choose_threshold(answered(spark, sf), "truth"),
          with_tables(ANSWERED, GRID) + """, w AS (SELECT threshold, avg(coalesce(answer <> truth, false)::INT) AS w FROM h GROUP BY 1), k AS (SELECT avg(coalesce(keyword <> truth, false)::INT) AS w FROM a)
          SELECT coalesce(min(threshold) FILTER (w.w <= k.w + 0.02e0), max(threshold)) AS threshold FROM w, k""")
-register("hybrid_adoption", lambda spark, sf: E.adoption(answered(spark, sf).withColumn("answer", E.hybrid(F.col("keyword"), E.learned_answer(F.col("category"), F.col("probability"), 0.5))), "truth", "keyword", "answer", 1000))
+register("hybrid_adoption", lambda spark, sf: E.adoption(answered(spark, sf).withColumn("answer", E.hybrid(F.col("keyword"), E.learned_answer(F.col("category"), F.col("probability"), 0.5))), "truth", "keyword", "answer", 5000))
 
 
 def phrases(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text", "lang")
 
 
-register("phrase_language_model", lambda spark, sf: (lambda m: O.classify_phrases(m, phrases(spark, sf), "text", 2, 3).groupBy("lang", "category").agg(F.count("*").alias("n")))(O.fit_phrases(phrases(spark, sf), "text", "lang", low=2, high=3, vocabulary=4096)))
-register("phrase_out_of_fold", lambda spark, sf: E.answer_summary(O.out_of_fold_phrases(table(spark, sf, "part").select("p_partkey", "p_name", F.col("p_type").alias("truth")), "p_name", "truth", "p_partkey", 2, low=2, high=3, vocabulary=2048), "category", "truth"))
+register("phrase_language_model", lambda spark, sf: (lambda m: O.classify_phrases(m, phrases(spark, sf), "text").groupBy("lang", "category").agg(F.count("*").alias("n")))(O.fit_phrases(phrases(spark, sf), "text", "lang")))
+register("phrase_out_of_fold", lambda spark, sf: E.answer_summary(O.out_of_fold_phrases(table(spark, sf, "part").select("p_partkey", "p_name", F.col("p_type").alias("truth")), "p_name", "truth", "p_partkey"), "category", "truth"))
 register("word_ngrams", lambda spark, sf: table(spark, sf, "part").select(F.explode(X.word_ngrams(X.model_text(F.col("p_name")), 2, 5)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")),
          """WITH w AS (SELECT ' ' || unnest(string_split(lower(p_name), ' ')) || ' ' AS w FROM part), g AS (SELECT substr(w, i::INT, n::INT) AS gram FROM w, range(2, 6) a(n), range(1, 60) b(i)
          WHERE (n <= length(w) AND i + n - 1 <= length(w)) OR (n = length(w) + 1 AND FALSE)) SELECT gram, count(*) AS n FROM g GROUP BY 1""")
@@ -153,7 +153,7 @@ register("word_ngrams", lambda spark, sf: table(spark, sf, "part").select(F.expl
 
 # --- fits ------------------------------------------------------------------------------------------------------------
 def by_cycle(rows):
-    return R.chronological_split(rows.withColumn("_k", F.lit(1)), ["_k"]).drop("_k")
+    return R.chronological_split(rows, [])
 
 
 register("travel_time_features", lambda spark, sf: rounded(O.travel_features(measurements(spark, sf)).select("id", *O.TRAVEL_FEATURES), "temperature", "no_traffic_time_min", "travel_time_min_lag"),
@@ -162,8 +162,8 @@ register("travel_time_features", lambda spark, sf: rounded(O.travel_features(mea
          {r6("coalesce(lagged, 0)")} AS travel_time_min_lag FROM l WHERE travel_time_min IS NOT NULL""")
 register("route_model_status", lambda spark, sf: O.route_model_status(O.travel_features(measurements(spark, sf)), 200),
          with_tables(MEASUREMENTS) + "SELECT origin, destination, count(*) AS samples, count(*) >= 200 AS trained FROM measurements WHERE travel_time_min IS NOT NULL GROUP BY 1, 2")
-register("travel_time_predictions", lambda spark, sf: (lambda f: O.predict_travel_time(O.fit_travel_time(f, 5, 6), f))(O.travel_features(measurements(spark, sf))))
-register("travel_time_importances", lambda spark, sf: O.importances(O.fit_travel_time(O.trainable(O.travel_features(measurements(spark, sf))), 5, 6), spark))
+register("travel_time_predictions", lambda spark, sf: (lambda f: O.predict_travel_time(O.fit_travel_time(f), f))(O.travel_features(measurements(spark, sf))))
+register("travel_time_importances", lambda spark, sf: O.importances(O.fit_travel_time(O.trainable(O.travel_features(measurements(spark, sf)))), spark))
 register("travel_time_evaluation", lambda spark, sf: O.evaluate_travel_time(measurements(spark, sf), 5, 6))
 register("travel_time_verdict", lambda spark, sf: O.travel_time_verdict(O.evaluate_travel_time(measurements(spark, sf), 5, 6)))
 register("ensemble_evaluation", lambda spark, sf: O.evaluate_ensemble(measurements(spark, sf), 5, 5))
@@ -177,7 +177,7 @@ def newest_predictions(spark, sf):
 register("route_predictions", newest_predictions)
 register("high_delay_classifiers", lambda spark, sf: O.evaluate_high_delay(measurements(spark, sf), by_cycle, 5))
 register("travel_time_regression", lambda spark, sf: O.evaluate_regression(measurements(spark, sf), by_cycle, 5))
-register("corridor_clusters", lambda spark, sf: O.corridor_clusters(R.corridor_profile(measurements(spark, sf)), 4)[0])
+register("corridor_clusters", lambda spark, sf: O.corridor_clusters(R.corridor_profile(measurements(spark, sf)), 4, 8)[0])
 
 
 def zone_values(spark, sf):

@@ -292,12 +292,47 @@ register("available_layers", lambda spark, sf: N.available_layers(lenses(spark,
 register("lens_export",
          lambda spark, sf: N.export_frame(stable_panorama(spark, sf), "food_drink", C.second_source(spark, sf).select(G.cell_id(*G.cell_index(F.col("latitude"), F.col("longitude"))).alias("cell_id"))).select("cell_id", shown(F.col("mercado_total")).alias("mercado_total"), "confianza_nivel"),
          PANORAMA.replace("WITH pois AS", f"WITH {C.SECOND},\npois AS", 1) + f"""SELECT cell_id, {r6("mercado_total")} AS mercado_total, confianza_nivel FROM starred WHERE profile = 'food_drink' AND (fila, col) IN (SELECT (fila, col) FROM (SELECT {CELL_OF} FROM second))""")
+
+
+def nation_wishes(spark, sf):
+    """Every nation as a user who competes with the food places and shops that it has itself."""
+    food = C.pois(spark, sf).filter(F.col("category").isin("food_drink", "business") & (F.col("c_acctbal") > 0)).select(
+        F.concat(F.lit("business:"), F.col("c_nationkey").cast("string")).alias("profile"), F.lit("directa").alias("part"), F.lit(None).cast("string").alias("element"), "category", "subcategory"
+    ).distinct()
+    return food.groupBy("profile", "part", "element", "category").agg(F.array_sort(F.collect_set("subcategory")).alias("subs")).withColumn("without", F.lit(None).cast("array<string>"))
+
+
+def nation_rules(spark, sf):
+    """The business profile with a list of named direct competitors, once for each nation."""
+    base = T.profile_rules(spark, {"business": T.PROFILES["business"] | {"directa": (T.only("business", "clothes", "shoes", "deli", "butcher", "bakery"), T.only("food_drink", "bar", "cafe"))}})
+    users = table(spark, sf, "nation").select(F.concat(F.lit("business:"), F.col("n_nationkey").cast("string")).alias("user"))
+    return users.join(base, F.col("user").startswith(F.col("profile"))).withColumn("profile", F.col("user")).drop("user")
+
+
+WISHED = """base(category, item) AS (VALUES ('business', 'clothes'), ('business', 'shoes'), ('business', 'deli'), ('business', 'butcher'), ('business', 'bakery'), ('food_drink', 'bar'), ('food_drink', 'cafe'),
+  ('mall', ''), ('belleza', ''), ('taller', '')),
+mine AS (SELECT DISTINCT c_nationkey AS k, category, subcategory FROM pois WHERE category IN ('food_drink', 'business') AND c_acctbal > 0),
+dv AS (SELECT n_nationkey AS k, count(*) FILTER (EXISTS (SELECT 1 FROM mine WHERE mine.k = n_nationkey) AND item <> ''
+  AND NOT EXISTS (SELECT 1 FROM mine WHERE mine.k = n_nationkey AND mine.category = base.category AND mine.subcategory = item)) / 10e0 AS d FROM nation, base GROUP BY 1)"""
 register("profile_deviation",
-         lambda spark, sf: T.deviation(
-             T.profile_rules(spark, {**T.PROFILES, "food_drink": T.apply_overrides("food_drink", directa=(T.only("food_drink", "bar"),), indirecta=(T.only("business", "deli"),))[0]}).join(
-                 C.pois(spark, sf).select("category").distinct(), "category", "left_semi"),
-             T.profile_rules(spark).join(C.pois(spark, sf).select("category").distinct(), "category", "left_semi")).withColumn("deviation", shown(F.col("deviation"))),
-         with_tables(rules_sql()) + f"SELECT DISTINCT profile, {r6('CASE WHEN profile = $$food_drink$$ THEN 0.75 ELSE 0 END')} AS deviation FROM rules WHERE EXISTS (SELECT 1 FROM customer)")
+         lambda spark, sf: (lambda rules, wishes, known: T.deviation(T.custom_profiles(rules, wishes, known), rules))(nation_rules(spark, sf), nation_wishes(spark, sf), T.element_rules(spark)).withColumn("deviation", shown(F.col("deviation"))),
+         with_tables(C.POIS, WISHED) + f"SELECT 'business:' || k AS profile, {r6('d')} AS deviation FROM dv")
+register("profile_warnings",
+         lambda spark, sf: T.wish_warnings(nation_rules(spark, sf), nation_wishes(spark, sf).unionByName(nation_extras(spark, sf)), T.element_rules(spark)).withColumn("share", shown(F.col("share"))),
+         with_tables(C.POIS, WISHED) + f"""SELECT 'business:' || k AS profile, 'competition mostly removed' AS warning, NULL::VARCHAR AS part, NULL::VARCHAR AS element, {r6('d')} AS share FROM dv WHERE d > 0.5e0
+         UNION ALL SELECT 'business:' || n_nationkey, 'unknown element', 'mercado', lower(n_name), NULL FROM nation WHERE n_nationkey % 3 = 0
+         UNION ALL SELECT 'business:' || n_nationkey, 'default kept', 'mercado', NULL, NULL FROM nation WHERE n_nationkey % 3 = 0
+         UNION ALL SELECT 'business:' || n_nationkey, 'default kept', 'proveedores', NULL, NULL FROM nation WHERE n_nationkey % 4 = 0""")
+
+
+def nation_extras(spark, sf):
+    """Wishes for a market nobody knows, and for no suppliers at all."""
+    n = table(spark, sf, "nation")
+    none = [F.lit(None).cast("string").alias("category"), *[F.lit(None).cast("array<string>").alias(c) for c in ("subs", "without")]]
+    user = F.concat(F.lit("business:"), F.col("n_nationkey").cast("string")).alias("profile")
+    market = n.filter("n_nationkey % 3 = 0").select(user, F.lit("mercado").alias("part"), F.lower("n_name").alias("element"), *none)
+    return market.unionByName(n.filter("n_nationkey % 4 = 0").select(user, F.lit("proveedores").alias("part"), F.lit(None).cast("string").alias("element"), *none))
+
 
 # --- zone scores -----------------------------------------------------------------------------------------------------
 CATEGORIES = [c for c in T.CATEGORY_TAGS]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayloom.operators import timeseries as TS
@@ -70,14 +71,22 @@ register("unit_root", on_measurements(lambda m: rounded(TS.unit_root(m, ROUTE, V
          with_tables(MEASUREMENTS, PLACED) + f""", d AS (SELECT origin, destination, v - lag(v) OVER w AS dv, lag(v) OVER w AS y1 FROM x WINDOW w AS ({PART} ORDER BY pos)),
          s AS (SELECT origin, destination, count(dv) AS n, regr_slope(dv, y1) AS b, sqrt(regr_syy(dv, y1) * (1 - regr_r2(dv, y1)) / (regr_count(dv, y1) - 2) / regr_sxx(dv, y1)) AS se FROM d GROUP BY 1, 2)
          SELECT origin, destination, n, {r6("b / se", 4)} AS statistic, b / se < -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n) AS stationary FROM s""")
+CHANGES = with_tables(MEASUREMENTS, PLACED) + f""", s AS (SELECT *, CASE WHEN n < 12 AND pos BETWEEN 2 AND n - 2 THEN avg(v) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) - avg(v) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)
+      WHEN n BETWEEN 12 AND 14 AND pos BETWEEN 3 AND n - 2 THEN avg(v) OVER (w ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) - avg(v) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)
+      WHEN n >= 15 AND pos BETWEEN 3 AND n - 3 THEN avg(v) OVER (w ROWS BETWEEN 1 PRECEDING AND 3 FOLLOWING) - avg(v) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE 0 END AS step
+      FROM x WHERE n >= 10 WINDOW w AS ({PART} ORDER BY pos)),
+    k AS (SELECT *, 2 * stddev_pop(step) OVER ({PART}) AS lim FROM s WHERE pos < n),
+    a AS (SELECT origin, destination, timestamp AS moment, row_number() OVER ({PART} ORDER BY timestamp, id) AS pos FROM measurements)
+    SELECT origin, destination, k.pos - 1 AS index, moment AS timestamp, v AS value, {r6("step")} AS change, {r6("lim")} AS threshold FROM k JOIN a USING (origin, destination, pos) WHERE abs(step) > lim"""
 register(
     "change_points",
     on_measurements(lambda m: rounded(TS.change_points(m, ROUTE, V, 2.0), "change", "threshold")),
-    with_tables(MEASUREMENTS, PLACED) + f""", s AS (SELECT *, CASE WHEN pos BETWEEN 3 AND n - 3 THEN avg(v) OVER (w ROWS BETWEEN 1 PRECEDING AND 3 FOLLOWING) - avg(v) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE 0 END AS step
-      FROM x WHERE n >= 15 WINDOW w AS ({PART} ORDER BY pos)),
-    k AS (SELECT *, 2 * stddev_pop(step) OVER ({PART}) AS lim FROM s WHERE pos < n),
-    a AS (SELECT origin, destination, timestamp AS moment, row_number() OVER ({PART} ORDER BY timestamp, id) AS pos FROM measurements)
-    SELECT origin, destination, k.pos - 1 AS index, moment AS timestamp, v AS value, {r6("step")} AS change, {r6("lim")} AS threshold FROM k JOIN a USING (origin, destination, pos) WHERE abs(step) > lim""",
+    CHANGES,
+)
+register(
+    "change_points_short_series",
+    on_measurements(lambda m: rounded(TS.change_points(m.withColumn("origin", F.concat("origin", F.lit(":"), F.dayofmonth("timestamp").cast("string"), F.lit(":"), (F.col("id") % 7).cast("string"))), ROUTE, V, 2.0), "change", "threshold")),
+    CHANGES.replace("x AS (SELECT", "short AS (SELECT * REPLACE (origin || ':' || day(timestamp) || ':' || id % 7 AS origin) FROM measurements),\nx AS (SELECT", 1).replace("FROM measurements WHERE", "FROM short WHERE").replace("AS pos FROM measurements)", "AS pos FROM short)"),
 )
 TT = """m AS (SELECT origin, destination, count(a) AS n1, avg(a) AS m1, var_samp(a) AS v1, count(b) AS n2, avg(b) AS m2, var_samp(b) AS v2 FROM
   (SELECT origin, destination, CASE WHEN isodow(timestamp) < 6 THEN travel_time_min END AS a, CASE WHEN isodow(timestamp) >= 6 THEN travel_time_min END AS b FROM measurements) GROUP BY 1, 2)"""
@@ -124,12 +133,25 @@ register("week_ahead_forecast", on_series(lambda s: rounded(TS.week_ahead(s, ["d
          sd AS (SELECT s.data_source, stddev_samp(share - m) AS sd FROM series s JOIN p ON p.data_source = s.data_source AND hd = hour(s.hour) AND wd = isodow(s.hour) WHERE share IS NOT NULL GROUP BY 1),
          a AS (SELECT e.data_source, l + INTERVAL 1 HOUR * k::INT AS hour, mean, sd FROM e JOIN sd USING (data_source) CROSS JOIN range(1, 169) t(k))
          SELECT a.data_source, a.hour, {r6("coalesce(m, mean)")} AS forecast, {r6("coalesce(m, mean) - 1.96e0 * sd")} AS lower, {r6("coalesce(m, mean) + 1.96e0 * sd")} AS upper FROM a LEFT JOIN p ON p.data_source = a.data_source AND hd = hour(a.hour) AND wd = isodow(a.hour)""")
-register("seasonal_forecast", on_series(lambda s: rounded(TS.seasonal_forecast(s, ["data_source"]), "forecast", "lower", "upper")),
-         S_SQL + f""", z AS (SELECT a.data_source, a.hour, a.share AS y, a.share - b.share AS z FROM series a LEFT JOIN series b ON a.data_source = b.data_source AND a.hour = b.hour + INTERVAL 24 HOUR),
+def gapped_series(spark, sf):
+    """The series without 11 to 15 o'clock of every third day, the last four hours, and two hours of every fifth day."""
+    h, d = F.hour("hour"), F.dayofmonth("hour")
+    gone = (h.between(11, 15) & (d % 3 == 0)) | (h.between(3, 4) & (d % 5 == 0)) | (F.col("hour") > F.max("hour").over(Window.partitionBy("data_source")) - F.expr("INTERVAL 4 HOURS"))
+    return TS.high_delay_series(measurements(spark, sf), ["data_source"]).withColumn("share", F.when(~gone, F.col("share")))
+
+
+register("seasonal_forecast", lambda spark, sf: rounded(TS.seasonal_forecast(gapped_series(spark, sf), ["data_source"]), "forecast", "lower", "upper"),
+         S_SQL + f""", gs AS (SELECT data_source, hour, CASE WHEN NOT (hour(hour) BETWEEN 11 AND 15 AND day(hour) % 3 = 0 OR hour(hour) BETWEEN 3 AND 4 AND day(hour) % 5 = 0 OR hour > max(hour) OVER (PARTITION BY data_source) - INTERVAL 4 HOUR) THEN share END AS share FROM series),
+         gi AS (SELECT *, row_number() OVER (PARTITION BY data_source ORDER BY hour) AS i FROM gs),
+         gn AS (SELECT *, last_value(CASE WHEN share IS NOT NULL THEN i END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS pi, last_value(share IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS pv,
+           first_value(CASE WHEN share IS NOT NULL THEN i END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni,
+           first_value(share IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv FROM gi WINDOW w AS (PARTITION BY data_source ORDER BY hour)),
+         fl AS (SELECT data_source, hour, coalesce(share, CASE WHEN i - pi <= 3 THEN coalesce(pv + (nv - pv) * (i - pi) / nullif(ni - pi, 0), pv) END) AS share FROM gn),
+         z AS (SELECT a.data_source, a.hour, a.share AS y, a.share - b.share AS z FROM fl a LEFT JOIN fl b ON a.data_source = b.data_source AND a.hour = b.hour + INTERVAL 24 HOUR),
          q AS (SELECT *, lag(z) OVER (PARTITION BY data_source ORDER BY hour) AS z1 FROM z),
-         f AS (SELECT data_source, regr_slope(z, z1) AS b, regr_intercept(z, z1) AS a, sqrt(regr_syy(z, z1) * (1 - regr_r2(z, z1)) / (regr_count(z, z1) - 2)) AS sd, max(hour) AS l, arg_max(z, hour) AS zt FROM q GROUP BY 1),
+         f AS (SELECT data_source, regr_slope(z, z1) AS b, regr_intercept(z, z1) AS a, sqrt(regr_syy(z, z1) * (1 - regr_r2(z, z1)) / (regr_count(z, z1) - 2)) AS sd, max(hour) AS l, arg_max(z, hour) FILTER (z IS NOT NULL) AS zt, date_diff('hour', max(hour) FILTER (z IS NOT NULL), max(hour)) AS late FROM q GROUP BY 1),
          k AS (SELECT f.*, s::INT AS step, l + INTERVAL 1 HOUR * s::INT AS hour FROM f, range(1, 25) t(s)),
-         v AS (SELECT k.*, y + a * (1 - pow(b, step)) / (1 - b) + pow(b, step) * zt AS fc, {TS.NORMAL_80!r} * sd * sqrt((1 - pow(b, 2 * step)) / (1 - b * b)) AS hf FROM k JOIN z ON z.data_source = k.data_source AND z.hour = k.hour - INTERVAL 24 HOUR)
+         v AS (SELECT k.*, y + a * (1 - pow(b, step + late)) / (1 - b) + pow(b, step + late) * zt AS fc, {TS.NORMAL_80!r} * sd * sqrt((1 - pow(b, 2 * (step + late))) / (1 - b * b)) AS hf FROM k JOIN z ON z.data_source = k.data_source AND z.hour = k.hour - INTERVAL 24 HOUR)
          SELECT data_source, hour, step, {r6("fc")} AS forecast, {r6("fc - hf")} AS lower, {r6("fc + hf")} AS upper FROM v""")
 BASELINES = """days AS (SELECT data_source, CAST(hour AS DATE) AS cut, count(*) AS hours, count(share) AS future_obs FROM series GROUP BY 1, 2),
 elig AS (SELECT d.data_source, d.cut, d.future_obs, (SELECT count(share) FROM series s WHERE s.data_source = d.data_source AND s.hour < d.cut) AS past_obs FROM days d WHERE hours = 24),
