@@ -255,7 +255,10 @@ def corridor_clusters(corridors: DataFrame, k: int = 4, elbow_to: int = 0) -> tu
         PCA(k=2, inputCol="features", outputCol="_pc"),
     ]).fit(corridors.na.drop(subset=columns))
     scaled = front.transform(corridors.na.drop(subset=columns))
-    costs = [(n, KMeans(k=n, seed=42).fit(scaled).summary.trainingCost) for n in range(1, elbow_to + 1)]
+    parts = vector_to_array("features")
+    single = scaled.agg(F.count("*").alias("n"), *[F.var_pop(parts[i]).alias(f"v{i}") for i in range(len(columns))]).first() if elbow_to else None
+    costs = [(1, single["n"] * sum(single[f"v{i}"] or 0.0 for i in range(len(columns))))] if elbow_to else []
+    costs += [(n, KMeans(k=n, seed=42).fit(scaled).summary.trainingCost) for n in range(2, elbow_to + 1)]
     labelled = KMeans(k=k, seed=42).fit(scaled).transform(scaled)
     pc = vector_to_array("_pc")
     return labelled.select(*ROUTE, *columns, "n", F.col("prediction").alias("cluster"), pc[0].alias("pc1"), pc[1].alias("pc2")), costs
