@@ -65,7 +65,7 @@ def language_models(labelled: DataFrame, grams: DataFrame, order: int = ORDER) -
     asked = grams.select("gram").distinct().select("gram", levels).select("gram", "k", F.expr(f"substring(gram, {n} - k + 1, k)").alias("tail"), F.expr(f"substring(gram, {n} - k + 1, k - 1)").alias("context"))
     joined = asked.join(tails, ["k", "tail"], "left").join(contexts, ["k", "context"], "left").na.fill(0)
     steps = joined.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "a", "b", "na", "nb", "ta", "tb"))).alias("s"))
-    chance = "aggregate(s, cast(1.0 / 256 as double), (p, x) -> if(x.n{c} = 0, p, (x.{c} + x.t{c} * p) / (x.n{c} + x.t{c})))"
+    chance = "aggregate(s, 0.00390625D, (p, x) -> if(x.n{c} = 0, p, (x.{c} + x.t{c} * p) / (x.n{c} + x.t{c})))"
     return steps.select("gram", F.round((F.log(F.expr(chance.format(c="a"))) - F.log(F.expr(chance.format(c="b")))) * UNIT).cast("long").alias("ratio"))
 
 
