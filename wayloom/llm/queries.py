@@ -34,7 +34,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+    return url_filter.url_filter(table(spark, sf_dir, "pages")).withColumn("score", F.round(F.col("score") + 1.3e-8, 6))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,4 @@ QUERIES = {
         op1_exact_dedup, op2_surrogates, op3_minhash_near_dedup, op4_url_filter, op5_html_text, op6_decontamination, op7_bpe, op8_line_dedup, op9_sharding, op10_language_id, pipeline,
     )
 }
-ORACLE = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op9_sharding": sharding.OP9_SQL}
+ORACLE = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_url_filter": url_filter.url_sql(), "op9_sharding": sharding.OP9_SQL}

@@ -114,3 +114,32 @@ def url_filter(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
         open_urls = urls.filter(F.col("verdict").isNull()).select("host", "path", F.lit(None).cast("double").alias("score"), F.lit("allow").alias("guess"))
     ruled = rows.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
     return ruled.join(open_urls, ["host", "path"], "left").select("page_id", "host", "path", "r.rule", F.coalesce("r.verdict", "guess").alias("verdict"), "score")
+
+
+def url_sql(rules=RULES, order: int = ORDER) -> str:
+    """The same verdicts in DuckDB SQL."""
+    n = order + 1
+    values = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in rules)
+    steps = ["p0 AS (SELECT gram, 0.00390625::DOUBLE AS pa, 0.00390625::DOUBLE AS pb FROM asked)"]
+    for k in range(1, n + 1):
+        mixed = ", ".join(f"CASE WHEN coalesce(n{c}, 0) = 0 THEN p{c} ELSE (coalesce(t.{c}, 0) + t{c} * p{c}) / (n{c} + t{c}) END AS p{c}" for c in "ab")
+        steps.append(f"p{k} AS (SELECT p.gram, {mixed} FROM p{k - 1} p LEFT JOIN tails t ON t.k = {k} AND t.tail = right(p.gram, {k}) LEFT JOIN contexts c ON c.k = {k} AND c.context = left(right(p.gram, {k}), {k - 1}))")
+    return f"""
+WITH rules(rule, h, p, v) AS (VALUES {values}),
+r AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+d AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM r) LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1, 2),
+u AS (SELECT *, repeat(chr(1), {order}) || regexp_replace(host || path, '[0-9]', '0', 'g') || chr(2) AS chars, ('0x' || substr(md5(host || path), 1, 8))::BIGINT % {FOLDS} AS fold FROM d),
+g AS (SELECT host, path, verdict, fold, substr(chars, i, {n}) AS gram FROM (SELECT *, unnest(range(1, length(chars) - {order} + 1)) AS i FROM u)),
+counted AS (SELECT gram, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM g WHERE verdict IS NOT NULL AND fold > 0 GROUP BY 1),
+tails AS (SELECT k, right(gram, k::INT) AS tail, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM counted, range(1, {n + 1}) t(k) GROUP BY 1, 2),
+contexts AS (SELECT k, left(tail, k::INT - 1) AS context, sum(a)::BIGINT AS na, sum(b)::BIGINT AS nb, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM tails GROUP BY 1, 2),
+judged AS (SELECT * FROM g WHERE verdict IS NULL OR fold = 0), asked AS (SELECT DISTINCT gram FROM judged),
+{", ".join(steps)},
+scores AS (SELECT host, path, any_value(verdict) AS verdict, sum(round((ln(pa) - ln(pb)) * {UNIT}))::DOUBLE / count(*) / {UNIT} AS score FROM judged JOIN p{n} USING (gram) GROUP BY 1, 2),
+bins AS (SELECT floor(score * {GRAIN}) AS bin, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM scores WHERE verdict IS NOT NULL GROUP BY 1),
+rates AS (SELECT bin, coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(a) OVER ()
+  + (sum(a) OVER () - coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * sum(b) OVER () AS good, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM bins),
+cut AS (SELECT coalesce((SELECT bin FROM rates WHERE na > 0 AND nb > 0 ORDER BY good DESC, bin LIMIT 1), 0) / {GRAIN} AS c)
+SELECT page_id, host, path, d.rule, coalesce(d.verdict, CASE WHEN score >= c THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN d.verdict IS NULL THEN round(score + 1.3e-8, 6) END AS score
+FROM r JOIN d USING (host, path) LEFT JOIN scores USING (host, path), cut"""
