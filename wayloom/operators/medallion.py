@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,10 +45,16 @@ def _row_quality() -> Column:
 
 
 def bronze_audit(raw: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Every raw row with the reason it is left out of bronze (NULL = accepted) and its quality score."""
+    """Every raw row with the reason it is left out of bronze (NULL = accepted) and its quality score.
+
+    The first row of a key comes from an aggregate, so a key with very many rows (one without an instant, say) is folded
+    before the exchange; `order` tells the rows of a key apart."""
     require_columns(raw, [*MEASUREMENT_KEY, "travel_time_min"])
-    copy_no = F.row_number().over(Window.partitionBy(*MEASUREMENT_KEY).orderBy(*order))
-    rows = _parsed(raw.withColumn("_copy", copy_no))
+    place = F.struct(*order)
+    first = raw.groupBy(*[F.col(c).alias(f"_k_{c}") for c in MEASUREMENT_KEY]).agg(F.min(place).alias("_first"))
+    same_key = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in MEASUREMENT_KEY])
+    placed = raw.join(first, same_key).withColumn("_copy", ~place.eqNullSafe(F.col("_first")))
+    rows = _parsed(placed.drop("_first", *[f"_k_{c}" for c in MEASUREMENT_KEY]))
     for c in OPTIONAL_FIELDS:
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("double"))
@@ -55,7 +62,7 @@ def bronze_audit(raw: DataFrame, order: Sequence[str]) -> DataFrame:
     for c in [*MEASUREMENT_KEY, "travel_time_min"]:
         missing = missing | F.col(c).isNull()
     reason = (
-        F.when(F.col("_copy") > 1, "duplicate")
+        F.when(F.col("_copy"), "duplicate")
         .when(missing, "missing")
         .when(~F.col("travel_time_min").between(S.TRAVEL_TIME_MIN, S.TRAVEL_TIME_MAX), "out_of_bounds")
     )

@@ -157,9 +157,9 @@ register("stream_hourly_rollup",
          with_tables(MEASUREMENTS) + f"""SELECT date_trunc('hour', timestamp)::TIMESTAMP AS hour, origin, destination, count(*) AS num_trips, {r6("avg(travel_time_min)")} AS avg_duration_min, {r6("avg(distance_km)")} AS avg_distance_km,
          {r6("100 * avg(coalesce(travel_time_min > 20, false)::INT)")} AS pct_alta_demora FROM measurements GROUP BY 1, 2, 3 HAVING hour + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM measurements) - INTERVAL 3 HOUR""")
 register("stream_sliding_statistics",
-         lambda spark, sf: (lambda r: r.select(F.col("until").cast(NTZ).alias("until"), *ROUTE, "n", shown(F.col("avg_travel_time")).alias("avg_travel_time")))(J.run_available(J.sliding_statistics(stream(spark, sf), slide="30 minutes"), spark)),
-         with_tables(MEASUREMENTS) + f""", s AS (SELECT *, unnest([0, 1]) AS k, time_bucket(INTERVAL 30 MINUTE, timestamp) AS b FROM measurements)
-         SELECT b + INTERVAL 30 MINUTE * (k + 1) AS until, origin, destination, count(*) AS n, {r6("avg(travel_time_min)")} AS avg_travel_time FROM s GROUP BY 1, 2, 3 HAVING until <= (SELECT max(timestamp) FROM measurements) - INTERVAL 3 HOUR""")
+         lambda spark, sf: (lambda r: r.select(F.col("until").cast(NTZ).alias("until"), *ROUTE, "n", shown(F.col("avg_travel_time")).alias("avg_travel_time")))(J.run_available(J.sliding_statistics(stream(spark, sf), slide="5 minutes"), spark)),
+         with_tables(MEASUREMENTS) + f""", s AS (SELECT *, unnest(range(0, 12))::INT AS k, time_bucket(INTERVAL 5 MINUTE, timestamp) AS b FROM measurements)
+         SELECT b + INTERVAL 5 MINUTE * (k + 1) AS until, origin, destination, count(*) AS n, {r6("avg(travel_time_min)")} AS avg_travel_time FROM s GROUP BY 1, 2, 3 HAVING until <= (SELECT max(timestamp) FROM measurements) - INTERVAL 3 HOUR""")
 register("stream_sessions",
          lambda spark, sf: (lambda r: r.select("data_source", F.col("first_seen").cast(NTZ).alias("first_seen"), F.col("last_seen").cast(NTZ).alias("last_seen"), "n"))(J.run_available(J.sessions(stream(spark, sf), "15 minutes"), spark)),
          with_tables(MEASUREMENTS) + """, g AS (SELECT *, CASE WHEN epoch_us(timestamp - lag(timestamp) OVER w) >= 15 * 60e6 THEN 1 ELSE 0 END AS s FROM measurements WINDOW w AS (PARTITION BY data_source ORDER BY timestamp, id)),
@@ -171,9 +171,7 @@ register("stream_once_per_key",
 
 
 def stream_state(spark, sf):
-    name = "latest_" + J.scratch(spark)[-32:]
-    J.latest_state(stream(spark, sf)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    state = J.with_staleness(spark.table(name), "2024-01-30 23:00:00")
+    state = J.with_staleness(J.run_complete(J.latest_state(stream(spark, sf)), spark), "2024-01-30 23:00:00")
     return state.select(*ROUTE, F.col("latest.id").alias("latest_id"), F.col("traffic.id").alias("traffic_id"), "stale")
 
 

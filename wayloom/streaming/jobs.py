@@ -117,6 +117,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def run_complete(result: DataFrame, spark: SparkSession) -> DataFrame:
+    """Processes everything available in complete mode; each micro-batch replaces the written state, the last one is read."""
+    folder = scratch(spark)
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    query = result.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{folder}/out")
+
+
 def run_available(result: DataFrame, spark: SparkSession) -> DataFrame:
     """Processes everything available in append mode and reads the written result."""
     folder = scratch(spark)
