@@ -30,23 +30,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _stars(edges: DataFrame) -> bool:
+    below = edges.groupBy("v").agg(F.count("*").alias("n"))
+    tops = edges.select(F.col("u").alias("v")).distinct().withColumn("top", F.lit(True))
+    return below.join(tops, "v", "left").filter("n > 1 or top").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root being the smallest node of the component.
 
     Alternating large-star and small-star steps; each only joins edges with one minimum per node, so a node with very many
-    edges stays spread over tasks. Ends when a round changes no edge. Loops and repeated edges are allowed; nodes of loops
-    alone are not returned.
+    edges stays spread over tasks. Ends when every node has one edge, to a node that has none itself. Loops and repeated
+    edges are allowed; nodes of loops alone are not returned.
     """
-    spark = edges.sparkSession
     edges = checkpointed(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     )
 
-    def mark(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-
-    last = mark(edges)
-    while last[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         edges = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
@@ -55,9 +56,5 @@ def components(edges: DataFrame) -> DataFrame:
             edges.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e"))
             .select("e.v", "e.u").filter("v <> u").distinct()
         )
-        now = mark(edges)
-        if now == last:
-            break
-        last = now
     roots = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return roots.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 WIDTH = 5
 U64 = np.uint64
 _GAPS = np.zeros(256, bool)
@@ -58,7 +58,7 @@ def _pieces(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, in
         lo, hi = int(bounds[row]), int(bounds[last])
         while hi - lo > PIECE:
             cut = lo + PIECE
-            while cut < hi and not (gap := np.flatnonzero(_GAPS[data[cut : cut + 4096]])).size:
+            while cut < hi and not (gap := np.flatnonzero(_GAPS[data[cut : min(cut + 4096, hi)]])).size:
                 cut += 4096
             if cut >= hi:
                 break
