@@ -219,7 +219,7 @@ def test_wishes(spark):
     assert {e for e, _ in part(custom, "food_drink", "mercado")} == {"turistas"}
     assert part(custom, "food_drink", "proveedores") == part(rules, "food_drink", "proveedores")
     got = {(r["profile"], r["warning"], r["part"], r["element"]) for r in T.wish_warnings(rules, wishes, known).collect()}
-    assert got == {("food_drink", "unknown element", "mercado", "nadie"), ("food_drink", "default kept", "directa", None)}
+    assert got == {("food_drink", "unknown element", "mercado", "nadie"), ("food_drink", "default kept", "directa", None), ("food_drink", "competition mostly removed", None, None)}
     assert {r["profile"] for r in T.changed_profiles(rules, custom).filter("custom").collect()} == {"food_drink", "business"}
     shares = {r["profile"]: r["deviation"] for r in T.deviation(custom, rules).collect()}
     assert shares["food_drink"] == 0.75 and shares["business"] == 0.25 and shares["school"] == 0
