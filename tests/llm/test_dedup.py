@@ -150,6 +150,15 @@ def test_decontamination_whole_table(spark):
     assert got == brute.leaks(documents(spark), items)
 
 
+def test_lines_are_trimmed_and_named_by_their_text():
+    rng = random.Random(1)
+    texts = ["\n".join("".join(rng.choice(" \t\r\x0bab") for _ in range(rng.randrange(14))) for _ in range(200)), "", "\n\n", " " * 5000 + "x" + " " * 900]
+    lines = line_dedup.Lines(texts)
+    want = [x.strip(brute.SPACE) for t in texts for x in t.split("\n")]
+    assert [lines.points[a:b].tobytes().decode("utf-32-le") for a, b in zip(lines.start, lines.end)] == want
+    assert len(set(want)) == len(set(zip(lines.x.tolist(), lines.y.tolist())))
+
+
 def test_banded_distance():
     rng = random.Random(5)
     xs = ["".join(rng.choice("aébc") for _ in range(rng.choice([0, 1, 2, 3, 10, 70, 140]))) for _ in range(600)]

@@ -17,7 +17,7 @@ EDITS = 2
 FUZZY_FROM = 40
 SMALL = 64
 BLOCK = 1024
-_BATCH = 1 << 20
+_BATCH = 1 << 18
 _rng = np.random.default_rng(20240602)
 _BASE = int(_rng.integers(1, 2**63, dtype=U64)) | 1
 _BACK = pow(_BASE, -1, 2**64)
@@ -29,12 +29,14 @@ class _Tables:
     """A random number for each code point, and powers of the base and its inverse, made once in each process."""
 
     points = np.zeros(0, U64)
+    classes = np.zeros(0, np.uint8)
     up = down = np.ones(1, U64)
 
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(cls.points):
             cls.points = mixed(np.arange(1, 0x110001, dtype=U64) * _SALT)
+            cls.classes = (cls.points >> U64(59)).astype(np.uint8)
         if len(cls.up) < n:
             up, down = np.full(n, _BASE, U64), np.full(n, _BACK, U64)
             up[0] = down[0] = 1
@@ -55,24 +57,38 @@ class Lines:
         sizes = np.array([t.count("\n") + 1 for t in texts])
         self.text = np.repeat(np.arange(len(texts)), sizes)
         self.number = np.arange(len(starts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        gap = np.isin(self.points, (32, 9, 11, 12, 13))
-        solid = np.flatnonzero(~gap & (self.points != 10))
+        self.start, self.end = self._trimmed(starts, ends)
+        self.length = self.end - self.start
+        middle = (self.start + self.end) // 2
+        h, a, b = (self.hashes(*p) for p in ((self.start, self.end), (self.start, middle), (middle, self.end)))
+        # The whole and both halves: two texts of one length agree in both only if both halves do.
+        self.x, self.y = mixed(h + self.length.astype(U64)).view(np.int64), mixed(a * _SALT + b + self.length.astype(U64)).view(np.int64)
+
+    def _trimmed(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans without spaces, tabs and the like at their ends: step by step where there are few, else by a search."""
+        padded = np.append(self.points, np.uint32(0))
+
+        def gap(p: np.ndarray) -> np.ndarray:
+            return (p == 32) | ((p >= 9) & (p <= 13))
+
+        for _ in range(4):
+            left, right = (starts < ends) & gap(padded[starts]), (starts < ends) & gap(padded[ends - 1])
+            if not left.any() and not right.any():
+                return starts, ends
+            starts = starts + left
+            ends = np.maximum(ends - right, starts)
+        solid = np.append(np.flatnonzero(~gap(self.points)), len(self.points))
         first, last = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
         full = last > first
-        padded = np.r_[solid, 0]
-        self.start = np.where(full, padded[first], starts)
-        self.end = np.where(full, padded[last - 1] + 1, starts)
-        self.length = self.end - self.start
-        h = self.hashes(self.start, self.end)
-        self.x, self.y = mixed(h + self.length.astype(U64)).view(np.int64), mixed((h ^ _SALT) * U64(_BASE) + self._rest()).view(np.int64)
+        return np.where(full, solid[np.minimum(first, len(solid) - 1)], starts), np.where(full, solid[last - 1] + 1, starts)
 
-    def _rest(self) -> np.ndarray:
-        """A second hash of whole lines, over squares of the numbers of their code points."""
-        table, up, down = _Tables.of(len(self.points) + 1)
-        values = table[self.points]
-        sums = np.zeros(len(self.points) + 1, U64)
-        np.cumsum(values * values * up[:-1], out=sums[1:])
-        return mixed((sums[self.end] - sums[self.start]) * down[self.start])
+    def bags(self, chosen: np.ndarray) -> np.ndarray:
+        """For each line how often characters of 32 classes occur, each count modulo 4 in two bits."""
+        sizes = self.length[chosen]
+        at = np.repeat(self.start[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        slots = np.repeat(np.arange(len(chosen)) * 32, sizes) + _Tables.classes[self.points[at]]
+        counts = np.bincount(slots, minlength=32 * len(chosen)).reshape(-1, 32) & 3
+        return (counts.astype(U64) << (U64(2) * np.arange(32, dtype=U64))).sum(axis=1, dtype=U64).view(np.int64)
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self._sums[b] - self._sums[a]) * self._down[a]
@@ -145,8 +161,18 @@ def segment_keys(lines: Lines, chosen: np.ndarray, edits: int) -> tuple[np.ndarr
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(indexed)
 
 
+def alike(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Whether two bags may belong to lines within the distance: an edit changes the counts of two classes at most."""
+    differ = (a ^ b).view(U64)
+    return np.bitwise_count((differ | (differ >> U64(1))) & U64(0x5555555555555555)) <= 2 * edits
+
+
+def _alike(a: str, b: str, edits: int) -> str:
+    return f"bit_count((({a} ^ {b}) | shiftrightunsigned({a} ^ {b}, 1)) & {0x5555555555555555}L) <= {2 * edits}"
+
+
 def postings(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
-    """(key, x, y, indexed) of all lines of at least `fuzzy_from` characters; a line repeated in one batch comes once."""
+    """(key, x, y, indexed, bag) of all lines of at least `fuzzy_from` characters; a line repeated in one batch comes once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,16 +183,17 @@ def postings(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM)
                     continue
                 long = long[np.unique(lines.x[long], return_index=True)[1]]
                 rows, keys, indexed = segment_keys(lines, long, edits)
+                bags = lines.bags(long)
                 for at in range(0, len(rows), 1 << 17):
                     cut = slice(at, at + (1 << 17))
                     own = long[rows[cut]]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(lines.x[own]), pa.array(lines.y[own]), pa.array(indexed[cut])], ["key", "x", "y", "indexed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(lines.x[own]), pa.array(lines.y[own]), pa.array(indexed[cut]), pa.array(bags[rows[cut]])], ["key", "x", "y", "indexed", "bag"])
 
-    return _texts(docs).mapInArrow(work, "key long, x long, y long, indexed boolean")
+    return _texts(docs).mapInArrow(work, "key long, x long, y long, indexed boolean, bag long")
 
 
-def met(posts: DataFrame, small: int = SMALL) -> DataFrame:
-    """What meets under the keys: pairs of lines (tag 0), or for a key of more than `small` lines, pairs with one indexed line
+def met(posts: DataFrame, edits: int = EDITS, small: int = SMALL) -> DataFrame:
+    """What meets under the keys: pairs of lines with like bags (tag 0), or for a key of more than `small` lines, pairs with one indexed line
     and (tag 1) the lines themselves. Rows of a key pass by in order; no more than `small` of them are held."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,45 +202,47 @@ def met(posts: DataFrame, small: int = SMALL) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = np.stack([batch.column("key").to_numpy(), batch.column("x").to_numpy(), batch.column("y").to_numpy(), batch.column("indexed").to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
+            new = np.stack([batch.column("key").to_numpy(), batch.column("x").to_numpy(), batch.column("y").to_numpy(), batch.column("indexed").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("bag").to_numpy()], axis=1)
             rows = new if rest is None else np.concatenate([rest, new])
             cut = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1 if rows[0, 0] != rows[-1, 0] else 0
             if cut:
-                found, hub = _paired(rows[:cut], hub, small)
+                found, hub = _paired(rows[:cut], hub, edits, small)
                 if len(found):
                     yield _pair_batch(found)
             rest = rows[cut:]
             if len(rest) > 4 * small:
                 # One key alone: its lines go out, and only the first indexed one is kept.
-                found, hub = _paired(rest, hub if hub and hub[0] == rest[0, 0] else None, small, True)
+                found, hub = _paired(rest, hub if hub and hub[0] == rest[0, 0] else None, edits, small, True)
                 if len(found):
                     yield _pair_batch(found)
                 rest = rest[-1:]
         if rest is not None and len(rest):
-            found, hub = _paired(rest, hub, small)
+            found, hub = _paired(rest, hub, edits, small)
             if len(found):
                 yield _pair_batch(found)
 
-    return posts.repartition("key").sortWithinPartitions("key", F.col("indexed").desc(), "x", "y").mapInArrow(work, "tag int, key long, ax long, ay long, bx long, by long, indexed boolean")
+    return posts.repartition("key").sortWithinPartitions("key", F.col("indexed").desc(), "x", "y").mapInArrow(work, "tag int, key long, ax long, ay long, bx long, by long, indexed boolean, bag long")
 
 
 def _pair_batch(found: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array(found[:, 0].astype(np.int32))] + [pa.array(found[:, i]) for i in range(1, 6)] + [pa.array(found[:, 6].astype(bool))]
-    return pa.RecordBatch.from_arrays(cols, ["tag", "key", "ax", "ay", "bx", "by", "indexed"])
+    cols = [pa.array(found[:, 0].astype(np.int32))] + [pa.array(found[:, i]) for i in range(1, 6)] + [pa.array(found[:, 6].astype(bool)), pa.array(found[:, 7])]
+    return pa.RecordBatch.from_arrays(cols, ["tag", "key", "ax", "ay", "bx", "by", "indexed", "bag"])
 
 
-def _paired(rows: np.ndarray, hub: tuple | None, small: int, open_key: bool = False) -> tuple[np.ndarray, tuple | None]:
-    """Rows (tag, key, a, b, indexed) of whole keys in order, indexed lines first; `hub` is the line that a key began with earlier."""
+def _paired(rows: np.ndarray, hub: tuple | None, edits: int, small: int, open_key: bool = False) -> tuple[np.ndarray, tuple | None]:
+    """Rows (tag, key, a, b, indexed, bag) of whole keys in order, indexed lines first; `hub` is the line that a key began with earlier."""
     starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
     sizes = np.diff(np.r_[starts, len(rows)])
-    out = [np.zeros((0, 7), np.int64)]
+    out = [np.zeros((0, 8), np.int64)]
     begun = hub is not None and hub[0] == rows[0, 0]
     two = np.flatnonzero((sizes == 2) & (rows[starts, 3] == 1))
     if begun:
         two = two[two > 0]
     if len(two):
         a, b = rows[starts[two]], rows[starts[two] + 1]
-        out.append(np.c_[np.zeros(len(two), np.int64), a[:, 0], a[:, 1:3], b[:, 1:3], b[:, 3]])
+        near = alike(a[:, 4].copy(), b[:, 4].copy(), edits)
+        a, b = a[near], b[near]
+        out.append(np.c_[np.zeros(len(a), np.int64), a[:, 0], a[:, 1:3], b[:, 1:5]])
     others = np.flatnonzero(sizes > 2)
     if begun or open_key:
         others = np.unique(np.r_[0, others])
@@ -225,14 +254,17 @@ def _paired(rows: np.ndarray, hub: tuple | None, small: int, open_key: bool = Fa
         if not lead[3]:
             continue
         if len(own) > small or first or open_key:
-            out.append(np.c_[np.zeros(len(own), np.int64), own[:, 0], np.broadcast_to(lead[1:3], (len(own), 2)), own[:, 1:4]])
-            out.append(np.c_[np.ones(len(own), np.int64), own[:, 0], own[:, 1:3], own[:, 1:4]])
+            near = own[alike(np.full(len(own), lead[4]), own[:, 4].copy(), edits)]
+            out.append(np.c_[np.zeros(len(near), np.int64), near[:, 0], np.broadcast_to(lead[1:3], (len(near), 2)), near[:, 1:5]])
+            out.append(np.c_[np.ones(len(own), np.int64), own[:, 0], own[:, 1:3], own[:, 1:5]])
             if open_key:
                 hub = (int(own[0, 0]), lead)
         else:
             n = int(own[:, 3].sum())
             i, j = np.nonzero(np.arange(n)[:, None] < np.arange(len(own))[None, :])
-            out.append(np.c_[np.zeros(len(i), np.int64), own[i, 0], own[i, 1:3], own[j, 1:4]])
+            near = alike(own[i, 4], own[j, 4], edits)
+            i, j = i[near], j[near]
+            out.append(np.c_[np.zeros(len(i), np.int64), own[i, 0], own[i, 1:3], own[j, 1:5]])
     if open_key and not len(others):
         hub = None
     return np.concatenate(out), hub
@@ -322,18 +354,18 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFram
     return named.select(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("a"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")).alias("b"))
 
 
-def _rest(members: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+def _rest(members: DataFrame, roots: DataFrame, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
     """Pairs of large keys that are in different components so far: every indexed line with every other, block by block."""
     line = F.struct("x", "y")
-    own = members.select("key", F.col("bx").alias("x"), F.col("by").alias("y"), "indexed").distinct().withColumn("node", line)
+    own = members.select("key", F.col("bx").alias("x"), F.col("by").alias("y"), "indexed", "bag").distinct().withColumn("node", line)
     own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = own.groupBy("key", "root").agg(F.count("*").alias("n"))
     lists = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
     cut = own.join(lists.select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("xs"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("ys")), "key")
     hashed = F.xxhash64("x", "y")
-    left = cut.select("key", F.pmod(hashed, "xs").cast("int").alias("p"), F.explode(F.expr("sequence(0, ys - 1)")).alias("q"), "node", "root", "indexed")
-    right = cut.filter("root <> main").select("key", F.explode(F.expr("sequence(0, xs - 1)")).alias("p"), F.pmod(hashed, "ys").cast("int").alias("q"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("indexed").alias("indexed2"))
-    return left.join(right, ["key", "p", "q"]).filter("root <> root2 and (indexed or indexed2)").select(
+    left = cut.select("key", F.pmod(hashed, "xs").cast("int").alias("p"), F.explode(F.expr("sequence(0, ys - 1)")).alias("q"), "node", "root", "indexed", "bag")
+    right = cut.filter("root <> main").select("key", F.explode(F.expr("sequence(0, xs - 1)")).alias("p"), F.pmod(hashed, "ys").cast("int").alias("q"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("indexed").alias("indexed2"), F.col("bag").alias("bag2"))
+    return left.join(right, ["key", "p", "q"]).filter(f"root <> root2 and (indexed or indexed2) and {_alike('bag', 'bag2', edits)}").select(
         F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")
     ).distinct().select(F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
 
@@ -347,22 +379,24 @@ def line_classes(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FR
 
     Lines are cut into edits + 1 segments: if two are within the distance, a segment of the shorter one is unchanged in the
     other, not far from its place. Each line is posted under its segments and under those of its substrings that may equal a
-    segment of a line as long or shorter; pairs that meet are verified on their texts. Of a key with very many lines, all are
+    segment of a line as long or shorter; pairs that meet, and whose counts of characters differ no more than the edits can make
+    them, are verified on their texts. Of a key with very many lines, all are
     first paired with one of them, and only what is still in different classes is paired in full.
 
     Null and empty texts have no lines. A null doc_id comes first in the order. Rows equal in doc_id and text are one document.
     """
     docs = docs.select("doc_id", "text")
     lines = stored(hashed_lines(docs), "line-hashes")
-    meeting = stored(met(postings(docs, edits, fuzzy_from), small).filter("tag = 1 or ax <> bx or ay <> by"), "line-pairs")
+    meeting = stored(met(postings(docs, edits, fuzzy_from), edits, small).filter("tag = 1 or ax <> bx or ay <> by"), "line-pairs")
     pairs = meeting.filter("tag = 0").select(F.least(F.struct("ax", "ay"), F.struct(F.col("bx").alias("ax"), F.col("by").alias("ay"))).alias("a"), F.greatest(F.struct("ax", "ay"), F.struct(F.col("bx").alias("ax"), F.col("by").alias("ay"))).alias("b")).distinct()
     pairs = stored(pairs.select("a.ax", "a.ay", F.col("b.ax").alias("bx"), F.col("b.ay").alias("by")), "line-candidates")
-    wanted = stored(pairs.select(F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("l")).select("l.x", "l.y").distinct(), "line-wanted")
+    members = meeting.filter("tag = 1")
+    ends = [pairs.select(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "ab"] + [members.select(F.col("bx").alias("x"), F.col("by").alias("y"))]
+    wanted = stored(ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct(), "line-wanted")
     texts = stored(line_texts(docs, wanted), "line-texts")
     links = stored(verified(pairs, texts, edits), "line-links")
     roots = components(links)
-    members = meeting.filter("tag = 1")
-    more = verified(_rest(members, roots), texts, edits)
+    more = verified(_rest(members, roots, edits), texts, edits)
     roots = components(links.unionByName(more)).select(F.col("node.x").alias("x"), F.col("node.y").alias("y"), "root")
     classed = lines.join(roots, ["x", "y"], "left").withColumn("root", F.coalesce("root", F.struct("x", "y")))
     own = F.struct("doc_id", "text_hash", "line_no")
