@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql import types as T
 
+from wayloom.llm.shared import stored
 from wayloom.llm.shingles import row_groups
 
 UNKNOWN = "und"
@@ -144,8 +145,8 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of hashed grams of each whole text, as shares."""
     for batch in batches:
         for lo, hi, data, bounds in row_groups(pc.utf8_lower(batch.column("text"))):
-            rows = [_shares(data[a:b]).tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang")[lo:hi], pa.array(rows, pa.list_(pa.float32()))], ["lang", "shares"])
+            rows = [_shares(data[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang")[lo:hi], pa.array(rows, pa.binary())], ["lang", "shares"])
 
 
 def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Discriminator | None:
@@ -157,14 +158,18 @@ def fitted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Discriminator |
     """
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     hashed = usable.withColumn("h", F.xxhash64("text"))
-    drawn = hashed.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= per_language)
+    # Hashes below a share of their range that leaves about eight times as many texts as wanted, and of these the smallest.
+    names = stored(hashed.select("lang", "h"), "language-hashes")
+    counts = names.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"))
+    few = names.join(counts, "lang").filter(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) * F.col("texts") < 8 * per_language).select("lang", "h").distinct()
+    drawn = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h"))).filter(F.col("n") <= per_language).select("lang", "h")
     # At most per_language rows of each language.
     sample = hashed.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    got = sample.select("lang", "text").mapInArrow(features, "lang string, shares array<float>").collect()
+    got = sample.select("lang", "text").mapInArrow(features, "lang string, shares binary").collect()
     if not got:
         return None
-    got.sort(key=lambda r: (r["lang"], r["shares"]))
-    return Discriminator(np.array([r["shares"] for r in got]) * _SCALE, [r["lang"] for r in got])
+    got.sort(key=lambda r: (r["lang"], bytes(r["shares"])))
+    return Discriminator(np.stack([np.frombuffer(r["shares"], np.float32) for r in got]) * _SCALE, [r["lang"] for r in got])
 
 
 def language_id(docs: DataFrame, columns: list[str] | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
