@@ -161,10 +161,10 @@ def concordance(oof: DataFrame) -> DataFrame:
 
     Any resampling of blocks is then a weighted sum of this table; the rows themselves are sorted once."""
     values = oof.groupBy(*RUN, "block", "prediction").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    blocks = values.agg(F.collect_set("block").alias("_blocks")).withColumn("_one", F.lit(1))
+    blocks = values.agg(F.collect_set("block").alias("_blocks"))
     negatives = values.filter("neg > 0").select(*RUN, F.col("block").alias("b"), F.col("prediction").alias("v"), "neg", F.lit(None).cast("bigint").alias("a"), F.lit(0.0).alias("pos"))
     positives = (
-        values.filter("pos > 0").withColumn("_one", F.lit(1)).join(blocks, "_one")
+        with_one_row(values.filter("pos > 0"), blocks)
         .select(*RUN, F.explode("_blocks").alias("b"), F.col("prediction").alias("v"), F.lit(0.0).alias("neg"), F.col("block").cast("bigint").alias("a"), "pos")
     )
     steps = negatives.unionByName(positives).groupBy(*RUN, "b", "v").agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.operators.chunks import with_one_row
+
 
 def years_by_zone(history: DataFrame) -> DataFrame:
     return history.groupBy("zone").agg(
@@ -48,10 +50,10 @@ def reconcile(history: DataFrame, national: DataFrame, target_year: int | None =
         figures.agg(F.max("year").alias("target"))
         if target_year is None
         else figures.agg(F.lit(target_year).alias("target"))
-    ).withColumn("_one", F.lit(1))
-    zones = latest_observation(history).filter(F.col("year").isNotNull()).withColumn("_one", F.lit(1))
+    )
+    zones = latest_observation(history).filter(F.col("year").isNotNull())
     joined = (
-        zones.join(target, "_one")
+        with_one_row(zones, target)
         .join(figures.select(F.col("year"), F.col("population").alias("_then")), "year", "left")
         .join(figures.select(F.col("year").alias("target"), F.col("population").alias("_at_target")), "target", "left")
     )
