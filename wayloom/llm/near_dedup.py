@@ -93,9 +93,9 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def postings(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Documents posted under (place, value) of their signature, prefixes only: (place, value, doc_id, sig, posted).
+    """Documents posted under (place, value) of their signature, prefixes only: (place, value, doc_id, sig, posted, weight).
 
-    `posted` has a bit for each place under which the document is posted.
+    `posted` has a bit for each place under which the document is posted, `weight` is how many documents share its entries.
 
     A pair that agrees in `threshold` coordinates has one of them outside the `threshold` - 1 most frequent entries of
     either side, in one order of all entries by frequency. So entries that no other document has are left out, the
@@ -108,10 +108,10 @@ def postings(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("n", "place", "value"))).alias("e"))
         .filter(F.size("e") >= threshold)
-        .select("doc_id", F.expr(f"slice(e, 1, size(e) - {threshold - 1})").alias("e"))
-        .select("doc_id", F.expr("aggregate(e, 0L, (m, x) -> m | shiftleft(1L, x.place))").alias("posted"), F.explode("e").alias("e"))
+        .select("doc_id", F.expr("aggregate(e, 0L, (s, x) -> s + x.n)").alias("weight"), F.expr(f"slice(e, 1, size(e) - {threshold - 1})").alias("e"))
+        .select("doc_id", "weight", F.expr("aggregate(e, 0L, (m, x) -> m | shiftleft(1L, x.place))").alias("posted"), F.explode("e").alias("e"))
     )
-    return prefix.select("e.place", "e.value", "doc_id", "posted").join(sets.select("doc_id", "sig"), "doc_id")
+    return prefix.select("e.place", "e.value", "doc_id", "posted", "weight").join(sets.select("doc_id", "sig"), "doc_id")
 
 
 def _agreeing(a: str, b: str) -> str:
@@ -127,13 +127,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def hub_pairs(posts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Each posted document with the smallest document of a posting list: one pair for each document, the smallest hub."""
-    hubs = posts.groupBy("place", "value").agg(F.min(F.struct("doc_id", "sig")).alias("hub"))
+    """Each posted document with the hub of one of its posting lists, the document whose entries most others share.
+
+    In a group of copies with changes that is the one with the fewest changes, close to most of the others."""
+    hubs = posts.groupBy("place", "value").agg(F.max(F.struct("weight", "doc_id", "sig")).alias("hub"))
     return (
         posts.join(hubs, ["place", "value"])
-        .filter("doc_id > hub.doc_id")
+        .filter("doc_id <> hub.doc_id")
         .filter(F.expr(f"{_agreeing('sig', 'hub.sig')} >= {threshold}"))
-        .groupBy(F.col("doc_id").alias("b")).agg(F.min("hub.doc_id").alias("a"))
+        .groupBy(F.col("doc_id").alias("b")).agg(F.max(F.struct("hub.weight", "hub.doc_id")).alias("h")).select(F.col("h.doc_id").alias("a"), "b")
     )
 
 
@@ -213,8 +215,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, coordinates: int = COORD
     `threshold` of `coordinates` places, found through posting lists of (place, value). A pair at similarity 0.75 is missed
     with a probability below one in a million by the defaults.
 
-    Documents of one set are folded first. Then each posted document is checked against the smallest document of its lists,
-    which joins most of a large group in as many pairs as it has documents; only what is still apart is paired in full.
+    Documents of one set are folded first. Then each posted document is checked against the hub of its lists, which joins
+    most of a large group in as many pairs as it has documents; only what is still apart is paired in full.
 
     A text without words (null, empty, white space) has no shingles and is linked with nothing. Rows that share a doc_id are
     one document: what either is linked with, both are. A null doc_id is kept, with a null component. No rows give no rows.
