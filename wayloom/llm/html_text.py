@@ -18,7 +18,13 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title head canvas audio video noembed noframes xmp".split())
+#: Elements whose inside is no markup: it ends at the first end tag of that name.
+RAW = frozenset("script style noscript iframe textarea title noembed noframes xmp".split())
+#: Elements whose inside is markup that shows no text of the page.
+SILENT = frozenset("template object svg canvas audio video annotation annotation-xml".split())
+#: Start tags that end an unclosed svg, and the elements inside which they do not.
+BREAKS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+IN_SVG = frozenset("foreignobject desc".split())
 BOILER = frozenset("nav footer aside form menu button select dialog fieldset header search option legend".split())
 ENDS_P = BLOCKS - {"button", "option", "optgroup", "legend", "caption"}
 SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -32,7 +38,8 @@ HINTS = frozenset(
 #: Words that may also name the frame around an article: they count unless the article begins further in.
 FRAMES = frozenset("sidebar widget widgets banner notice notices alert overlay modal header masthead skip toolbar search complementary contentinfo side".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[A-Za-z][^<>]*(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[A-Za-z][^<>]*(?:>|\Z)|[^<]+|<", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|style|aria-hidden|hidden|aria-label|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -89,21 +96,22 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[_Element] = []
     texts: list[str] = []
-    links = keys = 0
-    skip = ""
+    links = keys = at = 0
 
     def close() -> None:
         nonlocal links
         text = _GAP.sub(" ", "".join(texts)).strip()
         if text:
-            out.append(Block(text, links, stack))
+            out.append(Block(text, links, stack[: _silent(stack)]))
         texts.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page):
-        token = m[0]
+    while at < len(page):
+        token = _TOKEN.match(page, at)[0]
+        at += len(token)
+        silent = _silent(stack) < len(stack)
         if token[0] != "<" or token == "<":
-            if not skip:
+            if not silent:
                 text = html.unescape(token) if "&" in token else token
                 texts.append(text)
                 if any(e.name == "a" for e in stack):
@@ -111,32 +119,34 @@ def blocks_of(page: str) -> list[Block]:
             continue
         found = _NAME.match(token)
         if not found:
-            if token.startswith("<![CDATA[") and not skip:
+            if token.startswith("<![CDATA[") and not silent:
                 texts.append(token[9:].removesuffix("]]>"))
             continue
         name, ending = found[1].lower(), token[1] == "/"
-        if skip:
-            if name == skip and ending:
-                skip = ""
-            elif skip == "head" and name == "body":
-                skip = ""
-            else:
-                continue
-            if ending:
-                continue
         if not ending and name in RAW:
             if not token.endswith("/>"):
-                skip = name
+                end = _RAW_END[name].search(page, at)
+                at = end.start() if end else len(page)
             continue
-        if name in BLOCKS:
-            close()
-        if name == "br":
-            texts.append(" ")
+        if name == "head":
+            continue  # what may stand in it has no text; anything else ends it, with or without its end tag
         if ending:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), -1)
-            if at >= 0:
-                del stack[at:]
+            own = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), -1)
+            if name in BLOCKS and (own >= 0 or not silent) and own <= _silent(stack):
+                close()
+            if name == "br" and not silent:
+                texts.append(" ")
+            if own >= 0:
+                del stack[own:]
             continue
+        if silent and name in BREAKS_SVG:
+            _end_svg(stack)
+            silent = _silent(stack) < len(stack)
+        if not silent:
+            if name in BLOCKS:
+                close()
+            if name == "br":
+                texts.append(" ")
         if name in ENDS_P:
             _end(stack, {"p"})
         if name in SAME:
@@ -151,13 +161,28 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def _silent(stack: list[_Element]) -> int:
+    """Place of the outermost element that shows no text, or the size of the stack."""
+    return next((i for i, e in enumerate(stack) if e.name in SILENT), len(stack))
+
+
+def _end_svg(stack: list[_Element]) -> None:
+    """Close the innermost svg, unless an element that may hold other markup stands between."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i].name == "svg":
+            del stack[i:]
+            return
+        if stack[i].name in IN_SVG or stack[i].name in SILENT:
+            return
+
+
 def _end(stack: list[_Element], names: set[str]) -> None:
     """Close the innermost element of these names, unless a container stands between."""
     for i in range(len(stack) - 1, -1, -1):
         if stack[i].name in names:
             del stack[i:]
             return
-        if stack[i].name in WALLS:
+        if stack[i].name in WALLS or stack[i].name in SILENT:
             return
 
 
@@ -271,7 +296,8 @@ def html_text(pages: DataFrame) -> DataFrame:
     """Every row of pages (page_id, url, html): page_id, url, text (empty if none), n_chars (its code points).
 
     A page is cut into blocks at block elements; white space inside a block, br included, becomes one space, and character
-    references are decoded. Scripts, styles, the head, embedded objects and comments have no blocks. A linear classifier of
+    references are decoded. Scripts, styles, titles, embedded objects and comments have no blocks; a script or the like ends at its
+    literal end tag, or else with the page, and the head at the first element that cannot stand in it. A linear classifier of
     each block gives the capacities to the two terminals; neighbouring blocks and blocks below one parent are tied by
     smoothness edges, weaker with their distance in the tree. The source side of the minimum cut is the text, in page order.
     A null or empty page gives an empty text; pages are read whole. Repeated rows give equal rows.
