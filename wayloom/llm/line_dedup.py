@@ -15,6 +15,8 @@ from wayloom.llm.shingles import U64, mixed
 
 EDITS = 2
 FUZZY_FROM = 40
+#: (characters, edits): from so many characters of the shorter line on, so many edits. Up to 7 edits, rising with the length.
+LIMITS = ((2, 1), (40, 2), (160, 3), (320, 4))
 SMALL = 64
 BLOCK = 1024
 _BATCH = 1 << 18
@@ -128,6 +130,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
 
 
+def limit_of(length: np.ndarray, limits: tuple) -> np.ndarray:
+    """Edits that lines of some lengths allow; 0 where only equal lines are linked."""
+    return np.r_[0, [k for _, k in limits]][np.searchsorted([n for n, _ in limits], length, side="right")]
+
+
 def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Start and size of the edits + 1 segments of strings of some lengths, the last ones being one longer where needed."""
     n = edits + 1
@@ -136,53 +143,57 @@ def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarra
     return [(sum(sizes[:i], np.zeros_like(length)), sizes[i]) for i in range(n)]
 
 
-def segment_keys(lines: Lines, chosen: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of chosen, key, indexed) of lines: their segments, and the substrings that may equal a segment of a line up to
-    `edits` shorter. Strings within the distance share one of these keys, one of the two being indexed under it.
+def segment_keys(lines: Lines, chosen: np.ndarray, limits: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of chosen, key, indexed) of lines: their segments, and the substrings that may equal a segment of a line that is shorter
+    by no more than its own limit. Strings within the limit of the shorter one share one of these keys, the shorter one (or either, at
+    one length) being indexed under it. A key is of one length of the indexed line; its low three bits are the edits allowed there.
 
     A substring is only taken where a segment can have moved to, given how many edits fit before and after it.
     """
-    rows, keys, indexed = [], [], []
+    rows, keys, indexed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     start, length = lines.start[chosen], lines.length[chosen]
-    for less in range(edits + 1):
-        target = length - less
-        for i, (at, size) in enumerate(segments(target, edits)):
-            for shift in range(-edits, edits + 1):
-                moved = shift + less
-                # `shift` is against the place counted from the end, `moved` against that counted from the start.
-                if not (abs(moved) <= i and abs(shift) <= edits - i):
-                    continue
-                a = at + moved
-                ok = np.flatnonzero((a >= 0) & (a + size <= length))
-                h = lines.hashes(start[ok] + a[ok], start[ok] + a[ok] + size[ok])
-                keys.append(mixed(h + (target[ok] * (edits + 1) + i).astype(U64) * _SALT).view(np.int64))
-                rows.append(ok)
-                indexed.append(np.full(len(ok), less == 0 and moved == 0))
+    for edits in sorted({k for _, k in limits}):
+        for less in range(edits + 1):
+            own = np.flatnonzero((limit_of(length - less, limits) == edits) & (length - less > edits))
+            target = length[own] - less
+            for i, (at, size) in enumerate(segments(target, edits)):
+                for shift in range(-edits, edits + 1):
+                    moved = shift + less
+                    # `shift` is against the place counted from the end, `moved` against that counted from the start.
+                    if not (abs(moved) <= i and abs(shift) <= edits - i):
+                        continue
+                    a = at + moved
+                    ok = np.flatnonzero((a >= 0) & (a + size <= length[own]))
+                    h = lines.hashes(start[own[ok]] + a[ok], start[own[ok]] + a[ok] + size[ok])
+                    key = mixed(h + (target[ok] * (edits + 1) + i).astype(U64) * _SALT)
+                    keys.append((key & ~U64(7) | U64(edits)).view(np.int64))
+                    rows.append(own[ok])
+                    indexed.append(np.full(len(ok), less == 0 and moved == 0))
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(indexed)
 
 
-def alike(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
-    """Whether two bags may belong to lines within the distance: an edit changes the counts of two classes at most."""
+def alike(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether two bags may belong to lines within the edits of their key: an edit changes the counts of two classes at most."""
     differ = (a ^ b).view(U64)
-    return np.bitwise_count((differ | (differ >> U64(1))) & U64(0x5555555555555555)) <= 2 * edits
+    return np.bitwise_count((differ | (differ >> U64(1))) & U64(0x5555555555555555)) <= 2 * (keys & 7)
 
 
-def _alike(a: str, b: str, edits: int) -> str:
-    return f"bit_count((({a} ^ {b}) | shiftrightunsigned({a} ^ {b}, 1)) & {0x5555555555555555}L) <= {2 * edits}"
+def _alike(a: str, b: str, key: str) -> str:
+    return f"bit_count((({a} ^ {b}) | shiftrightunsigned({a} ^ {b}, 1)) & {0x5555555555555555}L) <= 2 * ({key} & 7)"
 
 
-def postings(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
-    """(key, x, y, indexed, bag) of all lines of at least `fuzzy_from` characters; a line repeated in one batch comes once."""
+def postings(docs: DataFrame, limits: tuple) -> DataFrame:
+    """(key, x, y, indexed, bag) of all lines that `limits` allows edits; a line repeated in one batch comes once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _batches(batch):
                 lines = Lines(texts)
-                long = np.flatnonzero(lines.length >= max(fuzzy_from, edits + 1))
+                long = np.flatnonzero(limit_of(lines.length, limits) > 0)
                 if not len(long):
                     continue
                 long = long[np.unique(lines.x[long], return_index=True)[1]]
-                rows, keys, indexed = segment_keys(lines, long, edits)
+                rows, keys, indexed = segment_keys(lines, long, limits)
                 bags = lines.bags(long)
                 for at in range(0, len(rows), 1 << 17):
                     cut = slice(at, at + (1 << 17))
@@ -192,7 +203,7 @@ def postings(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM)
     return _texts(docs).mapInArrow(work, "key long, x long, y long, indexed boolean, bag long")
 
 
-def met(posts: DataFrame, edits: int = EDITS, small: int = SMALL) -> DataFrame:
+def met(posts: DataFrame, small: int = SMALL) -> DataFrame:
     """What meets under the keys: pairs of lines with like bags (tag 0), or for a key of more than `small` lines, pairs with one indexed line
     and (tag 1) the lines themselves. Rows of a key pass by in order; no more than `small` of them are held."""
 
@@ -206,18 +217,18 @@ def met(posts: DataFrame, edits: int = EDITS, small: int = SMALL) -> DataFrame:
             rows = new if rest is None else np.concatenate([rest, new])
             cut = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1 if rows[0, 0] != rows[-1, 0] else 0
             if cut:
-                found, hub = _paired(rows[:cut], hub, edits, small)
+                found, hub = _paired(rows[:cut], hub, small)
                 if len(found):
                     yield _pair_batch(found)
             rest = rows[cut:]
             if len(rest) > 4 * small:
                 # One key alone: its lines go out, and only the first indexed one is kept.
-                found, hub = _paired(rest, hub if hub and hub[0] == rest[0, 0] else None, edits, small, True)
+                found, hub = _paired(rest, hub if hub and hub[0] == rest[0, 0] else None, small, True)
                 if len(found):
                     yield _pair_batch(found)
                 rest = rest[-1:]
         if rest is not None and len(rest):
-            found, hub = _paired(rest, hub, edits, small)
+            found, hub = _paired(rest, hub, small)
             if len(found):
                 yield _pair_batch(found)
 
@@ -229,7 +240,7 @@ def _pair_batch(found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["tag", "key", "ax", "ay", "bx", "by", "indexed", "bag"])
 
 
-def _paired(rows: np.ndarray, hub: tuple | None, edits: int, small: int, open_key: bool = False) -> tuple[np.ndarray, tuple | None]:
+def _paired(rows: np.ndarray, hub: tuple | None, small: int, open_key: bool = False) -> tuple[np.ndarray, tuple | None]:
     """Rows (tag, key, a, b, indexed, bag) of whole keys in order, indexed lines first; `hub` is the line that a key began with earlier."""
     starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
     sizes = np.diff(np.r_[starts, len(rows)])
@@ -240,7 +251,7 @@ def _paired(rows: np.ndarray, hub: tuple | None, edits: int, small: int, open_ke
         two = two[two > 0]
     if len(two):
         a, b = rows[starts[two]], rows[starts[two] + 1]
-        near = alike(a[:, 4].copy(), b[:, 4].copy(), edits)
+        near = alike(a[:, 4].copy(), b[:, 4].copy(), a[:, 0])
         a, b = a[near], b[near]
         out.append(np.c_[np.zeros(len(a), np.int64), a[:, 0], a[:, 1:3], b[:, 1:5]])
     others = np.flatnonzero(sizes > 2)
@@ -254,7 +265,7 @@ def _paired(rows: np.ndarray, hub: tuple | None, edits: int, small: int, open_ke
         if not lead[3]:
             continue
         if len(own) > small or first or open_key:
-            near = own[alike(np.full(len(own), lead[4]), own[:, 4].copy(), edits)]
+            near = own[alike(np.full(len(own), lead[4]), own[:, 4].copy(), own[:, 0])]
             out.append(np.c_[np.zeros(len(near), np.int64), near[:, 0], np.broadcast_to(lead[1:3], (len(near), 2)), near[:, 1:5]])
             out.append(np.c_[np.ones(len(own), np.int64), own[:, 0], own[:, 1:3], own[:, 1:5]])
             if open_key:
@@ -262,7 +273,7 @@ def _paired(rows: np.ndarray, hub: tuple | None, edits: int, small: int, open_ke
         else:
             n = int(own[:, 3].sum())
             i, j = np.nonzero(np.arange(n)[:, None] < np.arange(len(own))[None, :])
-            near = alike(own[i, 4], own[j, 4], edits)
+            near = alike(own[i, 4], own[j, 4], own[i, 0])
             i, j = i[near], j[near]
             out.append(np.c_[np.zeros(len(i), np.int64), own[i, 0], own[i, 1:3], own[j, 1:5]])
     if open_key and not len(others):
@@ -339,13 +350,17 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(work, "x long, y long, line string").join(wanted, ["x", "y"], "left_semi").groupBy("x", "y").agg(F.min("line").alias("line"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The pairs (a, b) of line names whose texts are within `edits`."""
+def verified(pairs: DataFrame, texts: DataFrame, limits: tuple) -> DataFrame:
+    """The pairs (a, b) of line names whose texts are within the edits that the shorter one allows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = np.flatnonzero(within(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), edits))
-            yield batch.select(["ax", "ay", "bx", "by"]).take(pa.array(ok))
+            la, lb = batch.column("la").to_pylist(), batch.column("lb").to_pylist()
+            allowed = limit_of(np.array([min(len(a), len(b)) for a, b in zip(la, lb, strict=True)], np.int64), limits)
+            for edits in np.unique(allowed[allowed > 0]).tolist():
+                own = np.flatnonzero(allowed == edits)
+                ok = own[within([la[i] for i in own], [lb[i] for i in own], edits)]
+                yield batch.select(["ax", "ay", "bx", "by"]).take(pa.array(ok))
 
     left = texts.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("line").alias("la"))
     right = texts.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("line").alias("lb"))
@@ -354,7 +369,7 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFram
     return named.select(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("a"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")).alias("b"))
 
 
-def _rest(members: DataFrame, roots: DataFrame, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
+def _rest(members: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of large keys that are in different components so far: every indexed line with every other, block by block."""
     line = F.struct("x", "y")
     own = members.select("key", F.col("bx").alias("x"), F.col("by").alias("y"), "indexed", "bag").distinct().withColumn("node", line)
@@ -365,19 +380,20 @@ def _rest(members: DataFrame, roots: DataFrame, edits: int = EDITS, block: int =
     hashed = F.xxhash64("x", "y")
     left = cut.select("key", F.pmod(hashed, "xs").cast("int").alias("p"), F.explode(F.expr("sequence(0, ys - 1)")).alias("q"), "node", "root", "indexed", "bag")
     right = cut.filter("root <> main").select("key", F.explode(F.expr("sequence(0, xs - 1)")).alias("p"), F.pmod(hashed, "ys").cast("int").alias("q"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("indexed").alias("indexed2"), F.col("bag").alias("bag2"))
-    return left.join(right, ["key", "p", "q"]).filter(f"root <> root2 and (indexed or indexed2) and {_alike('bag', 'bag2', edits)}").select(
+    return left.join(right, ["key", "p", "q"]).filter(f"root <> root2 and (indexed or indexed2) and {_alike('bag', 'bag2', 'key')}").select(
         F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")
     ).distinct().select(F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM, small: int = SMALL) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM, small: int = SMALL, limits: tuple | None = None) -> DataFrame:
     """Every line of docs (doc_id, text) that is not blank: doc_id, text_hash, line_no, n_chars, class_doc_id, class_line_no, class_size, kept.
 
-    Lines end at \\n and are trimmed of spaces, tabs and the like. Two lines are linked when their edit distance in code points is
-    `edits` at most and both have `fuzzy_from` characters or more, or when they are equal; a class is what links reach. The first
-    line of a class, by (doc_id, hash of the text, line_no), is kept. line_no counts from 0 and blank lines too.
+    Lines end at \\n and are trimmed of spaces, tabs and the like. Two lines are linked when they are equal, or when their edit distance
+    in code points is at most what `limits` allows the shorter one: pairs (characters, edits), from so many characters on so many
+    edits. Without `limits` it is `edits` from `fuzzy_from` characters on. A class is what links reach. The first line of a class,
+    by (doc_id, hash of the text, line_no), is kept. line_no counts from 0 and blank lines too.
 
-    Lines are cut into edits + 1 segments: if two are within the distance, a segment of the shorter one is unchanged in the
+    Lines are cut into one segment more than their edits: if two are within the distance, a segment of the shorter one is unchanged in the
     other, not far from its place. Each line is posted under its segments and under those of its substrings that may equal a
     segment of a line as long or shorter; pairs that meet, and whose counts of characters differ no more than the edits can make
     them, are verified on their texts. Of a key with very many lines, all are
@@ -385,18 +401,19 @@ def line_classes(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FR
 
     Null and empty texts have no lines. A null doc_id comes first in the order. Rows equal in doc_id and text are one document.
     """
+    limits = limits or ((max(fuzzy_from, edits + 1), edits),)
     docs = docs.select("doc_id", "text")
     lines = stored(hashed_lines(docs), "line-hashes")
-    meeting = stored(met(postings(docs, edits, fuzzy_from), edits, small).filter("tag = 1 or ax <> bx or ay <> by"), "line-pairs")
+    meeting = stored(met(postings(docs, limits), small).filter("tag = 1 or ax <> bx or ay <> by"), "line-pairs")
     pairs = meeting.filter("tag = 0").select(F.least(F.struct("ax", "ay"), F.struct(F.col("bx").alias("ax"), F.col("by").alias("ay"))).alias("a"), F.greatest(F.struct("ax", "ay"), F.struct(F.col("bx").alias("ax"), F.col("by").alias("ay"))).alias("b")).distinct()
     pairs = stored(pairs.select("a.ax", "a.ay", F.col("b.ax").alias("bx"), F.col("b.ay").alias("by")), "line-candidates")
     members = meeting.filter("tag = 1")
     ends = [pairs.select(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "ab"] + [members.select(F.col("bx").alias("x"), F.col("by").alias("y"))]
     wanted = stored(ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct(), "line-wanted")
     texts = stored(line_texts(docs, wanted), "line-texts")
-    links = stored(verified(pairs, texts, edits), "line-links")
+    links = stored(verified(pairs, texts, limits), "line-links")
     roots = components(links)
-    more = verified(_rest(members, roots, edits), texts, edits)
+    more = verified(_rest(members, roots), texts, limits)
     roots = components(links.unionByName(more)).select(F.col("node.x").alias("x"), F.col("node.y").alias("y"), "root")
     classed = lines.join(roots, ["x", "y"], "left").withColumn("root", F.coalesce("root", F.struct("x", "y")))
     own = F.struct("doc_id", "text_hash", "line_no")
@@ -406,9 +423,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FR
     )
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM, limits: tuple | None = None) -> DataFrame:
     """The rows of docs with the lines that are not kept taken out of text; a text that loses none, or is null, stays as it is."""
-    gone = line_classes(docs, edits, fuzzy_from).filter(~F.col("kept")).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
+    gone = line_classes(docs, edits, fuzzy_from, limits=limits).filter(~F.col("kept")).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
     joined = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_hash")), "left")
     left = F.expr("array_join(filter(split(d.text, '\\n', -1), (l, i) -> not array_contains(g.gone, i)), '\\n')")
     text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(left).alias("text")

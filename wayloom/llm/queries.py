@@ -50,7 +50,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), limits=line_dedup.LIMITS)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
