@@ -96,7 +96,7 @@ def importances(model: PipelineModel, spark) -> DataFrame:
     return spark.createDataFrame(list(zip([*TRAVEL_FEATURES, "route"], values)), "feature string, importance double")
 
 
-def evaluate_travel_time(df: DataFrame, trees: int = 20, depth: int = 8) -> DataFrame:
+def evaluate_travel_time(df: DataFrame, trees: int = 50, depth: int = 10) -> DataFrame:
     """Per route, on the newest 20 %: mean absolute error of the forest, of the training mean, of the last value of the
     same source and of the no-traffic time; and whether the forest beats the last value."""
     known = df.filter(F.col("travel_time_min").isNotNull())
@@ -150,7 +150,7 @@ def ensemble_predictions(models: dict[str, PipelineModel], features: DataFrame)
     return out.withColumns(bands)
 
 
-def evaluate_ensemble(df: DataFrame, trees: int = 20, rounds: int = 20) -> DataFrame:
+def evaluate_ensemble(df: DataFrame, trees: int = 100, rounds: int = 100) -> DataFrame:
     """MAE and R² of each model, the ensemble and two references on the newest 20 % that have an earlier value of their
     source."""
     known = df.filter(F.col("travel_time_min").isNotNull())
@@ -221,7 +221,7 @@ def probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn("p", vector_to_array("probability")[1])
 
 
-def evaluate_high_delay(df: DataFrame, split: Callable[[DataFrame], DataFrame], trees: int = 20, subsets: Sequence[str] = ("sqrt",)) -> DataFrame:
+def evaluate_high_delay(df: DataFrame, split: Callable[[DataFrame], DataFrame], trees: int = 100, subsets: Sequence[str] = ("sqrt", "log2", "0.3", "0.5")) -> DataFrame:
     """AUC, accuracy and confusion counts of both classifiers on the later rows."""
     rows = checkpointed(split(modelling_frame(df)))
     logistic, forest, _ = fit_high_delay(rows.filter("part = 'train'"), trees, subsets)
@@ -233,7 +233,7 @@ def evaluate_high_delay(df: DataFrame, split: Callable[[DataFrame], DataFrame],
     return E.rank_auc(both, ["model"], "high", "p").join(E.confusion(both, ["model"], "high", "p"), "model")
 
 
-def evaluate_regression(df: DataFrame, split: Callable[[DataFrame], DataFrame], rounds: int = 20) -> DataFrame:
+def evaluate_regression(df: DataFrame, split: Callable[[DataFrame], DataFrame], rounds: int = 200) -> DataFrame:
     """RMSE, MAE and R² of a linear model and of boosted trees on the later rows."""
     rows = checkpointed(split(modelling_frame(df)))
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")

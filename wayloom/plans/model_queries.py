@@ -164,19 +164,19 @@ register("route_model_status", lambda spark, sf: O.route_model_status(O.travel_f
          with_tables(MEASUREMENTS) + "SELECT origin, destination, count(*) AS samples, count(*) >= 200 AS trained FROM measurements WHERE travel_time_min IS NOT NULL GROUP BY 1, 2")
 register("travel_time_predictions", lambda spark, sf: (lambda f: O.predict_travel_time(O.fit_travel_time(f), f))(O.travel_features(measurements(spark, sf))))
 register("travel_time_importances", lambda spark, sf: O.importances(O.fit_travel_time(O.trainable(O.travel_features(measurements(spark, sf)))), spark))
-register("travel_time_evaluation", lambda spark, sf: O.evaluate_travel_time(measurements(spark, sf), 5, 6))
-register("travel_time_verdict", lambda spark, sf: O.travel_time_verdict(O.evaluate_travel_time(measurements(spark, sf), 5, 6)))
-register("ensemble_evaluation", lambda spark, sf: O.evaluate_ensemble(measurements(spark, sf), 5, 5))
+register("travel_time_evaluation", lambda spark, sf: O.evaluate_travel_time(measurements(spark, sf)))
+register("travel_time_verdict", lambda spark, sf: O.travel_time_verdict(O.evaluate_travel_time(measurements(spark, sf))))
+register("ensemble_evaluation", lambda spark, sf: O.evaluate_ensemble(measurements(spark, sf)))
 
 
 def newest_predictions(spark, sf):
     f = O.travel_features(measurements(spark, sf))
-    return O.ensemble_predictions(O.fit_ensemble(f, 5, 5), R.latest_per_route(f)).select("id", *ROUTE, "ensemble", "lower_80", "upper_80", "lower_95", "upper_95")
+    return O.ensemble_predictions(O.fit_ensemble(f), R.latest_per_route(f)).select("id", *ROUTE, "ensemble", "lower_80", "upper_80", "lower_95", "upper_95")
 
 
 register("route_predictions", newest_predictions)
-register("high_delay_classifiers", lambda spark, sf: O.evaluate_high_delay(measurements(spark, sf), by_cycle, 5))
-register("travel_time_regression", lambda spark, sf: O.evaluate_regression(measurements(spark, sf), by_cycle, 5))
+register("high_delay_classifiers", lambda spark, sf: O.evaluate_high_delay(measurements(spark, sf), by_cycle))
+register("travel_time_regression", lambda spark, sf: O.evaluate_regression(measurements(spark, sf), by_cycle))
 register("corridor_clusters", lambda spark, sf: O.corridor_clusters(R.corridor_profile(measurements(spark, sf)), 4, 8)[0])
 
 
@@ -198,14 +198,14 @@ register("cell_features", lambda spark, sf: features(spark, sf).select("fila", "
          count(*) FILTER (greatest(abs(k.fila - a.fila), abs(k.col - a.col)) = 1 AND category = 'business')::DOUBLE AS business_anillo1,
          count(*) FILTER (greatest(abs(k.fila - a.fila), abs(k.col - a.col)) = 2 AND category = 'school')::DOUBLE AS school_anillo2, 0::DOUBLE AS food_drink_celda
          FROM act a, k WHERE abs(k.fila - a.fila) <= 2 AND abs(k.col - a.col) <= 2 GROUP BY 1, 2""")
-register("count_model_validation", lambda spark, sf: E.count_metrics(O.cross_validate_counts(features(spark, sf), ["media", "solo_densidad", "solo_distancia"], 1, 2)))
-register("count_model_study", lambda spark, sf: O.target_study(features(spark, sf), ["boosting"], ["media", "solo_densidad"], 1, 2, 100)[0])
-register("count_model_ensemble", lambda spark, sf: O.bootstrap_ensemble(features(spark, sf), "solo_densidad", 3))
+register("count_model_validation", lambda spark, sf: E.count_metrics(O.cross_validate_counts(features(spark, sf), ["media", "solo_densidad", "solo_distancia"])))
+register("count_model_study", lambda spark, sf: O.target_study(features(spark, sf), ["boosting"], ["media", "solo_densidad"])[0])
+register("count_model_ensemble", lambda spark, sf: O.bootstrap_ensemble(features(spark, sf), "solo_densidad"))
 
 
 def closure_validation(spark, sf):
     labels = K.label(*snapshots(spark, sf))
-    oof = O.cross_validate_closures(K.modelling_frame(labels, snapshots(spark, sf)[0]), ["logistica", "solo_categoria"], 1, 2)
+    oof = O.cross_validate_closures(K.modelling_frame(labels, snapshots(spark, sf)[0]))
     return E.rank_auc(oof, ["model", "repetition"], "y", "prediction")
 
 
