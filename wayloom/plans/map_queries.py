@@ -107,6 +107,20 @@ register("containing_localities", lambda spark, sf: points(spark, sf).join(B.con
          with_tables(C.POIS, C.ZONES) + f"SELECT osm_id, zone_order::BIGINT AS id FROM pois p, zones WHERE {INSIDE}")
 register("locality_by_point", lambda spark, sf: B.assign_localities(points(spark, sf), B.localities(relations(spark, sf))).filter("criterio <> 'cercana'").select("osm_id", "localidad", "criterio").groupBy("localidad", "criterio").agg(F.count("*").alias("n")).filter("criterio = 'dentro'"),
          with_tables(C.POIS, C.ZONES) + f"SELECT 'Town ' || z AS localidad, 'dentro' AS criterio, count(*) AS n FROM (SELECT osm_id, min(zone_order) AS z FROM pois p, zones WHERE {INSIDE} GROUP BY 1) GROUP BY 1")
+FREE = f"free AS (SELECT osm_id, latitude, longitude, cos(radians(avg(latitude) OVER ())) * 111320 AS kx FROM pois p WHERE NOT EXISTS (SELECT 1 FROM zones WHERE {INSIDE}))"
+
+
+def side(half: str) -> str:
+    """Metres from a point to the nearest side of the square of this half width around a zone."""
+    x, y = f"(abs(longitude - zone_lon) - {half}) * kx", f"(abs(latitude - zone_lat) - {half}) * 111320e0"
+    return f"CASE WHEN {x} <= 0 AND {y} <= 0 THEN -greatest({x}, {y}) ELSE sqrt(pow(greatest({x}, 0e0), 2) + pow(greatest({y}, 0e0), 2)) END"
+
+
+register("localities_by_criterion", lambda spark, sf: B.assign_localities(points(spark, sf), B.localities(relations(spark, sf))).groupBy("localidad", "criterio").agg(F.count("*").alias("n")),
+         with_tables(C.POIS, C.ZONES, FREE) + f""", dist AS (SELECT osm_id, zone_order, least({side("0.006e0")}, {side("0.002e0")}) AS m FROM free, zones),
+         near AS (SELECT osm_id, arg_min(zone_order, m) AS z FROM dist WHERE m <= {B.TOLERANCE_M!r} GROUP BY 1),
+         found AS (SELECT osm_id, min(zone_order) AS z, 'dentro' AS criterio FROM pois p, zones WHERE {INSIDE} GROUP BY 1 UNION ALL SELECT osm_id, z, 'cercana' FROM near)
+         SELECT coalesce('Town ' || z, '') AS localidad, coalesce(criterio, '') AS criterio, count(*) AS n FROM pois LEFT JOIN found USING (osm_id) GROUP BY 1, 2""")
 register("nearby_localities", lambda spark, sf: B.assign_localities(points(spark, sf), B.localities(relations(spark, sf))).groupBy("criterio").agg(F.count("*").alias("n")))
 
 

@@ -82,6 +82,21 @@ register("wide_cell_counts", lambda spark, sf: G.wide_counts(counts(spark, sf),
          BASE + "SELECT fila, col, " + ", ".join(f"coalesce(sum(n) FILTER (category || '|' || subcategory = '{p}'), 0)::BIGINT AS {p.replace('|', '_')}" for p in PAIRS) + " FROM counts GROUP BY 1, 2")
 register("long_cell_counts", lambda spark, sf: G.long_counts(G.wide_counts(counts(spark, sf), PAIRS)),
          BASE + f"SELECT fila, col, category, subcategory, n FROM counts WHERE category || '|' || subcategory IN ({', '.join(repr(p) for p in PAIRS)})")
+
+
+def all_pairs(spark, sf):
+    """Every category|subcategory of the table."""
+    pairs = counts(spark, sf).select(F.concat_ws("|", "category", "subcategory").alias("p")).distinct().collect()
+    return sorted(r["p"] for r in pairs)
+
+
+register("wide_cell_counts_all_pairs", lambda spark, sf: G.wide_counts(counts(spark, sf), all_pairs(spark, sf)),
+         BASE + "PIVOT (SELECT fila, col, category || '|' || subcategory AS pair, n FROM counts) ON pair USING coalesce(sum(n), 0)::BIGINT GROUP BY fila, col")
+register("long_cell_counts_all_pairs", lambda spark, sf: G.long_counts(G.wide_counts(counts(spark, sf), all_pairs(spark, sf))), BASE + "SELECT fila, col, category, subcategory, n FROM counts")
+for ring in (0, 1, 2):
+    register(f"ring_sum_{ring}_by_category", lambda spark, sf, ring=ring: G.scatter(counts(spark, sf), ["category"], "n", G.ring_weights(ring)),
+             BASE + f"""SELECT category, fila + dr AS fila, col + dc AS col, sum(n)::DOUBLE AS v FROM counts, offs
+             WHERE ring = {ring} AND fila + dr BETWEEN 0 AND {GR.rows - 1} AND col + dc BETWEEN 0 AND {GR.cols - 1} GROUP BY 1, 2, 3""")
 ZC = f"zc AS (SELECT zone, zone_order, fila, col, lat, lon, {hav('zone_lat', 'zone_lon', 'lat', 'lon')} AS dist FROM zones, cells)"
 NEAREST = "nearest AS (SELECT fila, col, zone AS zona_cercana, dist AS dist_zona_m FROM zc QUALIFY row_number() OVER (PARTITION BY fila, col ORDER BY dist, zone_order) = 1)"
 register("nearest_zone", lambda spark, sf: G.nearest_zone(C.zones(spark, sf)).withColumn("dist_zona_m", shown(F.col("dist_zona_m"), 3)),
