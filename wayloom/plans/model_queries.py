@@ -103,7 +103,8 @@ register("clustered_auc", lambda spark, sf: rounded(E.clustered_auc(closure_pred
          v AS (SELECT rep, model, p, sum(m * y) AS pos, sum(m * (1 - y)) AS neg FROM oof JOIN w USING (block) GROUP BY 1, 2, 3),
          c AS (SELECT *, sum(neg) OVER (PARTITION BY rep, model ORDER BY p) - neg / 2 AS below FROM v)
          SELECT model, rep AS replicate, {r6("sum(pos * below) / (sum(pos) * sum(neg))")} AS auc FROM c GROUP BY 1, 2 HAVING sum(pos) * sum(neg) > 0""")
-register("auc_decision", lambda spark, sf: E.auc_decision(E.clustered_auc(closure_predictions(spark, sf), 30), ["logistica", "boosting"], ["solo_categoria"]))
+register("clustered_auc_all_replicates", lambda spark, sf: rounded(E.clustered_auc(closure_predictions(spark, sf)), "auc"), ORACLE["clustered_auc"].replace("range(0, 30)", "range(0, 1000)"))
+register("auc_decision", lambda spark, sf: E.auc_decision(E.clustered_auc(closure_predictions(spark, sf)), ["logistica", "boosting"], ["solo_categoria"]))
 register("block_folds", lambda spark, sf: E.assign_folds(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", 5).select("c_custkey", "fold"),
          """WITH b AS (SELECT c_nationkey, (row_number() OVER (ORDER BY md5('0:' || c_nationkey), c_nationkey) - 1) % 5 AS fold FROM (SELECT DISTINCT c_nationkey FROM customer))
          SELECT c_custkey, fold::INT AS fold FROM customer JOIN b USING (c_nationkey)""")

@@ -64,6 +64,11 @@ register("cluster_bootstrap", lambda spark, sf: rounded(A.cluster_interval(treat
          b AS (SELECT data_source, rep, CAST('0x' || substr(md5('0:' || rep || ':' || i), 1, 8) AS BIGINT) % k AS i FROM s, range(0, 200) t(rep)),
          m AS (SELECT data_source, rep, sum(s) / sum(n) AS m FROM b JOIN s USING (data_source, i) GROUP BY 1, 2)
          SELECT data_source, {r6("quantile_cont(m, 0.025)")} AS ci_low, {r6("quantile_cont(m, 0.975)")} AS ci_high FROM m GROUP BY 1""")
+ALL = f"range(0, {A.REPLICATES})"
+register("stratified_att_all_replicates", lambda spark, sf: rounded(A.stratified_adjusted(treated_rows(spark, sf)), *NUMBERS), ORACLE["stratified_att"].replace("range(0, 100)", ALL))
+register("specification_table_all_replicates", lambda spark, sf: rounded(A.specification_table(treated_rows(spark, sf)), *NUMBERS), ORACLE["specification_table"].replace("range(0, 100)", ALL))
+register("cluster_bootstrap_all_replicates", lambda spark, sf: rounded(A.cluster_interval(treated_rows(spark, sf).select("data_source", "day", F.col("y").alias("diff")), ["data_source"], "day"), "ci_low", "ci_high"),
+         ORACLE["cluster_bootstrap"].replace("range(0, 200)", ALL))
 
 
 def humidity_scored(spark, sf):
@@ -73,7 +78,7 @@ def humidity_scored(spark, sf):
 register("nearest_controls", lambda spark, sf: A.nearest_controls(humidity_scored(spark, sf), A.EXACT).select("id", shown(F.col("gap"), 5).alias("gap")),
          with_tables(MEASUREMENTS, ROWS) + f""", l AS (SELECT *, round(w * 0.1e0 + hour * 0.01e0, 6) AS logit FROM rows)
          SELECT t.id, {r6("min(abs(c.logit - t.logit))", 5)} AS gap FROM l t JOIN l c USING (origin, destination, data_source) WHERE t.treated AND NOT c.treated GROUP BY 1""")
-register("matched_effect", lambda spark, sf: A.score_matching(treated_rows(spark, sf), replicates=100))
+register("matched_effect", lambda spark, sf: A.score_matching(treated_rows(spark, sf)))
 register("covariate_balance", lambda spark, sf: rounded(A.balance(humidity_scored(spark, sf), A.matched_pairs(humidity_scored(spark, sf)), ["hour", "data_source"]).select("covariate", "level", "before"), "before"),
          with_tables(MEASUREMENTS, ROWS) + f""", l AS (SELECT treated, unnest(['hour', 'data_source']) AS covariate, unnest([hour::VARCHAR, data_source]) AS level FROM rows),
          p AS (SELECT covariate, level, count(*) FILTER (treated) / (SELECT count(*) FROM rows WHERE treated) AS a, count(*) FILTER (NOT treated) / (SELECT count(*) FROM rows WHERE NOT treated) AS b FROM l GROUP BY 1, 2)
