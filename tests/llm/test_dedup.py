@@ -61,6 +61,14 @@ def test_exact_dedup(spark, capacity):
     assert exact_dedup.exact_dedup(frame(spark, []), capacity).count() == 0
 
 
+def test_exact_copies_go_by_document_and_text(spark):
+    def kept(rows):
+        return sorted(((r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_copies(frame(spark, rows)).collect()), key=str)
+
+    assert kept([(5, "A"), (5, "B"), (9, "B"), (3, "A")]) == [(5, "A"), (9, "B")]
+    assert kept([(None, "a"), (7, "A"), (None, "lone"), (None, None), (8, "")]) == [(7, "A"), (8, ""), (None, "lone")]
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, i) for i in range(5001, 5100)] + [(7, 7)]

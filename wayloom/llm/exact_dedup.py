@@ -63,9 +63,11 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id stays, with the columns of docs."""
-    gone = exact_dedup(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that exact_dedup keeps, with the columns of docs. Rows are told apart by doc_id and text, so a doc_id that
+    stands for several texts loses only those that another document keeps, and a null doc_id goes where a document keeps its text."""
+    gone = exact_dedup(docs).filter("not kept").select("doc_id", "text_sha256").distinct().alias("g")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.sha2(normalised(F.col("d.text")), 256) == F.col("g.text_sha256"))
+    return docs.alias("d").join(gone, same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 OP1_SQL = """
