@@ -1,4 +1,4 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search."""
+"""Benchmark decontamination by an exact inverted join on item shingles."""
 
 from __future__ import annotations
 
@@ -51,9 +51,8 @@ def _hashes(df: DataFrame, key: str, width: int, wanted: np.ndarray | None = Non
 def item_sketches(benchmark: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Every shingle of every item: item_id, n, need, size_class, shingle, in_sketch.
 
-    Items are partitioned by size. In a partition of items of n shingles, `need` of them must be in a document, and the
-    sketch is the n - need + 1 smallest hashes (bottom-k MinHash): a document that holds `need` shingles holds one of these
-    for certain, so the search misses nothing.
+    Of an item of n shingles, `need` must be in a document, and the sketch is the n - need + 1 smallest hashes: a document that
+    holds `need` shingles holds one of these for certain. size_class names the item's size; no join is partitioned by it.
     """
     shingles = _hashes(benchmark.filter("item_id is not null"), "item_id", width).groupBy("item_id", "shingle").agg(F.max("set_size").alias("n"))
     sized = shingles.withColumn("need", F.ceil(F.col("n") * percent / 100).cast("long")).withColumn("size_class", F.floor(F.log2("n")).cast("int"))
@@ -66,8 +65,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; an item of fewer words is one shingle and must be a whole
     document of as few words. Documents are read once: hashes that some item may have pass a bit filter of fixed size.
-    Candidates are documents that hold a sketch hash of an item and are large enough for its size class; each is then
-    verified by counting the item's whole shingle set. Items without words, null ids, and null or empty texts match nothing;
+    The hits are joined with every shingle of every item and counted, which is exact by itself; documents that hold no sketch hash
+    of an item, or are smaller than it needs, are left out of the count. Items without words, null ids, and null or empty texts match nothing;
     rows of one doc_id count as one document, rows of one item_id as one item.
     """
     items = stored(item_sketches(benchmark, percent, width), "bench-items")
