@@ -153,6 +153,8 @@ register("seasonal_forecast", lambda spark, sf: rounded(TS.seasonal_forecast(gap
          k AS (SELECT f.*, s::INT AS step, l + INTERVAL 1 HOUR * s::INT AS hour FROM f, range(1, 25) t(s)),
          v AS (SELECT k.*, y + a * (1 - pow(b, step + late)) / (1 - b) + pow(b, step + late) * zt AS fc, {TS.NORMAL_80!r} * sd * sqrt((1 - pow(b, 2 * (step + late))) / (1 - b * b)) AS hf FROM k JOIN z ON z.data_source = k.data_source AND z.hour = k.hour - INTERVAL 24 HOUR)
          SELECT data_source, hour, step, {r6("fc")} AS forecast, {r6("fc - hf")} AS lower, {r6("fc + hf")} AS upper FROM v""")
+register("seasonal_forecast_whole_series", on_series(lambda s: rounded(TS.seasonal_forecast(s, ["data_source"]), "forecast", "lower", "upper")),
+         S_SQL + ", gs AS (SELECT data_source, hour, share FROM series),\n         gi AS" + ORACLE["seasonal_forecast"].split("gi AS", 1)[1])
 BASELINES = """days AS (SELECT data_source, CAST(hour AS DATE) AS cut, count(*) AS hours, count(share) AS future_obs FROM series GROUP BY 1, 2),
 elig AS (SELECT d.data_source, d.cut, d.future_obs, (SELECT count(share) FROM series s WHERE s.data_source = d.data_source AND s.hour < d.cut) AS past_obs FROM days d WHERE hours = 24),
 ok AS (SELECT * FROM elig WHERE future_obs >= 12 AND past_obs >= 168),
