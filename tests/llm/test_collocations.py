@@ -50,9 +50,12 @@ def texts(rng, n):
     return rows
 
 
-@pytest.mark.parametrize(("least", "percent", "chunk"), [(10, 100, 2 << 20), (4, 100, 300), (6, 60, 300)])
-def test_against_a_plain_count(spark, monkeypatch, least, percent, chunk):
+@pytest.mark.parametrize(("least", "percent", "chunk", "shipped"), [(10, 100, 2 << 20, co.SHIPPED), (4, 100, 300, 0), (4, 100, 300, 40), (6, 60, 300, co.SHIPPED)])
+def test_against_a_plain_count(spark, monkeypatch, least, percent, chunk, shipped):
+    """Chunks of any size, with rankings sent to the tasks, joined, or some of each."""
     monkeypatch.setattr(co, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(co, "SHIPPED", shipped)
+    monkeypatch.setattr(co, "HELD_WORDS", shipped + 20)
     rows = texts(random.Random(least), 150) + [(None, "en"), ("", "en"), (" \t\n.", "fr"), ("word", None), ("!" * 50, "en"), ("q " * 5000, "long")]
     df = spark.createDataFrame([(i, t, g, "c", 5, 7) for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string, chunk string, n int, id int").repartition(3)
     got = co.collocations(df, least=least, percent=percent, first=None)

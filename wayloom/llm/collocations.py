@@ -2,8 +2,8 @@
 
 Every level works on the same form: texts as sequences of ids, ranked by frequency within their language, with a gap where
 something infrequent stood. Level one holds words; two neighbours at one level are a phrase one word longer, and the frequent
-pairs, ranked anew, are the ids of the next. What a chunk of text needs of the ranking comes to it by a join on what it
-holds, so neither the vocabulary nor the phrases are ever whole in one task.
+pairs, ranked anew, are the ids of the next. A ranking of at most SHIPPED entries, counted first, is sent to the tasks; of a
+larger one each chunk of text gets what it holds by a join. Results are the same.
 """
 
 from __future__ import annotations
@@ -25,15 +25,16 @@ LEAST = 100
 WORDS = 5
 PERCENT = 100
 FIRST = 2000
-CHUNK_BYTES = 2 << 20
-SIDE_BITS = 10
-DENSE = 1 << 16
-BUFFERED = 1 << 22
+CHUNK_BYTES = 1 << 19
+SIDE_BITS = 9
+DENSE = 1 << 15
+BUFFERED = 1 << 20
+SHIPPED = 1 << 19
+HELD_WORDS = 1 << 18
 _GAP = b"\xff"
 #: What ends a piece of text.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(0xFF if c in _ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CHUNK = "lang string, n long, words array<string>, counts array<long>, ids binary"
 _LOW = np.int64(0xFFFFFFFF)
 
 
@@ -46,42 +47,84 @@ def gapped(ids: np.ndarray) -> bytes:
     return ids[~again].astype("<i4").tobytes()
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def token_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Lower-cased words of whole texts of one language, about CHUNK_BYTES of them at a time; _GAP stands between pieces."""
+    for batch in batches:
+        texts, langs, row = batch.column("text"), batch.column("lang").to_pylist(), 0
+        while row < batch.num_rows:
+            size, parts = 0, defaultdict(list)
+            while row < batch.num_rows and size < CHUNK_BYTES:
+                text = texts[row].as_buffer()
+                if text is not None:
+                    size += text.size
+                    parts[langs[row]].append(text.to_pybytes())
+                row += 1
+            for lang, own in parts.items():
+                yield lang, _GAP.join(own).translate(_TABLE).replace(_GAP, b" \xff ").split()
+
+
+class Numbers(defaultdict):
+    """Numbers words in the order they come; the gap has number 0."""
+
+    def __init__(self):
+        super().__init__()
+        self.default_factory = self.__len__
+        self[_GAP]
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+
+    def words(self) -> pa.Array:
+        return pa.array([w.decode() for w in list(self)[1:]], pa.string())
+
+
+class Known(dict):
+    """Ids of words; -1 for any other and for the gap."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+def counted_words(docs: DataFrame) -> DataFrame:
+    """(lang, word, n) over whole texts; a task adds up until it holds HELD_WORDS different words."""
+
+    def give(held: dict[str, tuple[Numbers, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, (numbers, counts) in held.items():
+            words = numbers.words()
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(words)), words, pa.array(counts[1 : len(numbers)])], ["lang", "word", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[Numbers, np.ndarray]] = {}
+        for lang, tokens in token_groups(batches):
+            numbers, counts = held.get(lang) or (Numbers(), np.zeros(0, np.int64))
+            more = np.bincount(numbers.of(tokens), minlength=len(numbers))
+            more[: len(counts)] += counts
+            held[lang] = numbers, more
+            if sum(len(n) for n, _ in held.values()) >= HELD_WORDS:
+                yield from give(held)
+                held = {}
+        yield from give(held)
+
+    return _texts(docs).mapInArrow(add, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
 def chunked(docs: DataFrame) -> DataFrame:
-    """Whole texts in chunks of one language and about CHUNK_BYTES: the chunk's words, their counts, and the text as places
-    in this list; -1 stands between pieces. Rows (chunk, lang, n, words, counts, ids)."""
+    """Whole texts in chunks of one language and about CHUNK_BYTES: the chunk's words, and the text as places in this list; -1
+    stands between pieces. Rows (chunk, lang, words, ids)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, langs, row = batch.column("text"), batch.column("lang").to_pylist(), 0
-            while row < batch.num_rows:
-                size, parts = 0, defaultdict(list)
-                while row < batch.num_rows and size < CHUNK_BYTES:
-                    text = texts[row].as_buffer()
-                    if text is not None:
-                        size += text.size
-                        parts[langs[row]].append(text.to_pybytes())
-                    row += 1
-                for lang, own in parts.items():
-                    yield _chunk(lang, own)
-
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, _CHUNK).withColumn("chunk", F.expr("uuid()"))
-
-
-def _chunk(lang: str, texts: list[bytes]) -> pa.RecordBatch:
-    tokens = _GAP.join(texts).translate(_TABLE).replace(_GAP, b" \xff ").split()
-    numbers: defaultdict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
-    numbers[_GAP]
-    ids = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
-    counts = np.bincount(ids, minlength=len(numbers))[1:]
-    ends = pa.array([0, len(counts)], pa.int32())
-    words = pa.array([w.decode() for w in list(numbers)[1:]], pa.string())
-    columns = [
-        pa.array([lang]), pa.array([int(counts.sum())]), pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(counts)),
-        pa.array([gapped(ids - 1)], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "n", "words", "counts", "ids"])
+        for lang, tokens in token_groups(batches):
+            numbers = Numbers()
+            ids = gapped(numbers.of(tokens) - 1)
+            words = numbers.words()
+            lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), lists, pa.array([ids], pa.binary())], ["lang", "words", "ids"])
+
+    return _texts(docs).mapInArrow(cut, "lang string, words array<string>, ids binary").withColumn("chunk", F.expr("uuid()"))
 
 
 def pair_codes(ids: np.ndarray) -> np.ndarray:
@@ -147,29 +190,83 @@ def ranked(counts: DataFrame, key: str) -> DataFrame:
     """Adds `id`: the place of each key within its language, from 0, by count, then by a hash of the key; ranges of counts and
     hashes are sorted apart, so that very many keys of one count do not meet in one task."""
     share = F.shiftrightunsigned(F.xxhash64(key), 12).cast("double") / F.lit(float(1 << 52))
-    placed = value_chunks(counts.withColumn("z", share - F.col("n")), ["lang"], "z")
-    return with_position(placed, ["lang"], ["z", key], F.col("_chunk")).withColumn("id", (F.col("pos") - 1).cast("int")).drop("z", "pos")
+    # Cut values are approximate and may differ from run to run: what they have dealt out is kept, so that all steps see the same.
+    dealt = stored(value_chunks(stored(counts, "phrases-counted").withColumn("z", share - F.col("n")), ["lang"], "z"), "phrases-dealt")
+    return with_position(dealt, ["lang"], ["z", key], F.col("_chunk")).withColumn("id", (F.col("pos") - 1).cast("int")).drop("z", "pos")
+
+
+def by_language(frequent: DataFrame, key: str) -> dict[str, tuple[pa.Array, np.ndarray]] | None:
+    """A ranking's keys and ids by language, if it has at most SHIPPED entries; it is counted before."""
+    if frequent.count() > SHIPPED:
+        return None
+    table = frequent.select("lang", key, "id").sort("lang", key).toArrow().combine_chunks()
+    langs, ends = table["lang"].to_pylist(), {}
+    for i, lang in enumerate(langs):
+        ends[lang] = ends.get(lang, (i,))[0], i + 1
+    return {lang: (table[key].slice(lo, hi - lo).combine_chunks(), table["id"].slice(lo, hi - lo).to_numpy()) for lang, (lo, hi) in ends.items()}
+
+
+def word_sequences(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Texts as sequences (chunk, lang, ids) of the ranks of their frequent words, a gap for all else."""
+    known = by_language(frequent, "word")
+    if known is None:
+        chunks = stored(chunked(docs), "phrases-chunks")
+        held = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word"))
+        return renamed_by_join(chunks, held.join(frequent, ["lang", "word"]), False)
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {lang: Known(zip((w.encode() for w in words.to_pylist()), ids.tolist(), strict=True)) for lang, (words, ids) in known.items()}
+        for lang, tokens in token_groups(batches):
+            if lang in tables:
+                ids = np.fromiter(map(tables[lang].__getitem__, tokens), np.int32, len(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([gapped(ids)], pa.binary())], ["lang", "ids"])
+
+    return _texts(docs).mapInArrow(rename, "lang string, ids binary").select(F.expr("uuid()").alias("chunk"), "lang", "ids")
+
+
+def pair_sequences(sequences: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Sequences (chunk, lang, ids) in the ids of frequent pairs of neighbours; a pair that is not frequent becomes a gap."""
+    known = by_language(frequent, "pair")
+    if known is None:
+        held = held_pairs(sequences, frequent).join(frequent, ["lang", "pair"]).withColumn("at", F.col("pair"))
+        return renamed_by_join(sequences, held, True)
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                pairs, ids = known.get(batch.column("lang")[row].as_py(), (None, None))
+                if pairs is not None:
+                    own = gapped(_found(_codes(batch.column("ids")[row], True), pairs.to_numpy(), ids))
+                    yield pa.RecordBatch.from_arrays([batch.column("chunk")[row : row + 1], batch.column("lang")[row : row + 1], pa.array([own], pa.binary())], ["chunk", "lang", "ids"])
+
+    return sequences.select("chunk", "lang", "ids").mapInArrow(rename, "chunk string, lang string, ids binary")
 
 
-def renamed(sequences: DataFrame, lookup: DataFrame, pairs: bool) -> DataFrame:
-    """Sequences (chunk, lang, ids) in new ids: the lookup has, for each chunk, what it holds (`at`) and its `id`. What the
-    lookup does not have becomes a gap; chunks without an entry go."""
+def renamed_by_join(sequences: DataFrame, held: DataFrame, pairs: bool) -> DataFrame:
+    """Sequences in new ids by a table of what each chunk holds (chunk, at, id): of its pairs, or of places in its words."""
+    lookup = held.groupBy("chunk").agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "id")).alias("entries"))
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for ids, entries in zip(batch.column("ids"), batch.column("entries"), strict=True):
-                codes = np.frombuffer(ids.as_buffer(), "<i4")
-                codes = pair_codes(codes) if pairs else codes.astype(np.int64)
                 known, new = (entries.values.field(k).to_numpy() for k in (0, 1))
                 order = np.argsort(known)
-                known, new = known[order], new[order]
-                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-                out.append(gapped(np.where(known[at] == codes, new[at], -1)))
+                out.append(gapped(_found(_codes(ids, pairs), known[order], new[order])))
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("lang"), pa.array(out, pa.binary())], ["chunk", "lang", "ids"])
 
-    entries = lookup.groupBy("chunk").agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "id")).alias("entries"))
-    return sequences.select("chunk", "lang", "ids").join(entries, "chunk").mapInArrow(rename, "chunk string, lang string, ids binary")
+    return sequences.select("chunk", "lang", "ids").join(lookup, "chunk").mapInArrow(rename, "chunk string, lang string, ids binary")
+
+
+def _codes(ids: pa.Scalar, pairs: bool) -> np.ndarray:
+    own = np.frombuffer(ids.as_buffer(), "<i4")
+    return pair_codes(own) if pairs else own.astype(np.int64)
+
+
+def _found(codes: np.ndarray, known: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The new ids of codes by a sorted list of known ones; -1 for the others."""
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return np.where(known[at] == codes, new[at], -1)
 
 
 def held_pairs(sequences: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -203,20 +300,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS) ->
     come, for k from 1), and from two words on a and b, the ids of what it is without its last and its first word. A phrase
     cannot come more often than its parts, so only frequent neighbours are counted, and counts are exact.
     """
-    chunks = stored(chunked(docs), "phrases-chunks")
-    totals = chunks.groupBy("lang").agg(F.sum("n").alias("total"))
-    counts = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
+    counts = stored(counted_words(docs), "phrases-counts")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = stored(ranked(counts.filter(F.col("n") >= least), "word"), "phrases-words")
     own = F.array("n")
     levels = [frequent.select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", own.alias("first_counts"), own.alias("last_counts"))]
-    lookup = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word")).join(frequent, ["lang", "word"]).select("chunk", "at", "id")
-    sequences = stored(renamed(chunks, lookup, False), "phrases-ids")
+    sequences = stored(word_sequences(docs, frequent), "phrases-ids")
     for length in range(2, words + 1):
         frequent = stored(ranked(counted_pairs(sequences).filter(F.col("n") >= least), "pair"), "phrases-pairs")
         levels.append(stored(_grown(levels[-1], frequent), "phrases-level"))
         if length < words:
-            lookup = held_pairs(sequences, frequent).join(frequent, ["lang", "pair"]).select("chunk", F.col("pair").alias("at"), "id")
-            sequences = stored(renamed(sequences, lookup, True), "phrases-ids")
+            sequences = stored(pair_sequences(sequences, frequent), "phrases-ids")
     return levels, totals
 
 
@@ -272,8 +366,9 @@ def collocations(docs: DataFrame, least: int = LEAST, words: int = WORDS, percen
         found = found.unionByName(part)
     found = found.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    placed = found.withColumn("rank", F.row_number().over(order).cast("long"))
-    return (placed if first is None else placed.filter(F.col("rank") <= first)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    placed = found.withColumn("rank", F.row_number().over(order))
+    placed = placed if first is None else placed.filter(F.col("rank") <= first)
+    return placed.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 OP12_SQL = r"""
