@@ -49,7 +49,7 @@ def assign_treatment(rows: DataFrame, treatment: str = "above_typical") -> DataF
     if treatment not in ("above_typical", "above_median"):
         raise ValueError(f"Unknown treatment {treatment!r}")
     keys = ["hour", "week"] if treatment == "above_typical" else []
-    medians = exact_percentiles(rows, keys, "weather", {"_typical": 0.5}, parts=16)
+    medians = checkpointed(exact_percentiles(rows, keys, "weather", {"_typical": 0.5}, parts=16))
     return beside(rows, medians, keys).withColumn("treated", F.col("weather") > F.col("_typical")).drop("_typical")
 
 
@@ -60,58 +60,71 @@ def stratum(columns: Sequence[str], df: DataFrame) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in columns]) if columns else F.lit("")
 
 
-def cluster_interval(diffs: DataFrame, by: Sequence[str], cluster: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
-    """95 % interval of the mean of `diff` when whole clusters (days, blocks) are drawn again. One row per cluster goes
-    in; each replicate draws as many clusters as there are, by hash."""
+def sums_interval(sums: DataFrame, by: Sequence[str], cluster: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """95 % interval of Σ `s` / Σ `n` when whole clusters (days, blocks) are drawn again. One row per cluster comes in; each
+    replicate draws as many clusters as there are, by hash."""
     by = list(by)
-    sums = diffs.groupBy(*by, cluster).agg(F.sum("diff").alias("_s"), F.count("diff").alias("_n"))
-    numbered = sums.withColumns(
-        {
-            "_i": F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1,
-            "_d": F.count("*").over(Window.partitionBy(*by)),
-        }
+    numbered = sums.select(*by, cluster, "s", "n").withColumns(
+        {"_i": F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1, "_d": F.count("*").over(Window.partitionBy(*by))}
     )
     draws = numbered.select(*by, "_d", F.col("_i").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     draws = draws.withColumn("_i", replicate_draw(seed, F.col("replicate"), F.col("_draw"), F.col("_d"))).drop("_d", "_draw")
-    means = draws.join(numbered.select(*by, "_i", "_s", "_n"), [*by, "_i"]).groupBy(*by, "replicate").agg(
-        (F.sum("_s") / F.sum("_n")).alias("_m")
-    )
+    means = draws.join(numbered.select(*by, "_i", "s", "n"), [*by, "_i"]).groupBy(*by, "replicate").agg((F.sum("s") / F.sum("n")).alias("_m"))
     ends = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.groupBy(*by).agg(ends.alias("_q")).select(*by, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
 
 
-def stratified_differences(rows: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Treated rows with the mean of the controls of their stratum; treated rows without controls are not in it."""
-    keyed = rows.withColumn("stratum", stratum(strata, rows))
-    controls = keyed.filter(~F.col("treated")).groupBy("stratum").agg(F.avg("y").alias("_mu"))
-    return keyed.filter("treated").join(controls, "stratum").withColumn("diff", F.col("y") - F.col("_mu"))
+def cluster_interval(diffs: DataFrame, by: Sequence[str], cluster: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """The same for the mean of `diff`; the rows of a cluster are summed first, and the sums are written once."""
+    sums = diffs.groupBy(*by, cluster).agg(F.sum("diff").alias("s"), F.count("diff").alias("n"))
+    return sums_interval(checkpointed(sums), by, cluster, replicates, seed)
 
 
-def stratified_adjusted(rows: DataFrame, strata: Sequence[str] = STRATA, name: str = "strata", replicates: int = REPLICATES) -> DataFrame:
-    """Difference of treated rows from the controls of their own stratum, its interval, and the unadjusted difference."""
-    diffs = stratified_differences(rows, strata).withColumn("specification", F.lit(name))
-    effect = diffs.groupBy("specification").agg(
-        F.avg("diff").alias("att"), F.count("*").alias("n_used"), F.count_distinct("stratum").alias("n_strata_used")
-    )
-    naive = rows.agg(
-        F.count_if("treated").alias("n_treated"),
-        (F.avg(F.when(F.col("treated"), F.col("y"))) - F.avg(F.when(~F.col("treated"), F.col("y")))).alias("naive_difference"),
-    ).withColumn("specification", F.lit(name))
-    out = effect.join(naive, "specification").join(cluster_interval(diffs, ["specification"], "day", replicates), "specification")
-    return out.withColumns(
-        {
-            "share_used": F.col("n_used") / F.col("n_treated"),
-            "ci_excludes_zero": (F.col("ci_low") > 0) | (F.col("ci_high") < 0),
-        }
+def stratum_days(rows: DataFrame, specifications: dict[str, Sequence[str]]) -> DataFrame:
+    """Sufficient statistics of all specifications, one row per (specification, day).
+
+    Rows are summed by day and by every column that a specification uses, treated rows and controls apart; a row of that table
+    goes once to each specification, into its stratum. There the controls' mean is Σy / Σn over all days, and the treated rows
+    of a day differ from it by Σy - n * mean: `s`, over `n` rows, where a stratum has both. `strata` counts such strata, each
+    on its first day; nt, st, nc and sc are the counts and sums of all treated and control rows.
+    """
+    used = sorted({c for columns in specifications.values() for c in columns})
+    strata = [F.struct(F.lit(name).alias("specification"), stratum(columns, rows).alias("stratum")) for name, columns in specifications.items()]
+    t, c = F.when(F.col("treated"), F.col("y")), F.when(~F.col("treated"), F.col("y"))
+    sums = {"nt": F.count(t), "st": F.sum(t), "nc": F.count(c), "sc": F.sum(c)}
+    cells = rows.groupBy(*dict.fromkeys([*used, "day"])).agg(*[v.alias(k) for k, v in sums.items()])
+    spread = cells.select("day", *sums, F.explode(F.array(*strata)).alias("_s")).select("_s.*", "day", *sums)
+    daily = spread.groupBy("specification", "stratum", "day").agg(*[F.sum(k).alias(k) for k in sums])
+    own = Window.partitionBy("specification", "stratum")
+    daily = daily.withColumns({"_mu": F.sum("sc").over(own) / F.sum("nc").over(own), "_nt": F.sum("nt").over(own), "_day": F.min("day").over(own)})
+    both = F.col("_mu").isNotNull() & (F.col("nt") > 0)
+    first = F.col("_mu").isNotNull() & (F.col("_nt") > 0) & (F.col("day") == F.col("_day"))
+    diff = F.coalesce("st", F.lit(0.0)) - F.col("nt") * F.col("_mu")
+    return daily.groupBy("specification", "day").agg(
+        F.sum(F.when(both, diff)).alias("s"), F.sum(F.when(both, F.col("nt")).otherwise(0)).alias("n"), F.count_if(first).alias("strata"),
+        *[F.sum(k).alias(k) for k in sums],
     )
 
 
 def specification_table(rows: DataFrame, specifications: dict[str, Sequence[str]] = SPECIFICATIONS, replicates: int = REPLICATES) -> DataFrame:
-    out = None
-    for name, strata in specifications.items():
-        one = stratified_adjusted(rows, strata, name, replicates)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """For each specification (name and the columns of its strata): the difference of treated rows from the controls of their
+    own stratum, its day-clustered interval, what it used, and the unadjusted difference.
+
+    All specifications share one pass over the rows; their table of days is written once and small. Treated rows without
+    controls in their stratum are not used; a specification that uses none has no row."""
+    days = checkpointed(stratum_days(rows, specifications))
+    totals = days.groupBy("specification").agg(
+        (F.sum("s") / F.sum("n")).alias("att"), F.sum("n").alias("n_used"), F.sum("strata").alias("n_strata_used"), F.sum("nt").alias("n_treated"),
+        (F.sum("st") / F.sum("nt") - F.sum("sc") / F.sum("nc")).alias("naive_difference"),
+    )
+    return totals.join(sums_interval(days.filter("n > 0"), ["specification"], "day", replicates), "specification").withColumns(
+        {"share_used": F.col("n_used") / F.col("n_treated"), "ci_excludes_zero": (F.col("ci_low") > 0) | (F.col("ci_high") < 0)}
+    )
+
+
+def stratified_adjusted(rows: DataFrame, strata: Sequence[str] = STRATA, name: str = "strata", replicates: int = REPLICATES) -> DataFrame:
+    """One row of the specification table."""
+    return specification_table(rows, {name: strata}, replicates)
 
 
 # --- score matching --------------------------------------------------------------------------------------------------

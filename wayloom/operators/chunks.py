@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayloom.session import checkpointed
+
 CUTS_PER_KEY = 64
 CUT_ACCURACY = 2000
 
@@ -34,18 +36,89 @@ def beside(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
 def value_chunks(df: DataFrame, keys: Sequence[str], value: str, parts: int = CUTS_PER_KEY) -> DataFrame:
     """Adds `_chunk`: which of about `parts` equally filled value ranges of its key a row falls in.
 
-    The cut values are approximate quantiles, built with map-side partial aggregation. Any cuts give right results
-    downstream; better cuts only balance the chunks better."""
+    The cut values are approximate quantiles, built with map-side partial aggregation, and depend on the order in which
+    partial results meet. Any cuts give right results downstream as long as every branch of a plan sees the same ones: they are
+    checkpointed, a row of at most `parts` values for each key. Better cuts only balance the chunks better."""
     keys = list(keys)
     cuts = df.groupBy(*keys).agg(
         F.array_distinct(
             F.percentile_approx(value, [i / parts for i in range(1, parts)], CUT_ACCURACY)
         ).alias("_cuts")
     )
-    tagged = beside(df, cuts, keys)
+    tagged = beside(df, checkpointed(cuts), keys)
     return tagged.withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
 
+def ordered_pass(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    before: int = 0,
+    after: int = 0,
+    values: Sequence[str] = (),
+    add: Callable[[Window], dict[str, Column]] | None = None,
+    totals: dict[str, Column] | None = None,
+    grand: dict[str, str] | None = None,
+) -> DataFrame:
+    """Running totals and neighbouring rows in the order of each key, by one exchange of halos.
+
+    Rows are dealt out by (key, chunk) and sorted once; chunks must be monotonic in the order. Beside the rows there is one
+    summary per chunk: its sums, its last `before` and its first `after` rows. A window over the summaries of a key, as
+    many as it has chunks, turns them into what each chunk lacks: the totals of all earlier chunks, the rows before its first
+    and those behind its last. These come to the chunk as a few rows more, with the same exchange, are seen by its windows,
+    and are dropped. So the input is read twice and nothing is joined.
+
+    `totals` are cumulative sums, the current row included; `grand` adds a total over the whole key under another name. `add`
+    gets the window of a chunk and returns columns that look at `values` of at most `before` rows back and `after` ahead; it
+    can use the totals of its own row. Every chunk that exists has a row, so as many neighbouring chunks are enough."""
+    keys, order, totals, grand = list(keys), list(order), totals or {}, grand or {}
+    base = df.withColumn("_chunk", chunk).withColumns({f"_v_{name}": expr for name, expr in totals.items()})
+    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    sums = [F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals]
+    if before or after:
+        row = F.struct(*order, *[v for v in values if v not in order])
+        place = {"_row": row, "_rn": F.row_number().over(local), "_size": F.count("*").over(Window.partitionBy(*keys, "_chunk"))}
+        ends = {"_first": F.col("_rn") <= after, "_last": F.col("_rn") > F.col("_size") - before}
+        edges = [F.sort_array(F.collect_list(F.when(at, F.col("_row")))).alias(name) for name, at in ends.items()]
+        summary = base.withColumns(place).groupBy(*keys, "_chunk").agg(*sums, *edges)
+    else:
+        summary = base.groupBy(*keys, "_chunk").agg(*sums)
+    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    lacking = {f"_o_{n}": F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)) for n in totals}
+    lacking |= {f"_g_{n}": F.sum(f"_s_{n}").over(Window.partitionBy(*keys)) for n in grand}
+    near = []
+    if before:
+        rows = F.flatten(F.collect_list("_last").over(by_chunk.rowsBetween(-before, -1)))
+        near.append(F.slice(rows, F.greatest(F.size(rows) - before + 1, F.lit(1)), before))
+    if after:
+        near.append(F.slice(F.flatten(F.collect_list("_first").over(by_chunk.rowsBetween(1, after))), 1, after))
+    summary = summary.withColumns(lacking | {"_near": F.concat(*near) if near else F.lit(None)})
+    carried = [*lacking]
+    parts = [base.withColumn("_kind", F.lit(0))]
+    if carried:
+        parts.append(summary.select(*keys, "_chunk", *carried, F.lit(2).alias("_kind")))
+    if near:
+        kinds = F.transform("_near", lambda r: F.struct(F.lit(1).alias("kind"), r.alias("row")))
+        if carried:
+            nothing = F.struct(F.lit(2).alias("kind"), F.get("_near", F.lit(-1)).alias("row"))
+            parts[1:] = [summary.select(*keys, "_chunk", *carried, F.explode(F.concat(F.array(nothing), kinds)).alias("_e")).select(*keys, "_chunk", *carried, F.col("_e.kind").alias("_kind"), "_e.row.*")]
+        else:
+            parts.append(summary.select(*keys, "_chunk", F.explode("_near").alias("_e")).select(*keys, "_chunk", F.lit(1).alias("_kind"), "_e.*"))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part, allowMissingColumns=True)
+    whole = local.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if carried:
+        both = both.withColumns({c: F.max(c).over(whole) for c in carried}).filter("_kind < 2")
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({n: F.sum(f"_v_{n}").over(upto) + F.col(f"_o_{n}") for n in totals})
+    both = both.withColumns({alias: F.col(f"_g_{n}") for n, alias in grand.items()})
+    both = both.withColumns(add(local)) if add else both
+    return both.filter("_kind = 0").drop("_kind", "_chunk", *[f"_v_{n}" for n in totals], *carried)
+
+
 def with_previous_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,78 +129,27 @@ def with_previous_rows(
     chunk: Column,
     after: int = 0,
 ) -> DataFrame:
-    """Adds window columns that look at most `rows` rows back and `after` rows ahead in the order of each key.
-
-    Each (key, chunk) is a window partition of its own. The last `rows` rows before a chunk and the first `after` rows
-    behind it are copied into it, used by the window and dropped again. Only those edges are exchanged between chunks:
-    every chunk that exists has at least one row, so that many neighbouring chunks are enough to find them."""
-    keys, order = list(keys), list(order)
-    base = df.withColumn("_chunk", chunk)
-    both = base.withColumn("_halo", F.lit(False))
-    payload = F.struct(*order, *[v for v in values if v not in order])
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    for count, ahead in ((rows, False), (after, True)):
-        if not count:
-            continue
-        from_edge = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).asc() if ahead else F.col(c).desc() for c in order])
-        edges = (
-            base.select(*keys, "_chunk", payload.alias("_row"), *order)
-            .withColumn("_rn", F.row_number().over(from_edge))
-            .filter(F.col("_rn") <= count)
-            .groupBy(*keys, "_chunk")
-            .agg(F.sort_array(F.collect_list("_row")).alias("_edge"))
-        )
-        frame = by_chunk.rowsBetween(1, count) if ahead else by_chunk.rowsBetween(-count, -1)
-        start = F.lit(1) if ahead else F.greatest(F.size("_near") - count + 1, F.lit(1))
-        halo = (
-            edges.withColumn("_near", F.flatten(F.collect_list("_edge").over(frame)))
-            .select(*keys, "_chunk", F.explode(F.slice("_near", start, count)).alias("_row"))
-            .select(*keys, "_chunk", "_row.*", F.lit(True).alias("_halo"))
-        )
-        both = both.unionByName(halo, allowMissingColumns=True)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    return both.withColumns(add(local)).filter(~F.col("_halo")).drop("_halo", "_chunk")
+    """Adds window columns that look at most `rows` rows back and `after` rows ahead in the order of each key."""
+    return ordered_pass(df, keys, order, chunk, rows, after, values, add)
 
 
 def with_running_totals(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column | str],
+    order: Sequence[str],
     totals: dict[str, Column],
     chunk: Column | None = None,
     grand: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Adds cumulative sums (current row included) over the order of each key, in two phases.
-
-    Phase one sums inside (key, chunk); phase two adds the total of the earlier chunks, read from a table with one row
-    per chunk. `grand` also adds the total over the whole key under another name. With `chunk` absent the column
-    `_chunk` must exist already. Chunks must be monotonic in the order."""
-    keys = list(keys)
-    base = df if chunk is None else df.withColumn("_chunk", chunk)
-    base = base.withColumns({f"_v_{name}": expr for name, expr in totals.items()})
-    sums = base.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = sums.select(
-        *keys,
-        "_chunk",
-        *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals],
-        *[F.sum(f"_s_{n}").over(whole).alias(alias) for n, alias in (grand or {}).items()],
-    )
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    helpers = [c for n in totals for c in (f"_v_{n}", f"_o_{n}")]
-    return (
-        base.join(offsets, [*keys, "_chunk"])
-        .withColumns({n: F.sum(f"_v_{n}").over(local) + F.col(f"_o_{n}") for n in totals})
-        .drop(*helpers, "_chunk")
-    )
+    """Adds cumulative sums (current row included) over the order of each key; `grand` also adds the total over the whole key
+    under another name. With `chunk` absent the column `_chunk` must exist already."""
+    return ordered_pass(df, keys, order, F.col("_chunk") if chunk is None else chunk, totals=totals, grand=grand)
 
 
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column | str],
+    order: Sequence[str],
     chunk: Column,
     position: str = "pos",
     size: str | None = None,
@@ -142,7 +164,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, rank: str = "ra
 
     Equal values are counted first, so a value that fills a third of the table is one row of the ranking."""
     keys = list(keys)
-    ties = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_ties"))
+    ties = checkpointed(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_ties")))
     chunked = value_chunks(ties, keys, value)
     ranked = with_running_totals(chunked, keys, [value], {"_upto": F.col("_ties")}, None, {"_upto": count})
     table = ranked.select(*keys, value, (F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias(rank), count)
@@ -159,7 +181,7 @@ def exact_percentiles(
     the values of a whole key."""
     keys = list(keys)
     base = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_val"))
-    counts = base.groupBy(*keys, "_val").agg(F.count("*").alias("_c"))
+    counts = checkpointed(base.groupBy(*keys, "_val").agg(F.count("*").alias("_c")))
     tagged = value_chunks(counts, keys, "_val", parts)
     per_chunk = tagged.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_k"))
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import scalars as S
 from wayloom.functions.stats import partial_autocorrelation, pooled_t, regression_term, t_p_value
-from wayloom.operators.chunks import average_rank, day_chunk, with_position, with_previous_rows, with_running_totals
+from wayloom.operators.chunks import average_rank, day_chunk, ordered_pass, with_position, with_previous_rows, with_running_totals
+from wayloom.session import checkpointed
 
 ORDER = ["timestamp", "id"]
 HOUR = F.make_dt_interval
@@ -155,7 +156,11 @@ def change_points(df: DataFrame, keys: Sequence[str], value: str, threshold: flo
     of the key, those without a value included; `value` is the value at that position among the known ones."""
     keys = list(keys)
     chunk = day_chunk("timestamp")
-    rows = with_position(known(df, keys, value), keys, ORDER, chunk, "pos", "n").filter(F.col("n") >= 10)
+    counted = F.col("value").isNotNull().cast("long")
+    placed = ordered_pass(
+        df.select(*keys, *ORDER, F.col(value).alias("value")), keys, ORDER, chunk, totals={"place": F.lit(1).cast("long"), "pos": counted}, grand={"pos": "n"}
+    )
+    placed = checkpointed(placed.filter(F.col("n") >= 10))
 
     def add(w):
         step = F.lit(0.0)
@@ -166,11 +171,12 @@ def change_points(df: DataFrame, keys: Sequence[str], value: str, threshold: flo
             step = F.when(inside, following - now).otherwise(step)
         return {"step": step}
 
-    steps = with_previous_rows(rows, keys, ORDER, 2, ["value"], add, chunk, 3).filter(F.col("pos") < F.col("n"))
+    steps = ordered_pass(placed.filter("value is not null"), keys, ORDER, chunk, 2, 3, ["value"], add).filter(F.col("pos") < F.col("n"))
+    steps = checkpointed(steps.select(*keys, "pos", "value", "step"))
     spread = steps.groupBy(*keys).agg((F.stddev_pop("step") * threshold).alias("limit"))
     found = steps.join(spread, keys).filter(F.abs("step") > F.col("limit"))
-    places = with_position(df.select(*keys, *ORDER), keys, ORDER, chunk, "pos").select(*keys, "pos", F.col("timestamp").alias("at"))
-    return found.select(*keys, "pos", "value", "step", "limit").join(places, [*keys, "pos"]).select(
+    places = placed.select(*keys, F.col("place").alias("pos"), F.col("timestamp").alias("at"))
+    return found.join(places, [*keys, "pos"]).select(
         *keys, (F.col("pos") - 1).alias("index"), F.col("at").alias("timestamp"), "value", F.col("step").alias("change"), F.col("limit").alias("threshold")
     )
 

@@ -45,7 +45,7 @@ def att_sql(name: str, strata) -> str:
     key = ", ".join(strata)
     return f"""(WITH c AS (SELECT {key}, avg(y) AS mu FROM rows WHERE NOT treated GROUP BY ALL), d AS (SELECT r.*, y - mu AS diff FROM rows r JOIN c USING ({key}) WHERE treated),
     s AS (SELECT day, sum(diff) AS s, count(*) AS n, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS k FROM d GROUP BY 1),
-    b AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep || ':' || i), 1, 8) AS BIGINT) % k AS i FROM s, range(0, 100) t(rep)),
+    b AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep || ':' || i), 1, 8) AS BIGINT) % k AS i FROM s, range(0, {A.REPLICATES}) t(rep)),
     m AS (SELECT rep, sum(s) / sum(n) AS m FROM b JOIN s USING (i) GROUP BY 1),
     q AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m),
     e AS (SELECT avg(diff) AS att, count(*) AS n_used, count(DISTINCT ({key})) AS ns FROM d),
@@ -55,20 +55,18 @@ def att_sql(name: str, strata) -> str:
 
 
 NUMBERS = ["att", "naive_difference", "ci_low", "ci_high", "share_used"]
-register("stratified_att", lambda spark, sf: rounded(A.stratified_adjusted(treated_rows(spark, sf), A.STRATA, "strata", 100), *NUMBERS),
+register("stratified_att", lambda spark, sf: rounded(A.stratified_adjusted(treated_rows(spark, sf)), *NUMBERS),
          with_tables(MEASUREMENTS, ROWS) + "SELECT * FROM " + att_sql("strata", A.STRATA))
-register("specification_table", lambda spark, sf: rounded(A.specification_table(treated_rows(spark, sf), A.SPECIFICATIONS, 100), *NUMBERS),
+register("specification_table", lambda spark, sf: rounded(A.specification_table(treated_rows(spark, sf)), *NUMBERS),
          with_tables(MEASUREMENTS, ROWS) + " UNION ALL ".join("SELECT * FROM " + att_sql(n, s) for n, s in A.SPECIFICATIONS.items()))
-register("cluster_bootstrap", lambda spark, sf: rounded(A.cluster_interval(treated_rows(spark, sf).select("data_source", "day", F.col("y").alias("diff")), ["data_source"], "day", 200), "ci_low", "ci_high"),
+register("cluster_bootstrap", lambda spark, sf: rounded(A.cluster_interval(treated_rows(spark, sf).select("data_source", "day", F.col("y").alias("diff")), ["data_source"], "day"), "ci_low", "ci_high"),
          with_tables(MEASUREMENTS, ROWS) + f""", s AS (SELECT data_source, day, sum(y) AS s, count(*) AS n, row_number() OVER (PARTITION BY data_source ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY data_source) AS k FROM rows GROUP BY 1, 2),
-         b AS (SELECT data_source, rep, CAST('0x' || substr(md5('0:' || rep || ':' || i), 1, 8) AS BIGINT) % k AS i FROM s, range(0, 200) t(rep)),
+         b AS (SELECT data_source, rep, CAST('0x' || substr(md5('0:' || rep || ':' || i), 1, 8) AS BIGINT) % k AS i FROM s, range(0, {A.REPLICATES}) t(rep)),
          m AS (SELECT data_source, rep, sum(s) / sum(n) AS m FROM b JOIN s USING (data_source, i) GROUP BY 1, 2)
          SELECT data_source, {r6("quantile_cont(m, 0.025)")} AS ci_low, {r6("quantile_cont(m, 0.975)")} AS ci_high FROM m GROUP BY 1""")
-ALL = f"range(0, {A.REPLICATES})"
-register("stratified_att_all_replicates", lambda spark, sf: rounded(A.stratified_adjusted(treated_rows(spark, sf)), *NUMBERS), ORACLE["stratified_att"].replace("range(0, 100)", ALL))
-register("specification_table_all_replicates", lambda spark, sf: rounded(A.specification_table(treated_rows(spark, sf)), *NUMBERS), ORACLE["specification_table"].replace("range(0, 100)", ALL))
-register("cluster_bootstrap_all_replicates", lambda spark, sf: rounded(A.cluster_interval(treated_rows(spark, sf).select("data_source", "day", F.col("y").alias("diff")), ["data_source"], "day"), "ci_low", "ci_high"),
-         ORACLE["cluster_bootstrap"].replace("range(0, 200)", ALL))
+# The names under which the full number of replicates stood first.
+for _name in ("stratified_att", "specification_table", "cluster_bootstrap"):
+    register(f"{_name}_all_replicates", QUERIES[_name], ORACLE[_name])
 
 
 def humidity_scored(spark, sf):
