@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
     IDF, PCA, HashingTF, Imputer, Normalizer, SQLTransformer, StandardScaler, StringIndexer, TargetEncoder, VectorAssembler,
@@ -24,6 +24,7 @@ from pyspark.sql.types import StructField, StructType
 from wayloom.functions import scalars as S
 from wayloom.functions.taxonomy import STUDY_CATEGORIES
 from wayloom.functions.text import model_text, word_ngrams
+from wayloom.operators import batched as B
 from wayloom.operators import evaluation as E
 from wayloom.operators.chunks import with_one_row
 from wayloom.operators.closures import block_label
@@ -316,17 +317,32 @@ def fit_counts(name: str, train: DataFrame, test: DataFrame, seed: int = 0, roun
     return scored.select("row_id", "y", "block", F.greatest("prediction", F.lit(MIN_EXPECTED)).alias("prediction"))
 
 
-def cross_validate_counts(features: DataFrame, models: Sequence[str], repeats: int = 10, folds: int = 5, seed: int = 0, rounds: int = 20) -> DataFrame:
-    """Out-of-sample predictions of every model in every repetition of spatial block folds."""
-    rows = checkpointed(features.withColumns(density_columns(features)).withColumn("block", block_label(F.col("fila"), F.col("col"))))
-    parts = []
-    for r in range(repeats):
-        shifted = rows.withColumn("_b", block_label(F.col("fila"), F.col("col"), 4, (seed + r) % 4, (seed + r) // 4 % 4))
-        dealt = E.assign_folds(shifted, "_b", folds, seed + r)
-        for f in range(folds):
-            train, test = dealt.filter(F.col("fold") != f), dealt.filter(F.col("fold") == f)
-            parts += [fit_counts(m, train, test, seed + r, rounds).withColumns({"model": F.lit(m), "repetition": F.lit(r)}) for m in models]
-    return reduce(DataFrame.unionByName, parts)
+COUNT_BASELINES = ("media", "solo_distancia", "solo_poblacion", "solo_densidad")
+COUNT_ROUNDS = 200
+
+
+def count_columns(features: DataFrame) -> list[str]:
+    """Columns of the boosted model: every category in the cell and its rings, the distance, smoothed zone values."""
+    own = [c for c in features.columns if c.endswith(tuple(f"_{r}" for r in RINGS)) and not c.startswith("densidad")]
+    return [*own, "dist_centro_m", *[c for c in features.columns if c.endswith(("_suavizada", "_suavizado"))]]
+
+
+def cross_validate_counts(features: DataFrame, models: Sequence[str], repeats: int = 10, folds: int = 5, seed: int = 0, rounds: int = COUNT_ROUNDS) -> DataFrame:
+    """Out-of-sample predictions of every model in every repetition of spatial block folds, all folds in shared passes: the
+    mean, Poisson regressions on distance, population or density, and Poisson boosting. A model whose columns are not there
+    predicts the mean."""
+    rows = features.withColumns(density_columns(features)).withColumn("block", block_label(F.col("fila"), F.col("col"))).withColumn("row_id", F.col("row_id").cast("string"))
+    boosted = count_columns(features)
+    inputs = {"solo_distancia": ["dist_centro_m"], "solo_poblacion": [c for c in features.columns if c.startswith("pob")], "solo_densidad": [f"densidad_{r}" for r in RINGS]}
+    linear = {m: B.Linear(inputs[m]) for m in models if inputs.get(m)}
+    rows = checkpointed(B.dealt_folds(rows, repeats, folds, seed))
+    used = sorted({c for spec in linear.values() for c in spec.columns})
+    parts = [B.scored_means(rows, m) for m in models if m != "boosting" and m not in linear]
+    if linear:
+        parts.append(B.scored_linear(checkpointed(B.filled(rows.select("row_id", "y", "block", "folds", *used), used)), linear, repeats, folds))
+    if "boosting" in models:
+        parts.append(B.scored_boosting(rows, "boosting", B.Boosting(boosted, rounds=rounds), repeats, folds, seed))
+    return reduce(DataFrame.unionByName, parts).withColumns({"row_id": F.col("row_id").cast("long"), "prediction": F.greatest("prediction", F.lit(MIN_EXPECTED))})
 
 
 def bootstrap_ensemble(features: DataFrame, name: str, times: int = 10, seed: int = 0) -> DataFrame:
@@ -355,49 +371,38 @@ DENSITIES = ["n_same_250", "n_total_250", "n_same_500", "n_total_500"]
 ONE_HOT = [f"cat_{c}" for c in STUDY_CATEGORIES]
 
 
-def fit_closures(name: str, train: DataFrame, test: DataFrame, seed: int = 0, rounds: int = 20) -> DataFrame:
-    """Closure probability of each test row by one model."""
-    if name == "solo_categoria":
-        rates = train.groupBy("category").agg(F.avg("y").alias("_rate"))
-        overall = train.agg(F.avg("y").alias("_all"))
-        scored = with_one_row(test.join(rates, "category", "left"), overall).withColumn("prediction", F.coalesce("_rate", "_all"))
-    elif name == "boosting":
-        stages = [VectorAssembler(inputCols=[*ONE_HOT, *DENSITIES, "dist_m", "chain"], outputCol="features"), GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed)]
-        scored = Pipeline(stages=stages).fit(train).transform(test).withColumn("prediction", vector_to_array("probability")[1])
-    else:
-        logs = name == "solo_densidad"
-        numbers = [f"_log_{c}" for c in DENSITIES] if logs else [*DENSITIES, "dist_m"]
-        if logs:
-            add = {f"_log_{c}": F.log1p(c) for c in DENSITIES}
-            train, test = train.withColumns(add), test.withColumns(add)
-        rest = [] if logs else [*ONE_HOT, "chain"]
-        stages = [VectorAssembler(inputCols=numbers, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
-                  VectorAssembler(inputCols=["_scaled", *rest], outputCol="features"), LogisticRegression(labelCol="y", regParam=1.0 / max(1, train.count()), standardization=False)]
-        scored = Pipeline(stages=stages).fit(train).transform(test).withColumn("prediction", vector_to_array("probability")[1])
-    return scored.select("row_id", "y", "block", "prediction")
-
-
-def cross_validate_closures(frame: DataFrame, models: Sequence[str] = CLOSURE_MODELS, repeats: int = 10, folds: int = 5, seed: int = 0) -> DataFrame:
-    """Out-of-sample closure probabilities over spatial block folds."""
-    rows = checkpointed(frame.withColumn("block", block_label(F.col("fila"), F.col("col"))).withColumn("row_id", F.concat_ws(":", "type", F.col("id").cast("string"))))
-    parts = []
-    for r in range(repeats):
-        shifted = rows.withColumn("_b", block_label(F.col("fila"), F.col("col"), 4, (seed + r) % 4, (seed + r) // 4 % 4))
-        dealt = E.assign_folds(shifted, "_b", folds, seed + r)
-        for f in range(folds):
-            train, test = dealt.filter(F.col("fold") != f), dealt.filter(F.col("fold") == f)
-            parts += [fit_closures(m, train, test, seed + r).withColumns({"model": F.lit(m), "repetition": F.lit(r)}) for m in models]
+def cross_validate_closures(frame: DataFrame, models: Sequence[str] = CLOSURE_MODELS, repeats: int = 10, folds: int = 5, seed: int = 0, rounds: int = 150) -> DataFrame:
+    """Out-of-sample closure probabilities over spatial block folds, all folds in shared passes: logistic regressions on all
+    columns and on densities, boosting, and the closure rate of the category."""
+    rows = frame.withColumn("block", block_label(F.col("fila"), F.col("col"))).withColumn("row_id", F.concat_ws(":", "type", F.col("id").cast("string")))
+    logs = {f"log_{c}": F.log1p(c) for c in DENSITIES}
+    rows = checkpointed(B.dealt_folds(rows.withColumns(logs).withColumn("y", F.col("y").cast("double")), repeats, folds, seed))
+    every = {
+        "logistica": B.Linear([*DENSITIES, "dist_m"], [*ONE_HOT, "chain"], "logistic", 1.0, False),
+        "solo_densidad": B.Linear(list(logs), [], "logistic", 1.0, False),
+    }
+    linear = {m: every[m] for m in models if m in every}
+    parts = [B.scored_means(rows, m, ["category"]) for m in models if m == "solo_categoria"]
+    if linear:
+        parts.append(B.scored_linear(rows, linear, repeats, folds))
+    if "boosting" in models:
+        settings = B.Boosting([*ONE_HOT, *DENSITIES, "dist_m", "chain"], "logistic", rounds, depth=2, rate=0.05, leaf=10, ridge=0.0, subsample=0.8)
+        parts.append(B.scored_boosting(rows, "boosting", settings, repeats, folds, seed))
     return reduce(DataFrame.unionByName, parts)
 
 
-def closure_study(frame: DataFrame, gate: DataFrame, repeats: int = 10, folds: int = 5, replicates: int = 1000) -> DataFrame | None:
-    """The decision table of a label, or None when the sample gate is closed: then nothing is trained."""
+STUDY = "model string, reference string, auc double, auc_low double, auc_high double, difference double, difference_low double, difference_high double, passes boolean"
+
+
+def closure_study(frame: DataFrame, gate: DataFrame, repeats: int = 10, folds: int = 5, replicates: int = 1000) -> DataFrame:
+    """The decision table of a label; no rows when the sample gate is closed: then nothing is trained."""
     if not gate.first()["passes"]:
-        return None
+        return frame.sparkSession.createDataFrame([], STUDY)
     oof = checkpointed(cross_validate_closures(frame, repeats=repeats, folds=folds))
     return E.auc_decision(E.clustered_auc(oof, replicates), ["logistica", "boosting"], ["solo_categoria", "solo_densidad"])
 
 
+
 # --- phrases ---------------------------------------------------------------------------------------------------------
 def fit_vectoriser(phrases: DataFrame, text: str, low: int = 2, high: int = 5, slots: int = SLOTS):
     """Counting and fitted weighting of character n-grams inside words. Every n-gram counts: it is hashed to one of `slots`

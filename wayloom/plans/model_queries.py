@@ -16,7 +16,7 @@ from wayloom.operators import routes as R
 from wayloom.plans import common as C
 from wayloom.plans.common import MEASUREMENTS, measurements, r6, shown, table, with_tables
 from wayloom.plans.place_queries import counts
-from wayloom.plans.study_queries import snapshots
+from wayloom.plans.study_queries import CL, snapshots
 from wayloom.plans.table_queries import GOODS
 from wayloom.schemas import ROUTE
 
@@ -199,15 +199,37 @@ register("cell_features", lambda spark, sf: features(spark, sf).select("fila", "
          count(*) FILTER (greatest(abs(k.fila - a.fila), abs(k.col - a.col)) = 1 AND category = 'business')::DOUBLE AS business_anillo1,
          count(*) FILTER (greatest(abs(k.fila - a.fila), abs(k.col - a.col)) = 2 AND category = 'school')::DOUBLE AS school_anillo2, 0::DOUBLE AS food_drink_celda
          FROM act a, k WHERE abs(k.fila - a.fila) <= 2 AND abs(k.col - a.col) <= 2 GROUP BY 1, 2""")
-register("count_model_validation", lambda spark, sf: E.count_metrics(O.cross_validate_counts(features(spark, sf), ["media", "solo_densidad", "solo_distancia"])))
-register("count_model_study", lambda spark, sf: O.target_study(features(spark, sf), ["boosting"], ["media", "solo_densidad"])[0])
+STUDIED = [*O.COUNT_BASELINES, "boosting"]
+DEALT = """shifts AS (SELECT r, (r % 4)::INT AS dr, (r // 4 % 4)::INT AS dc FROM range(0, 10) t(r)),
+blocked AS (SELECT cells.*, r, (floor((fila + dr) / 4)::BIGINT * 1000 + floor((col + dc) / 4)::BIGINT) AS b FROM cells, shifts),
+dealt AS (SELECT r, b, (row_number() OVER (PARTITION BY r ORDER BY md5(r || ':' || b), b) - 1) % 5 AS fold FROM (SELECT DISTINCT r, b FROM blocked)),
+tested AS (SELECT * FROM blocked JOIN dealt USING (r, b))"""
+
+
+def left_out(keys: str = "") -> str:
+    """Mean of y over the other folds of a repetition, of rows with equal keys."""
+    def over(more: str) -> str:
+        return f"OVER (PARTITION BY r{keys}{more})"
+
+    return f"(sum(y) {over('')} - sum(y) {over(', fold')}) / nullif(count(*) {over('')} - count(*) {over(', fold')}, 0)"
+
+
+register("count_model_validation", lambda spark, sf: E.count_metrics(O.cross_validate_counts(features(spark, sf), STUDIED)))
+register("count_model_means", lambda spark, sf: rounded(O.cross_validate_counts(features(spark, sf), ["media"]), "prediction").select("row_id", "y", "repetition", "prediction"),
+         CF + f""", act AS (SELECT DISTINCT fila + a.i AS fila, col + b.i AS col FROM k, range(-1, 2) a(i), range(-1, 2) b(i) WHERE category NOT IN ('edificio', 'alojamiento', 'transporte', 'industria')
+           AND fila + a.i BETWEEN 0 AND {G.GRID.rows - 1} AND col + b.i BETWEEN 0 AND {G.GRID.cols - 1}),
+         cells AS (SELECT act.fila, act.col, count(k.fila)::DOUBLE AS y FROM act LEFT JOIN k ON k.fila = act.fila AND k.col = act.col AND category = 'food_drink' GROUP BY 1, 2),
+         {DEALT} SELECT (fila * 1000 + col)::BIGINT AS row_id, y, r::INT AS repetition, {r6(f"greatest({left_out()}, {O.MIN_EXPECTED}::DOUBLE)")} AS prediction FROM tested""")
+register("count_model_study", lambda spark, sf: O.target_study(features(spark, sf), ["boosting"], O.COUNT_BASELINES)[0])
 register("count_model_ensemble", lambda spark, sf: O.bootstrap_ensemble(features(spark, sf), "solo_densidad"))
 
 
-def closure_validation(spark, sf):
-    labels = K.label(*snapshots(spark, sf))
-    oof = O.cross_validate_closures(K.modelling_frame(labels, snapshots(spark, sf)[0]))
-    return E.rank_auc(oof, ["model", "repetition"], "y", "prediction")
+def closure_frame(spark, sf):
+    return K.modelling_frame(K.label(*snapshots(spark, sf)), snapshots(spark, sf)[0])
 
 
-register("closure_model_validation", closure_validation)
+register("closure_model_validation", lambda spark, sf: E.rank_auc(O.cross_validate_closures(closure_frame(spark, sf)), ["model", "repetition"], "y", "prediction"))
+register("closure_category_rates", lambda spark, sf: rounded(O.cross_validate_closures(closure_frame(spark, sf), ["solo_categoria"]), "prediction").select("row_id", "y", "repetition", "prediction"),
+         CL + f""", cells AS (SELECT type || ':' || id AS row_id, category, closed AS y, floor((lat - {G.GRID.south!r}) / {G.GRID.dlat!r}e0)::INT AS fila, floor((lon - {G.GRID.west!r}) / {G.GRID.dlon!r}e0)::INT AS col FROM closed WHERE closed IS NOT NULL),
+         {DEALT} SELECT row_id, y, r::INT AS repetition, {r6(f"coalesce({left_out(', category')}, {left_out()})")} AS prediction FROM tested""")
+register("closure_study", lambda spark, sf: O.closure_study(closure_frame(spark, sf), K.gate(K.label(*snapshots(spark, sf)))))
