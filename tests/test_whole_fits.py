@@ -18,7 +18,7 @@ class Asked(Exception):
     ("ensemble_evaluation", "evaluate_ensemble", {"trees": 100, "rounds": 100}),
     ("route_predictions", "fit_ensemble", {"trees": 100, "rounds": 100}),
     ("high_delay_classifiers", "evaluate_high_delay", {"trees": 100, "subsets": ("sqrt", "log2", "0.3", "0.5")}),
-    ("travel_time_regression", "evaluate_regression", {"rounds": 200}),
+    ("travel_time_regression", "evaluate_regression", {"rounds": 250}),
     ("count_model_validation", "cross_validate_counts", {"repeats": 10, "folds": 5}),
     ("count_model_study", "target_study", {"repeats": 10, "folds": 5, "replicates": 2000}),
     ("count_model_ensemble", "bootstrap_ensemble", {"times": 10}),

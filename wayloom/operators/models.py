@@ -5,9 +5,11 @@ Every fit is one distributed job over all rows; loops run over repetitions and f
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -38,6 +40,7 @@ TRAVEL_FEATURES = ["hour_of_day", "day_of_week", "temperature", "humidity", "no_
 MIN_EXPECTED = 1e-3
 ENSEMBLE_WEIGHTS = {"random_forest": 0.5, "gradient_boosting": 0.5}
 CELL = ["fila", "col"]
+FITS_AT_ONCE = 8
 SPARSE = 0
 SLOTS = 1 << 18
 RINGS = ("celda", "anillo1", "anillo2")
@@ -202,20 +205,32 @@ def fit_high_delay(train: DataFrame, trees: int = 100, subsets: Sequence[str] =
     stamped = train.withColumn("_us", F.unix_micros(F.col("timestamp").cast("timestamp")))
 
     def forest(subset, data):
-        stage = RandomForestClassifier(labelCol="high", numTrees=trees, featureSubsetStrategy=subset, maxDepth=10, seed=42)
-        return Pipeline(stages=[*design_stages(data), stage]).fit(data)
-
-    def score(subset):
-        total = 0.0
-        for i, cut in enumerate(cuts):
-            upper = cuts[i + 1] if i + 1 < len(cuts) else None
-            later = stamped.filter(F.col("_us") >= cut) if upper is None else stamped.filter((F.col("_us") >= cut) & (F.col("_us") < upper))
-            scored = probability(forest(subset, stamped.filter(F.col("_us") < cut)).transform(later))
-            total += E.rank_auc(scored, [], "high", "p").first()["auc"] or 0.0
-        return total / len(cuts)
-
-    best = subsets[0] if len(subsets) == 1 else max(subsets, key=score)
-    return logistic, forest(best, train), best
+        return RandomForestClassifier(labelCol="high", numTrees=trees, featureSubsetStrategy=subset, maxDepth=10, seed=42, maxMemoryInMB=1024).fit(data)
+
+    def prepared(i):
+        """Training rows before a cut and the rows up to the next one, with the features the four subsets share."""
+        upper = cuts[i + 1] if i + 1 < len(cuts) else None
+        past = stamped.filter(F.col("_us") < cuts[i])
+        later = stamped.filter(F.col("_us") >= cuts[i]) if upper is None else stamped.filter((F.col("_us") >= cuts[i]) & (F.col("_us") < upper))
+        design = Pipeline(stages=design_stages(past)).fit(past)
+        return [checkpointed(design.transform(part).select("features", "high")) for part in (past, later)]
+
+    def score(task):
+        subset, (past, later) = task
+        return E.rank_auc(probability(forest(subset, past).transform(later)), [], "high", "p").first()["auc"] or 0.0
+
+    def chosen():
+        # The fits of the grid are separate jobs: several at a time fill the cluster where one leaves cores idle between passes.
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            parts = list(pool.map(inheritable_thread_target(train.sparkSession)(prepared), range(len(cuts))))
+            tasks = [(subset, part) for subset in subsets for part in parts]
+            found = list(pool.map(inheritable_thread_target(train.sparkSession)(score), tasks))
+        totals = {subset: sum(auc for (own, _), auc in zip(tasks, found, strict=True) if own == subset) for subset in subsets}
+        return max(subsets, key=totals.get)
+
+    best = subsets[0] if len(subsets) == 1 else chosen()
+    design = Pipeline(stages=design_stages(train)).fit(train)
+    return logistic, PipelineModel(stages=[*design.stages, forest(best, design.transform(train))]), best
 
 
 def probability(scored: DataFrame) -> DataFrame:
@@ -234,7 +249,7 @@ def evaluate_high_delay(df: DataFrame, split: Callable[[DataFrame], DataFrame],
     return E.rank_auc(both, ["model"], "high", "p").join(E.confusion(both, ["model"], "high", "p"), "model")
 
 
-def evaluate_regression(df: DataFrame, split: Callable[[DataFrame], DataFrame], rounds: int = 200) -> DataFrame:
+def evaluate_regression(df: DataFrame, split: Callable[[DataFrame], DataFrame], rounds: int = 250) -> DataFrame:
     """RMSE, MAE and R² of a linear model and of boosted trees on the later rows."""
     rows = checkpointed(split(modelling_frame(df)))
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
@@ -292,7 +307,7 @@ def density_columns(features: DataFrame) -> dict[str, Column]:
     }
 
 
-def fit_counts(name: str, train: DataFrame, test: DataFrame, seed: int = 0, rounds: int = 20) -> DataFrame:
+def fit_counts(name: str, train: DataFrame, test: DataFrame, seed: int = 0, rounds: int = 200) -> DataFrame:
     """Expected count of each test cell by one model: mean, density, distance, population or boosting."""
     inputs = {
         "solo_distancia": ["dist_centro_m"],
@@ -305,7 +320,7 @@ def fit_counts(name: str, train: DataFrame, test: DataFrame, seed: int = 0, roun
     elif name == "boosting":
         stages = [Imputer(strategy="median", inputCols=inputs[name], outputCols=[f"_m_{c}" for c in inputs[name]]),
                   VectorAssembler(inputCols=[f"_m_{c}" for c in inputs[name]], outputCol="features"),
-                  GBTRegressor(labelCol="_log", maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed)]
+                  GBTRegressor(labelCol="_log", maxIter=rounds, maxDepth=3, stepSize=0.05, minInstancesPerNode=20, seed=seed)]
         model = Pipeline(stages=stages).fit(train.withColumn("_log", F.log1p("y")))
         scored = model.transform(test).withColumn("prediction", F.expm1("prediction"))
     else:
