@@ -194,6 +194,20 @@ register("stream_latest_state", stream_state,
          max(timestamp) FILTER (traffic_delay_min IS NOT NULL) < TIMESTAMP '2024-01-30 23:00:00' - INTERVAL 90 MINUTE AS stale FROM measurements GROUP BY 1, 2""")
 
 
+def stream_live(spark, sf):
+    live = J.run_update(J.live_state(stream(spark, sf), 480), spark, ROUTE)
+    at = [F.timestamp_micros(F.col(f"{c}_us")).cast(NTZ).alias(f"{c}_at") for c in ("latest", "traffic")]
+    return live.select(*ROUTE, *at, "latest_id", "traffic_id", shown(F.col("traffic_delay_min")).alias("traffic_delay_min"), "stale")
+
+
+register("stream_route_staleness", stream_live,
+         with_tables(MEASUREMENTS) + f""", l AS (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY timestamp DESC, id DESC) AS i FROM measurements),
+         t AS (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY timestamp DESC, id DESC) AS i FROM measurements WHERE traffic_delay_min IS NOT NULL),
+         now AS (SELECT epoch_ms(max(timestamp)) - 600000 AS ms FROM measurements)
+         SELECT l.origin, l.destination, l.timestamp AS latest_at, t.timestamp AS traffic_at, l.id AS latest_id, t.id AS traffic_id, {r6("t.traffic_delay_min")} AS traffic_delay_min,
+         t.id IS NULL OR epoch_ms(t.timestamp) + 28800000 < (SELECT ms FROM now) AS stale FROM l LEFT JOIN t ON t.origin = l.origin AND t.destination = l.destination AND t.i = 1 WHERE l.i = 1""")
+
+
 def stream_gold(spark, sf):
     folder = J.scratch(spark)
     shaped = stream(spark, sf).withColumn("timestamp", F.col("timestamp").cast(NTZ))

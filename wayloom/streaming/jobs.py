@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayloom.operators import medallion as M
 from wayloom.schemas import MEASUREMENT_KEY, ROUTE
 
 LATE = "3 hours"
+STALE_MINUTES = 90
+_STATE = "latest_us long, latest_id long, data_source string, travel_time_min double, traffic_us long, traffic_id long, traffic_delay_min double, stale boolean"
 
 
 def event_time(df: DataFrame, column: str = "timestamp") -> DataFrame:
@@ -65,6 +70,48 @@ def with_staleness(state: DataFrame, as_of: str, minutes: int = 90, ts: str = "t
     return state.withColumn("stale", at.isNull() | (at < limit))
 
 
+def _fold_state(minutes: int) -> Callable:
+    """One micro-batch of a route: its new rows, or its timer."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _STATE.split(", ")]
+        own = dict(zip(names, state.get, strict=True)) if state.exists else dict.fromkeys(names)
+        if state.hasTimedOut:
+            own["stale"] = True
+        else:
+            for rows in frames:
+                newest = rows.sort_values(["us", "id"], kind="stable")
+                last = newest.iloc[-1]
+                if own["latest_us"] is None or (last["us"], last["id"]) >= (own["latest_us"], own["latest_id"]):
+                    travel = last["travel_time_min"]
+                    own |= {"latest_us": int(last["us"]), "latest_id": int(last["id"]), "data_source": last["data_source"], "travel_time_min": None if pd.isna(travel) else float(travel)}
+                seen = newest[newest["traffic_delay_min"].notna()]
+                if len(seen):
+                    last = seen.iloc[-1]
+                    if own["traffic_us"] is None or (last["us"], last["id"]) >= (own["traffic_us"], own["traffic_id"]):
+                        own |= {"traffic_us": int(last["us"]), "traffic_id": int(last["id"]), "traffic_delay_min": float(last["traffic_delay_min"])}
+            due = None if own["traffic_us"] is None else own["traffic_us"] // 1000 + minutes * 60_000
+            own["stale"] = due is None or due < state.getCurrentWatermarkMs()
+            if not own["stale"]:
+                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        state.update(tuple(own.values()))
+        yield pd.DataFrame([[*key, *own.values()]], columns=[*ROUTE, *names])
+
+    return fold
+
+
+def live_state(stream: DataFrame, minutes: int = STALE_MINUTES, ts: str = "timestamp", late: str = "10 minutes") -> DataFrame:
+    """Per route the newest row, the newest reading with traffic and whether that is stale, for update mode.
+
+    The state is one row per route with a timer `minutes` behind its newest traffic reading. A micro-batch gives the routes it
+    has rows for, and those whose timer the watermark has passed: a route that goes silent turns stale by the progress of the
+    others, without a row of its own. Rows later than the watermark are not seen; a route without any traffic reading is stale."""
+    columns = ["id", "data_source", "travel_time_min", "traffic_delay_min"]
+    rows = stream.withWatermark(ts, late).select(*ROUTE, ts, F.unix_micros(ts).alias("us"), *columns)
+    schema = ", ".join([*(f"{c} string" for c in ROUTE), _STATE])
+    return rows.groupBy(*ROUTE).applyInPandasWithState(_fold_state(minutes), schema, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def sessions(stream: DataFrame, gap: str = "2 hours", ts: str = "timestamp", late: str = LATE) -> DataFrame:
     """Stretches of each source without a silence of `gap`; the space between two of them is a gap."""
     return (
@@ -129,6 +176,21 @@ def run_complete(result: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(result.schema).parquet(f"{folder}/out")
 
 
+def run_update(result: DataFrame, spark: SparkSession, keys: list[str], folder: str | None = None) -> DataFrame:
+    """Processes everything available in update mode and reads the newest row of each key. A micro-batch writes its changes to a
+    folder of its own, so one that runs again replaces what it wrote; what has not changed is not written again."""
+    folder = folder or scratch(spark)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    query = result.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rest = [c for c in result.columns if c not in keys]
+    changes = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*").select(result.columns)
+
+
 def run_available(result: DataFrame, spark: SparkSession) -> DataFrame:
     """Processes everything available in append mode and reads the written result."""
     folder = scratch(spark)
