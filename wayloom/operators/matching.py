@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.text import match_name, name_similarity
 from wayloom.operators.geo import in_any_circle, within_distance
+from wayloom.operators.graphs import component_roots
 from wayloom.session import checkpointed
 
 # Radius and result limit of a search, distances and similarities of a match, words that tell nothing apart.
@@ -44,23 +48,33 @@ def candidate_pairs(left: DataFrame, right: DataFrame, stop: tuple[str, ...] = S
 
 
 def greedy_matching(pairs: DataFrame) -> DataFrame:
-    """The one-to-one matching that takes pairs by similarity, then distance, then ids.
-
-    A pair that is first for both its ends under that order belongs to the greedy result. Each round takes all of them,
-    drops both ends and goes on with the rest; every round writes its state, so it does not grow the plan."""
-    order = F.struct(-F.col("sim"), "dist_m", "left_id", "right_id")
-    rest = checkpointed(pairs)
-    taken = None
-    while not rest.isEmpty():
-        best_left = rest.groupBy("left_id").agg(F.min_by("right_id", order).alias("right_id"))
-        best_right = rest.groupBy("right_id").agg(F.min_by("left_id", order).alias("left_id"))
-        mutual = best_left.join(best_right, ["left_id", "right_id"])
-        won = checkpointed(rest.join(mutual, ["left_id", "right_id"]))
-        taken = won if taken is None else taken.unionByName(won)
-        rest = checkpointed(
-            rest.join(won.select("left_id"), "left_id", "left_anti").join(won.select("right_id"), "right_id", "left_anti")
-        )
-    return rest if taken is None else taken
+    """The one-to-one matching that takes pairs (left_id, right_id, sim, dist_m, ...) by similarity, then distance, then ids.
+
+    Pairs without a common place do not touch each other, so each connected part of the pairs is matched on its own: its rows
+    come to one task in their order, which keeps only the places taken so far. Parts are as long as chains of places that are
+    near and alike; however long a chain, there are no rounds over it."""
+    ends = {side: F.concat(F.lit(f"{side}:"), F.col(f"{side}_id").cast("string")) for side in ("left", "right")}
+    pairs = checkpointed(pairs)
+    roots = component_roots(pairs.select(ends["left"].alias("a"), ends["right"].alias("b")))
+    keyed = pairs.withColumn("node", ends["left"]).join(roots, "node").withColumn("_order", -F.col("sim"))
+    dealt = keyed.repartition("root").sortWithinPartitions("root", "_order", "dist_m", "left_id", "right_id").select(*pairs.columns, "root")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, left, right = None, set(), set()
+        for batch in batches:
+            keep = []
+            for root, a, b in zip(*(batch.column(c).to_pylist() for c in ("root", "left_id", "right_id")), strict=True):
+                if root != part:
+                    part, left, right = root, set(), set()
+                free = a not in left and b not in right
+                if free:
+                    left.add(a)
+                    right.add(b)
+                keep.append(free)
+            yield batch.select(pairs_columns).filter(pa.array(keep, pa.bool_()))
+
+    pairs_columns = pairs.columns
+    return dealt.mapInArrow(take, pairs.schema)
 
 
 def point_key(name: Column) -> Column:
