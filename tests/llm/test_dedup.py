@@ -119,6 +119,33 @@ def test_near_dedup_blocks_find_what_hubs_leave(spark):
         assert {tuple(r) for r in near_dedup.verified(pairs, full).collect()} == want
 
 
+@pytest.mark.parametrize("block", [7, 40, 1000])
+def test_near_dedup_crowded_blocks_are_connected(spark, block):
+    """Chains of near copies, crowded in every list: a block gives no more rows than it has documents, and what links connects
+    stays connected, whatever the block size."""
+    rng = random.Random(12)
+    texts, base = {}, prose(rng, 150)
+    for i in range(150):
+        texts[i] = base = varied(base, rng, 2)
+        if i % 50 == 49:
+            base = prose(rng, 150)
+    docs = frame(spark, list(texts.items()))
+    posts, full = near_dedup.postings(near_dedup.sketches(docs).select("doc_id", "sig")), near_dedup.shingle_sets(docs)
+    nobody = spark.createDataFrame([], "node long, root long")
+    found = near_dedup.rest_pairs(posts, nobody, full, block=block, folded=True).collect()
+    blocks = {}
+    for r in found:
+        blocks.setdefault((r["place"], r["value"], r["x"], r["y"]), []).append(r)
+    sizes = {(r["place"], r["value"]): r["n"] for r in posts.groupBy("place", "value").agg(F.count("*").alias("n")).collect()}
+    assert any(r["b"] is None for r in found) and all(len(own) <= sizes[key[:2]] for key, own in blocks.items())
+    links = near_dedup.rest_links(posts, nobody, full, block=block)
+    got = {r["node"]: r["root"] for r in components(links).collect()}
+    want, _ = brute.near_components(texts)
+    assert {d: got.get(d, d) for d in texts} == want
+    shingled = {d: brute.shingles(t) for d, t in texts.items()}
+    assert all(100 * len(shingled[a] & shingled[b]) >= 75 * len(shingled[a] | shingled[b]) for a, b in links.collect())
+
+
 def test_near_dedup_whole_table(spark):
     want, sizes = brute.near_components(documents(spark))
     from wayloom.llm.queries import QUERIES

@@ -19,6 +19,7 @@ BLOCK = 1024
 FINE = 512
 FINE_LEAST = 333
 _STEP = 1 << 15
+_CANDIDATE = "a long, b long, place int, value int, x int, y int"
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"
 
 
@@ -139,8 +140,10 @@ def hub_pairs(posts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
 
 
-def rest_pairs(posts: DataFrame, roots: DataFrame, full: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """All pairs that meet in a posting list, agree in `threshold` coordinates and are in different components so far.
+def rest_pairs(posts: DataFrame, roots: DataFrame, full: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, folded: bool = False) -> DataFrame:
+    """All pairs (a, b) that meet in a posting list, agree in `threshold` coordinates and are in different components so far,
+    with the block (place, value, x, y) that has found them. `folded` gives a block with more pairs than documents as its
+    documents instead (a, with b null), so that a block never gives more rows than it has.
 
     Lists within one component are left out before. Of the others, every document meets those outside the list's largest
     component, block against block of about `block` documents, each two blocks in a group of their own. A pair comes from the
@@ -173,19 +176,20 @@ def rest_pairs(posts: DataFrame, roots: DataFrame, full: DataFrame, threshold: i
             for s, e in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
                 key = tuple(keys[:, s])
                 if key != last and held:
-                    yield from _meet(held, threshold)
+                    yield _meet(held, threshold, folded)
                     held = []
                 last = key
                 held.append(batch.slice(s, e - s))
         if held:
-            yield from _meet(held, threshold)
+            yield _meet(held, threshold, folded)
 
     keyed = left.unionByName(right).repartition("place", "value", "x", "y").sortWithinPartitions("place", "value", "x", "y")
-    return keyed.mapInArrow(compare, "a long, b long").distinct()
+    return keyed.mapInArrow(compare, _CANDIDATE)
 
 
-def _meet(held: list[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one group: its left rows against its right rows; two rows that both come on either side, once."""
+def _meet(held: list[pa.RecordBatch], threshold: int, folded: bool) -> pa.RecordBatch:
+    """Candidates of one group: pairs of its left rows with its right rows, a pair whose rows both come on either side only
+    once; or, folded, if they are more than its documents, the documents that stand in them."""
     rows = pa.Table.from_batches(held)
     side, mains, ids, roots, posted = (rows[c].to_numpy() for c in ("side", "mains", "doc_id", "root", "posted"))
     sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
@@ -194,6 +198,7 @@ def _meet(held: list[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch
     bits = np.int64(1) << np.arange(sig.shape[1], dtype=np.int64)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     step = max(1, 4096 // max(1, len(right)))
+    found, count, taking, most = [], 0, np.zeros(len(ids), bool), len(np.unique(ids)) if folded else np.inf
     for at in range(0, len(left), step):
         own = left[at : at + step]
         i, j = np.nonzero((roots[own, None] != roots[right]) & (mains[own, None] | (ids[own, None] < ids[right])))
@@ -202,9 +207,58 @@ def _meet(held: list[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch
         good = (same.sum(axis=1) >= threshold) & ((same @ bits) & posted[i] & posted[j] & before == 0)
         i, j = i[good], j[good]
         good = (fine[i] == fine[j]).sum(axis=1) >= FINE_LEAST
-        if good.any():
-            a, b = ids[i[good]], ids[j[good]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        i, j = i[good], j[good]
+        count += len(i)
+        taking[i] = taking[j] = True
+        if count <= most:
+            found.append((ids[i], ids[j]))
+    if count <= most:
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
+        a, b = pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))
+    else:
+        a = pa.array(np.unique(ids[taking]))
+        b = pa.nulls(len(a), pa.int64())
+    key = [pa.repeat(pa.scalar(rows[c][0].as_py(), pa.int32()), len(a)) for c in ("place", "value", "x", "y")]
+    return pa.RecordBatch.from_arrays([a, b, *key], ["a", "b", "place", "value", "x", "y"])
+
+
+def block_links(crowded: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that connect, within each block of documents (doc_id, place, value, x, y), all that links on whole sets
+    connect: at most one less than it has documents. A document outside the largest part so far is compared with the whole
+    block at once, by a count of marked shingles; when only the largest part is left, all links between parts are known."""
+
+    def connect(rows: pa.Table) -> pa.Table:
+        ids, lists = rows["doc_id"].to_numpy(), rows["shingles"].combine_chunks()
+        sizes, n = lists.value_lengths().to_numpy(), rows.num_rows
+        distinct, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        owner, ends = np.repeat(np.arange(n), sizes), np.cumsum(sizes)
+        part, tried, marked, links = np.arange(n), np.zeros(n, bool), np.zeros(len(distinct), bool), []
+        while True:
+            todo = np.flatnonzero(~tried & (part != np.bincount(part, minlength=n).argmax()))
+            if not len(todo):
+                break
+            i = int(todo[0])
+            tried[i] = True
+            own = codes[ends[i] - sizes[i] : ends[i]]
+            marked[own] = True
+            common = np.bincount(owner, marked[codes], n).astype(np.int64)
+            marked[own] = False
+            near = np.flatnonzero((100 * common >= percent * (sizes + sizes[i] - common)) & (part != part[i]) & (sizes > 0))
+            parts, first = np.unique(part[near], return_index=True)
+            links += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near[first]]
+            part[np.isin(part, parts)] = part[i]
+        return pa.table({"a": pa.array([int(x) for x, _ in links], pa.int64()), "b": pa.array([int(y) for _, y in links], pa.int64())})
+
+    whole = crowded.join(full.select("doc_id", "shingles"), "doc_id")
+    return whole.groupBy("place", "value", "x", "y").applyInArrow(connect, "a long, b long")
+
+
+def rest_links(posts: DataFrame, roots: DataFrame, full: DataFrame, percent: int = PERCENT, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Links on whole sets between what the hubs have left apart: all of the pairs, and of crowded blocks what connects them."""
+    found = stored(rest_pairs(posts, roots, full, threshold, block, folded=True), "near-candidates")
+    pairs = found.filter("b is not null").select("a", "b").distinct()
+    crowded = found.filter("b is null").select(F.col("a").alias("doc_id"), "place", "value", "x", "y")
+    return verified(pairs, full, percent).unionByName(block_links(crowded, full, percent))
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, coordinates: int = COORDINATES, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -216,7 +270,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, coordinates: int = COORD
     with a probability below one in a million by the defaults.
 
     Documents of one set are folded first. Then each posted document is checked against the hub of its lists, which joins
-    most of a large group in as many pairs as it has documents; only what is still apart is paired in full.
+    most of a large group in as many pairs as it has documents; what is still apart is paired, or, where it is crowded, connected
+    block by block on whole sets.
 
     A text without words (null, empty, white space) has no shingles and is linked with nothing. Rows that share a doc_id are
     one document: what either is linked with, both are. A null doc_id is kept, with a null component. No rows give no rows.
@@ -230,7 +285,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, coordinates: int = COORD
     full = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width), "near-full")
     first = stored(verified(hub_pairs(posts, threshold), full, percent), "near-links")
     roots = components(first)
-    more = stored(verified(rest_pairs(posts, roots, full, threshold), full, percent), "near-links")
+    more = stored(rest_links(posts, roots, full, percent, threshold), "near-links")
     roots_of_sets = sets.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("set_root"))
     same = named.join(roots_of_sets, ["set_a", "set_b", "n_shingles"])
     repeated = same.filter("doc_id <> set_root").select(F.col("set_root").alias("a"), F.col("doc_id").alias("b")).distinct()
