@@ -31,7 +31,7 @@ _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(t for v in TITLES.values() for t in v.split())
 _GIVEN_ALL = "|".join(n for v in GIVEN.values() for n in v.split())
 SECRET = r"(?<![\p{L}\p{N}_])(?i:token|secret|api[_-]?key|password|passwd)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9_+/-]{16,}={0,2}"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.){1,127}\p{L}{2,}"  # a host name has at most 127 labels; an open count would recurse for each
 IP = _B + r"(?:\d{1,3}\.){3}\d{1,3}" + _E
 CARD = r"(?<![\p{L}\p{N}_.-])(?:\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\p{L}\p{N}_]|[.-]\d)"
 PHONE = (

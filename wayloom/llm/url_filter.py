@@ -40,7 +40,8 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 def _grams(urls: DataFrame, order: int) -> DataFrame:
     """One row for each character of a URL with the `order` characters before it, digits being all alike."""
     n = order + 1
-    return urls.select("*", F.explode(F.expr(f"transform(sequence(1, length(chars) - {order}), i -> substring(chars, i, {n}))")).alias("gram"))
+    split = urls.withColumn("_each", F.expr("regexp_extract_all(chars, '(?s).', 0)"))  # once: a substring counts from the start
+    return split.select(*urls.columns, F.explode(F.expr(f"transform(sequence(1, size(_each) - {order}), i -> array_join(slice(_each, i, {n}), ''))")).alias("gram"))
 
 
 def characters(host: Column, path: Column, order: int) -> Column:
