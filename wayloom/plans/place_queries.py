@@ -84,6 +84,10 @@ register("long_cell_counts", lambda spark, sf: G.long_counts(G.wide_counts(count
          BASE + f"SELECT fila, col, category, subcategory, n FROM counts WHERE category || '|' || subcategory IN ({', '.join(repr(p) for p in PAIRS)})")
 
 
+#: The pairs that the derived places can have: a category and the subcategory at the same place of the two cycles of a segment.
+EVERY_PAIR = sorted({f"{c[i % len(c)]}|{s[i % len(s)]}" for c, s in C.SEGMENT_CATEGORY.values() for i in range(25)})
+
+
 def all_pairs(spark, sf):
     """Every category|subcategory of the table."""
     pairs = counts(spark, sf).select(F.concat_ws("|", "category", "subcategory").alias("p")).distinct().collect()
@@ -91,7 +95,7 @@ def all_pairs(spark, sf):
 
 
 register("wide_cell_counts_all_pairs", lambda spark, sf: G.wide_counts(counts(spark, sf), all_pairs(spark, sf)),
-         BASE + "PIVOT (SELECT fila, col, category || '|' || subcategory AS pair, n FROM counts) ON pair USING coalesce(sum(n), 0)::BIGINT GROUP BY fila, col")
+         BASE + "SELECT fila, col, " + ", ".join(f"coalesce(sum(n) FILTER (category || '|' || subcategory = '{p}'), 0)::BIGINT AS \"{p}\"" for p in EVERY_PAIR) + " FROM counts GROUP BY 1, 2")
 register("long_cell_counts_all_pairs", lambda spark, sf: G.long_counts(G.wide_counts(counts(spark, sf), all_pairs(spark, sf))), BASE + "SELECT fila, col, category, subcategory, n FROM counts")
 for ring in (0, 1, 2):
     register(f"ring_sum_{ring}_by_category", lambda spark, sf, ring=ring: G.scatter(counts(spark, sf), ["category"], "n", G.ring_weights(ring)),
