@@ -88,15 +88,9 @@ register("long_cell_counts", lambda spark, sf: G.long_counts(G.wide_counts(count
 EVERY_PAIR = sorted({f"{c[i % len(c)]}|{s[i % len(s)]}" for c, s in C.SEGMENT_CATEGORY.values() for i in range(25)})
 
 
-def all_pairs(spark, sf):
-    """Every category|subcategory of the table."""
-    pairs = counts(spark, sf).select(F.concat_ws("|", "category", "subcategory").alias("p")).distinct().collect()
-    return sorted(r["p"] for r in pairs)
-
-
-register("wide_cell_counts_all_pairs", lambda spark, sf: G.wide_counts(counts(spark, sf), all_pairs(spark, sf)),
+register("wide_cell_counts_all_pairs", lambda spark, sf: G.wide_counts(counts(spark, sf), EVERY_PAIR),
          BASE + "SELECT fila, col, " + ", ".join(f"coalesce(sum(n) FILTER (category || '|' || subcategory = '{p}'), 0)::BIGINT AS \"{p}\"" for p in EVERY_PAIR) + " FROM counts GROUP BY 1, 2")
-register("long_cell_counts_all_pairs", lambda spark, sf: G.long_counts(G.wide_counts(counts(spark, sf), all_pairs(spark, sf))), BASE + "SELECT fila, col, category, subcategory, n FROM counts")
+register("long_cell_counts_all_pairs", lambda spark, sf: G.long_counts(G.wide_counts(counts(spark, sf), EVERY_PAIR)), BASE + "SELECT fila, col, category, subcategory, n FROM counts")
 for ring in (0, 1, 2):
     register(f"ring_sum_{ring}_by_category", lambda spark, sf, ring=ring: G.scatter(counts(spark, sf), ["category"], "n", G.ring_weights(ring)),
              BASE + f"""SELECT category, fila + dr AS fila, col + dc AS col, sum(n)::DOUBLE AS v FROM counts, offs
