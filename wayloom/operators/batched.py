@@ -38,7 +38,7 @@ def dealt_folds(rows: DataFrame, repeats: int, folds: int, seed: int = 0, cell:
     return rows.join(own.select("row_id", F.col("_f.fold").alias("folds")), "row_id")
 
 
-def left_out_means(rows: DataFrame, repeats: int, keys: Sequence[str] = ()) -> DataFrame:
+def left_out_means(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean of y over the training rows of each fit: (repetition, fold, keys, mean), the sums of all folds less the own one."""
     keys = list(keys)
     long = rows.select("y", *keys, F.posexplode("folds").alias("repetition", "fold"))
@@ -52,10 +52,10 @@ def scored_means(rows: DataFrame, name: str, keys: Sequence[str] = ()) -> DataFr
     """Test predictions of the training mean, by keys where given; a key without training rows takes the overall mean."""
     keys = list(keys)
     tested = rows.select("row_id", "y", "block", *keys, F.posexplode("folds").alias("repetition", "fold"))
-    tested = tested.join(left_out_means(rows, 0).withColumnRenamed("mean", "_all"), ["repetition", "fold"])
+    tested = tested.join(left_out_means(rows).withColumnRenamed("mean", "_all"), ["repetition", "fold"])
     prediction = F.col("_all")
     if keys:
-        tested = tested.join(left_out_means(rows, 0, keys), ["repetition", "fold", *keys], "left")
+        tested = tested.join(left_out_means(rows, keys), ["repetition", "fold", *keys], "left")
         prediction = F.coalesce("mean", "_all")
     return tested.select("row_id", "y", "block", F.lit(name).alias("model"), "repetition", prediction.alias("prediction"))
 
@@ -63,8 +63,8 @@ def scored_means(rows: DataFrame, name: str, keys: Sequence[str] = ()) -> DataFr
 # --- linear models ---------------------------------------------------------------------------------------------------
 @dataclass
 class Linear:
-    """A linear model: its columns, those left as they are (not scaled), its family, and a penalty on the mean loss or, for
-    `per_row` false, on the summed one."""
+    """A linear model: its columns, those left as they are (not scaled), its family, and a penalty beside the mean loss or, for
+    `on_mean` false, beside the summed one."""
 
     columns: list[str]
     plain: list[str] = field(default_factory=list)
