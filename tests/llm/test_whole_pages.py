@@ -1,5 +1,7 @@
 """Pages whose scripts, heads or formulas once took text with them."""
 
+import time
+
 import pytest
 
 from wayloom.llm import html_text
@@ -32,3 +34,37 @@ def test_text_that_is_no_markup_stays_out():
 
 def test_formulas_stay():
     assert html_text.main_text(f"<p>{LONG} So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>") == f"{LONG} So x=1 holds."
+
+
+@pytest.mark.parametrize("page", [
+    f'<article class="post legal"><p>{LONG}</p></article>',
+    f"<article><p><a href=x>{LONG}</a></p></article>",
+    f'<article><p class="share-price">{LONG}</p></article>',
+    f'<article><div class="comment-free"><p>{LONG}</p></div></article>',
+    f'<article><p>{LONG}</p><div class="share-buttons"><p>{LONG}</p></div><div id="relatedPosts"><p>{LONG}</p></div></article>',
+    f'<article><p>{LONG}</p><section class="reader-xyz"><article class="comment-body"><p>{LONG}</p></article></section></article>',
+    f'<div class="newsletter-xyz"><p>{LONG}</p></div><main class="sidebar-left"><p>{LONG}</p></main>',
+])
+def test_hints_count_whole_and_never_on_the_article(page):
+    assert html_text.main_text(page) == LONG
+
+
+def test_a_linked_heading_of_an_article_stays():
+    assert html_text.main_text(f"<article><h2><a href=x>A heading as link</a></h2><p>{LONG}</p></article>") == f"A heading as link\n{LONG}"
+
+
+def test_tags_end_outside_quotes():
+    assert html_text.main_text(f"<p title='a > \"b'>{LONG}</p><p title=\"x<y>z\">{LONG}") == f"{LONG}\n{LONG}"
+    assert html_text.main_text(f"<p>{LONG}</p><a 'never ended {LONG}").startswith(LONG)
+
+
+@pytest.mark.parametrize("part", [
+    "<div><p>word and text. ", "<a", '<a b="', "<a 'x\"", "<b>", "</i><b>", "<b><hr>", "<p>word ", "<p>word</p><p>Words that are long. And so on.</p>", "<li><a>abc def</a>", "<svg><g>", "<!-", "&amp",
+])
+def test_time_in_proportion_to_the_page(part):
+    def took(n):
+        began = time.perf_counter()
+        html_text.main_text(part * n)
+        return time.perf_counter() - began
+
+    assert took(32_000) < 8 * max(took(8_000), 0.5)

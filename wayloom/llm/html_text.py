@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict, deque
+from collections.abc import Iterable, Iterator
 from math import log
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ BOILER = frozenset("nav footer aside form menu button select dialog fieldset hea
 ENDS_P = BLOCKS - {"button", "option", "optgroup", "legend", "caption"}
 SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = frozenset("ul ol dl table div article section main body nav aside footer header form".split())
-#: Words of class, id and role that mark what is no content, wherever it stands.
+#: Words of class, id and role that mark what is no content. A class counts whole: "share-buttons" is one, "share-price" is not.
 HINTS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr newsletter subscribe subscription "
     "signup signin login popup related recommended recommendations share sharing social comment comments commentlist respond reply replies disqus discussion footer nav "
@@ -37,64 +38,201 @@ HINTS = frozenset(
 )
 #: Words that may also name the frame around an article: they count unless the article begins further in.
 FRAMES = frozenset("sidebar widget widgets banner notice notices alert overlay modal header masthead skip toolbar search complementary contentinfo side".split())
-
-_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[A-Za-z][^<>]*(?:>|\Z)|[^<]+|<", re.S)
+#: Words that say what a part of a page is built of, not what it is about: beside a hint they leave it whole.
+PLAIN = frozenset(
+    "area article articles author bar block blocks body bottom box btn button buttons card col column container content count cta date div element entry footer form frame global group holder "
+    "icon icons inline inner item items js label left line link links list main media meta module now outer page panel policy post posts primary right row secondary section site slot small "
+    "sticky stories story strip tab text thread title top unit wrap wrapper zone".split()
+)
+#: Names of reader comments; they count on an article that lies in another.
+READERS = frozenset("comment comments commentlist reply replies respond".split())
+
+_TAG = re.compile(r"</?[A-Za-z][^<>\"']*+(?:(?:\"[^\"<>]*+\"|'[^'<>]*+')[^<>\"']*+)*+>")
+_OTHER = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_OPENS = re.compile(r"</?[A-Za-z]")
+_BROKEN_TAG = re.compile(r"</?[A-Za-z][^<>]*+(?:>|\Z)")
+_MARKS = re.compile(r"[>\"']")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|style|aria-hidden|hidden|aria-label|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _GAP = re.compile(r"\s+")
 
-#: Weights of the block classifier, in log odds of content.
-WEIGHTS = {"offset": -1.2, "length": 0.9, "links": -5.0, "good": 3.0, "boiler": -15.0, "hint": -15.0, "hidden": -20.0, "heading": 1.0, "stops": 0.4}
+#: Weights of the block classifier, in log odds of content; links weigh less in an article.
+WEIGHTS = {"offset": -1.2, "length": 0.9, "links": -5.0, "links_good": -2.3, "good": 3.0, "boiler": -15.0, "hint": -15.0, "doubt": -1.0, "hidden": -20.0, "heading": 1.0, "stops": 0.4}
 SMOOTH = 1.5
 
 
-class Block:
-    """A run of text between block elements, with what its ancestors say of it."""
+def _hint(value: str) -> tuple[int, bool]:
+    """(2 where a class is a hint and nothing else, 1 where it is or may be a frame; whether one only holds the word of a hint)."""
+    level, doubt = 0, False
+    for token in value.split():
+        words = {w.lower() for w in _WORD.findall(token)}
+        if words & HINTS:
+            whole = all(len(w) == 1 or w in HINTS or w in FRAMES or w in PLAIN for w in words)
+            level, doubt = max(level, 2 if whole else 1 if words & FRAMES else 0), doubt or not whole
+        elif words & FRAMES:
+            level = max(level, 1)
+    return level, doubt
 
-    __slots__ = ("text", "links", "path", "good", "boiler", "hint", "hidden", "heading")
 
-    def __init__(self, text: str, links: int, stack: list):
-        self.text, self.links = text, links
-        self.path = tuple(e.key for e in stack)
-        self.good = any(e.good for e in stack)
-        inner = max((i for i, e in enumerate(stack) if e.good), default=-1)
-        self.boiler = any(e.boiler and (i > inner or e.name not in ("form", "header")) for i, e in enumerate(stack))
-        self.hint = any(e.hint > 1 or e.hint == 1 and i > inner for i, e in enumerate(stack))
-        self.hidden = any(e.hidden for e in stack)
-        self.heading = any(e.name in ("h1", "h2", "h3") for e in stack)
+class _Element:
+    """An open element, with what it and its ancestors say of the text inside, so that no one walks up the page for it.
 
+    `boiler` and `hint` are for good; `frame` ends where an article begins further in, and so does `doubt` outside any article.
+    """
 
-class _Element:
-    __slots__ = ("name", "key", "good", "boiler", "hint", "hidden")
+    __slots__ = ("name", "key", "up", "depth", "silent", "link", "good", "boiler", "hint", "frame", "doubt", "hidden", "heading")
 
-    def __init__(self, name: str, tag: str, key: int, in_article: bool):
-        self.name, self.key = name, key
-        words: set[str] = set()
-        self.hidden = False
-        role = ""
+    def __init__(self, name: str, tag: str, key: int, up: _Element | None):
+        self.name, self.key, self.up = name, key, up
+        self.depth = up.depth + 1 if up else 1
+        within = up is not None and up.good
+        role, classes, hidden, body = "", "", False, False
         if len(tag) > len(name) + 2:
             for m in _ATTR.finditer(tag, len(name) + 1):
                 kind, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
                 if kind in ("class", "id", "role"):
-                    words |= {w.lower() for w in _WORD.findall(value)}
+                    classes += " " + value
                     role = value.strip().lower() if kind == "role" else role
                 elif kind == "style":
-                    self.hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+                    hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
                 elif kind == "itemprop":
-                    words |= {value.strip().lower()} & {"articlebody"}
+                    body |= value.strip().lower() == "articlebody"
                 elif kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
-                    self.hidden = True
-        self.good = name in ("article", "main") or role == "main" or "articlebody" in words
-        self.boiler = name in BOILER and not (name == "header" and in_article) or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu")
-        self.hint = 0 if name in ("html", "body") else 2 if words & HINTS else int(bool(words & FRAMES))
+                    hidden = True
+        words = {w.lower() for w in _WORD.findall(classes)}
+        own = name in ("article", "main") or role == "main" or body or "articlebody" in words
+        level, doubt = (0, False) if name in ("html", "body") or not classes else _hint(classes)
+        if own:
+            level, doubt = 2 if level == 2 and within and words & READERS else 0, False
+        roles = role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu")
+        boiler = name in BOILER and not (name == "header" and within) or roles
+        soft = name in ("form", "header")
+        self.good = own or within
+        self.link = name == "a" or up is not None and up.link
+        self.silent = up.silent if up and up.silent else self.depth if name in SILENT else 0
+        self.hidden = hidden or up is not None and up.hidden
+        self.heading = name in ("h1", "h2", "h3") or up is not None and up.heading
+        self.boiler = boiler and not soft or up is not None and up.boiler
+        self.hint = level > 1 or up is not None and up.hint
+        self.frame = not own and (level == 1 or boiler and soft or doubt and not within or up is not None and up.frame)
+        self.doubt = not own and (doubt and within or up is not None and up.doubt)
+
+
+class Block:
+    """A run of text between block elements, with the innermost element around it, if any."""
+
+    __slots__ = ("text", "links", "top", "good", "boiler", "hint", "doubt", "hidden", "heading")
+
+    def __init__(self, text: str, links: int, top: _Element | None):
+        self.text, self.links, self.top = text, links, top
+        self.good = self.boiler = self.hint = self.doubt = self.hidden = self.heading = False
+        if top:
+            self.good, self.boiler, self.hint = top.good, top.boiler, top.hint or top.frame
+            self.doubt, self.hidden, self.heading = top.doubt, top.hidden, top.heading
+
+
+class _Open:
+    """The open elements, with the places of each name, so that the innermost of a name is at hand."""
+
+    def __init__(self) -> None:
+        self.stack: list[_Element] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.walls: list[int] = []
+
+    @property
+    def silent(self) -> bool:
+        return bool(self.stack and self.stack[-1].silent)
+
+    @property
+    def shown(self) -> int:
+        """Place of the outermost element that shows no text, or the number of open elements."""
+        return self.stack[-1].silent - 1 if self.silent else len(self.stack)
+
+    def push(self, name: str, tag: str, key: int) -> None:
+        at = len(self.stack)
+        self.stack.append(_Element(name, tag, key, self.stack[-1] if at else None))
+        self.places[name].append(at)
+        if name in WALLS or name in SILENT:
+            self.walls.append(at)
+
+    def innermost(self, names: Iterable[str]) -> int:
+        return max((self.places[n][-1] for n in names if n in self.places and self.places[n]), default=-1)
+
+    def close(self, at: int) -> None:
+        for e in self.stack[at:]:
+            self.places[e.name].pop()
+        del self.stack[at:]
+        while self.walls and self.walls[-1] >= at:
+            self.walls.pop()
+
+    def end(self, names: Iterable[str]) -> None:
+        """Close the innermost element of these names, unless a container stands between."""
+        at = self.innermost(names)
+        if at >= 0 and (not self.walls or at > self.walls[-1]):
+            self.close(at)
+
+    def end_svg(self) -> None:
+        """Close the innermost svg, unless an element that may hold other markup stands between."""
+        at = self.innermost(("svg",))
+        if at > self.innermost((IN_SVG | SILENT) - {"svg"}):
+            self.close(at)
+
+
+class _Tokens:
+    """The tags, texts and other marks of a page one after the other, in time in proportion to the page.
+
+    A tag ends at the first > outside quotes. That is looked up from the quotes met on the way, and every quote remembers where
+    a tag that opens it ends, so that unfinished tags do not read the page again and again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.marks: list[int] | None = None
+        self.quotes: dict[str, list[int]] = {}
+        self.ends: dict[int, int] = {}
+
+    def at(self, at: int) -> str:
+        page = self.page
+        if page[at] != "<":
+            end = page.find("<", at)
+            return page[at : end if end >= 0 else len(page)]
+        quick = _TAG.match(page, at) or _OTHER.match(page, at)
+        if quick:
+            return quick[0]
+        if not _OPENS.match(page, at):
+            return "<"
+        end = self.tag_end(at)
+        if end >= 0:
+            return page[at : end + 1]
+        broken = _BROKEN_TAG.match(page, at)
+        return broken[0] if broken else "<"
+
+    def tag_end(self, at: int) -> int:
+        if self.marks is None:
+            self.marks = [m.start() for m in _MARKS.finditer(self.page)]
+            self.quotes = {q: [k for k in self.marks if self.page[k] == q] for q in "\"'"}
+        passed, end = [], -1
+        while (i := bisect_left(self.marks, at)) < len(self.marks):
+            k = self.marks[i]
+            if self.page[k] == ">" or k in self.ends:
+                end = self.ends.get(k, k)
+                break
+            passed.append(k)
+            same = self.quotes[self.page[k]]
+            if (j := bisect_right(same, k)) == len(same):
+                break
+            at = same[j] + 1
+        for k in passed:
+            self.ends[k] = end
+        return end
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order. Unclosed elements end where HTML ends them; cut-off pages are read as far as they go."""
     out: list[Block] = []
-    stack: list[_Element] = []
+    opened, tokens = _Open(), _Tokens(page)
     texts: list[str] = []
     links = keys = at = 0
 
@@ -102,19 +240,20 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         text = _GAP.sub(" ", "".join(texts)).strip()
         if text:
-            out.append(Block(text, links, stack[: _silent(stack)]))
+            shown = opened.shown
+            out.append(Block(text, links, opened.stack[shown - 1] if shown else None))
         texts.clear()
         links = 0
 
     while at < len(page):
-        token = _TOKEN.match(page, at)[0]
+        token = tokens.at(at)
         at += len(token)
-        silent = _silent(stack) < len(stack)
+        silent = opened.silent
         if token[0] != "<" or token == "<":
             if not silent:
                 text = html.unescape(token) if "&" in token else token
                 texts.append(text)
-                if any(e.name == "a" for e in stack):
+                if opened.stack and opened.stack[-1].link:
                     links += len(text.strip())
             continue
         found = _NAME.match(token)
@@ -131,82 +270,68 @@ def blocks_of(page: str) -> list[Block]:
         if name == "head":
             continue  # what may stand in it has no text; anything else ends it, with or without its end tag
         if ending:
-            own = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), -1)
-            if name in BLOCKS and (own >= 0 or not silent) and own <= _silent(stack):
+            own = opened.innermost((name,))
+            if name in BLOCKS and (own >= 0 or not silent) and own <= opened.shown:
                 close()
             if name == "br" and not silent:
                 texts.append(" ")
             if own >= 0:
-                del stack[own:]
+                opened.close(own)
             continue
         if silent and name in BREAKS_SVG:
-            _end_svg(stack)
-            silent = _silent(stack) < len(stack)
+            opened.end_svg()
+            silent = opened.silent
         if not silent:
             if name in BLOCKS:
                 close()
             if name == "br":
                 texts.append(" ")
         if name in ENDS_P:
-            _end(stack, {"p"})
+            opened.end(("p",))
         if name in SAME:
-            _end(stack, SAME[name])
+            opened.end(SAME[name])
         if name in VOID or token.endswith("/>"):
             continue
         if name == "a":
-            _end(stack, {"a"})
+            opened.end(("a",))
         keys += 1
-        stack.append(_Element(name, token, keys, any(e.good for e in stack)))
+        opened.push(name, token, keys)
     close()
     return out
 
 
-def _silent(stack: list[_Element]) -> int:
-    """Place of the outermost element that shows no text, or the size of the stack."""
-    return next((i for i, e in enumerate(stack) if e.name in SILENT), len(stack))
-
-
-def _end_svg(stack: list[_Element]) -> None:
-    """Close the innermost svg, unless an element that may hold other markup stands between."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i].name == "svg":
-            del stack[i:]
-            return
-        if stack[i].name in IN_SVG or stack[i].name in SILENT:
-            return
-
-
-def _end(stack: list[_Element], names: set[str]) -> None:
-    """Close the innermost element of these names, unless a container stands between."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i].name in names:
-            del stack[i:]
-            return
-        if stack[i].name in WALLS or stack[i].name in SILENT:
-            return
-
-
 def score(block: Block, weights: dict[str, float] = WEIGHTS) -> float:
     """Log odds that a block is content."""
     size = len(block.text)
     share = min(1.0, block.links / size)
-    value = weights["offset"] + weights["length"] * log(1 + size / 20) * (1 - share) + weights["links"] * share
+    links, loss = (weights["links_good"], share / 2) if block.good else (weights["links"], share)
+    value = weights["offset"] + weights["length"] * log(1 + size / 20) * (1 - loss) + links * share
     value += weights["stops"] * min(3, sum(block.text.count(c) for c in ".!?"))
-    for name in ("good", "boiler", "hint", "hidden", "heading"):
+    for name in ("good", "boiler", "hint", "doubt", "hidden", "heading"):
         value += weights[name] * getattr(block, name)
     return value
 
 
+def _apart(a: _Element | None, b: _Element | None) -> int:
+    """Steps from one element to the other by their common ancestor."""
+    steps = 0
+    while a is not b:
+        if b is None or a is not None and a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
+
+
 def edges_of(blocks: list[Block], smooth: float = SMOOTH) -> list[tuple[int, int, float]]:
     """Smoothness between neighbours in the page, and between the next blocks below one parent; less with distance in the tree."""
     out = []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            same = next((k for k, (x, y) in enumerate(zip(a, b.path)) if x != y), min(len(a), len(b.path)))
-            out.append((i - 1, i, smooth / (1 + len(a) + len(b.path) - 2 * same)))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            out.append((i - 1, i, smooth / (1 + _apart(blocks[i - 1].top, b.top))))
+        parent = b.top.up.key if b.top and b.top.up else 0
         if parent in last and last[parent] < i - 1:
             out.append((last[parent], i, smooth / 3))
         last[parent] = i
