@@ -18,27 +18,38 @@ def normalised(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(lowered(text))
 
 
-def exact_index(digests: DataFrame, docs: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST_BITS) -> DataFrame:
-    """The index: one entry for each distinct text, with its bucket, hash key, place in the key's chain and kept document.
+def exact_directory(digests: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
+    """The directory (cell, depth, bucket, slices) and its bits, from how many rows each hash prefix holds.
 
-    The directory is built from how many rows each hash prefix holds. Texts are compared byte for byte (they are grouping
-    keys), and each map task sends a text once, however many copies it has. The owner of a bucket, a range of hash prefixes, then
-    chains the texts whose keys collide. `capacity` is rows to a bucket, up to 2^most_bits cells; fuller cells stay whole.
+    `capacity` is rows to a bucket, up to 2^most_bits cells. A cell that is fuller alone, as that of a text with very many copies,
+    keeps one bucket whose rows come in as many slices as they fill.
     """
     bits = depth_for(digests.count(), capacity, most_bits)
     cells = digests.groupBy(_cell(F.col("key"), bits).alias("cell")).agg(F.count("*").alias("size"))
-    buckets = stored(directory(cells, 0, bits, capacity).select("cell", "depth", "bucket"), "exact-directory")
-    text = docs.select("doc_id", normalised(F.col("text")).alias("n"))
-    entries = (
-        text.groupBy(F.xxhash64("n").alias("key"), "n")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select(_cell(F.col("key"), bits).alias("cell"), "key", F.sha2("n", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    # At most 2^most_bits rows of three numbers.
-    entries = entries.join(F.broadcast(buckets), "cell")
+    found = directory(cells, 0, bits, capacity).select("cell", "depth", "bucket", F.ceil(F.col("held") / capacity).alias("slices"))
+    return stored(found, "exact-directory"), bits
+
+
+def _placed(rows: DataFrame, buckets: DataFrame, bits: int) -> DataFrame:
+    """Rows with a hash key and the bucket that the directory names for it."""
+    # At most 2^most_bits rows of four numbers.
+    return rows.withColumn("cell", _cell(F.col("key"), bits)).join(F.broadcast(buckets), "cell").drop("cell")
+
+
+def exact_index(docs: DataFrame, buckets: DataFrame, bits: int) -> DataFrame:
+    """The index: one entry for each distinct text, with its bucket, hash key, place in the key's chain and kept document.
+
+    Rows travel to the owner of their bucket and nowhere else before. There texts of one key are compared byte for byte, equal
+    ones fold into an entry, and the entries of a key are chained. The slices of an overfull bucket are folded by as many
+    tasks; of each slice one row a text goes on, with the text, to the owner, who compares them again.
+    """
+    rows = _placed(docs.select("doc_id", normalised(F.col("text")).alias("n")).withColumn("key", F.xxhash64("n")), buckets, bits)
+    sent = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(7)), "slices")).repartition("depth", "bucket", "slice")
+    folded = sent.groupBy("depth", "bucket", "slice", "slices", "key", "n").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    owned = folded.select("depth", "bucket", "key", F.sha2("n", 256).alias("text_sha256"), F.when(F.col("slices") > 1, F.col("n")).alias("n"), "keep_id", "group_size").repartition("depth", "bucket")
+    entries = owned.groupBy("depth", "bucket", "key", "text_sha256", "n").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     chain = Window.partitionBy("depth", "bucket", "key").orderBy("text_sha256")
-    owned = entries.repartition("depth", "bucket").withColumn("chain", F.row_number().over(chain) - 1).drop("cell")
-    return stored(owned, "exact-index")
+    return stored(entries.withColumn("chain", F.row_number().over(chain) - 1).drop("n"), "exact-index")
 
 
 def _cell(key: Column, bits: int) -> Column:
@@ -51,13 +62,15 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST
     Texts are equal when they are identical after lower-casing A-Z only; null counts as empty. Of equal texts the largest
     doc_id stays. Rows that repeat the doc_id which stays are all kept, since doc_id is what names a document. A null doc_id
     loses to any other; where a group has only nulls, keep_id is null and all of them are kept. No rows give no rows; other
-    columns, whatever their names, are not read.
+    columns, whatever their names, are not read. Rows probe the index by the bucket that the directory names, then by key and
+    along its chain by digest.
     """
     docs = docs.select("doc_id", "text")
     n = normalised(F.col("text"))
-    digests = stored(docs.select("doc_id", n.alias("n")).select("doc_id", F.xxhash64("n").alias("key"), F.sha2("n", 256).alias("sha")), "exact-digests")
-    index = exact_index(digests, docs, capacity, most_bits).withColumnRenamed("key", "index_key")
-    return digests.join(index, (F.col("key") == F.col("index_key")) & (F.col("sha") == F.col("text_sha256"))).select(
+    digests = stored(docs.select("doc_id", n.alias("n")).select("doc_id", F.xxhash64("n").alias("key"), F.sha2("n", 256).alias("text_sha256")), "exact-digests")
+    buckets, bits = exact_directory(digests, capacity, most_bits)
+    probes = _placed(digests, buckets, bits).drop("slices")
+    return probes.join(exact_index(docs, buckets, bits), ["depth", "bucket", "key", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "depth", "chain"
     )
 
