@@ -1,4 +1,4 @@
-"""Benchmark decontamination by an exact inverted join on item shingles."""
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified on whole shingle sets."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.bits import bit_filter, passes
@@ -48,35 +48,58 @@ def _hashes(df: DataFrame, key: str, width: int, wanted: np.ndarray | None = Non
     return df.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(hashes, f"{key} long, set_size long, shingle long")
 
 
-def item_sketches(benchmark: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """Every shingle of every item: item_id, n, need, size_class, shingle, in_sketch.
+def item_signatures(benchmark: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """Every shingle of every item: item_id, n, need, size_class, matches, shingle, in_signature.
 
-    Of an item of n shingles, `need` must be in a document, and the sketch is the n - need + 1 smallest hashes: a document that
-    holds `need` shingles holds one of these for certain. size_class names the item's size; no join is partitioned by it.
+    Items of 2^c to 2^(c+1) - 1 shingles form size class c, which has a signature length of its own: an eighth of 2^c, one at
+    least, more than the shingles that the largest item of the class may lack. The signature of an item is its bottom-k MinHash
+    sketch, the hashes that are smallest, k being that length. A document with `need` of the n shingles lacks n - need of
+    them, so that it holds `matches` = k - (n - need) of the signature for certain: the search loses nothing.
     """
     shingles = _hashes(benchmark.filter("item_id is not null"), "item_id", width).groupBy("item_id", "shingle").agg(F.max("set_size").alias("n"))
-    sized = shingles.withColumn("need", F.ceil(F.col("n") * percent / 100).cast("long")).withColumn("size_class", F.floor(F.log2("n")).cast("int"))
-    whole = sized.groupBy("item_id").agg(F.sort_array(F.collect_list("shingle")).alias("all"), F.max("n").alias("n"), F.max("need").alias("need"), F.max("size_class").alias("size_class"))
-    return whole.select("item_id", "n", "need", "size_class", F.posexplode("all").alias("rank", "shingle")).withColumn("in_sketch", F.col("rank") <= F.col("n") - F.col("need")).drop("rank")
+    whole = shingles.groupBy("item_id").agg(F.sort_array(F.collect_list("shingle")).alias("all")).withColumn("n", F.size("all").cast("long"))
+    sized = whole.withColumn("need", _share("n", percent)).withColumn("size_class", F.length(F.bin("n")) - 1)
+    sized = sized.withColumn("least", F.expr("shiftleft(1L, size_class)")).withColumn("largest", F.expr("2 * least - 1"))
+    sized = sized.withColumn("k", F.least("n", F.col("largest") - _share("largest", percent) + F.greatest(F.lit(1), F.shiftright("least", 3))))
+    return sized.select(
+        "item_id", "n", "need", "size_class", (F.col("k") - F.col("n") + F.col("need")).alias("matches"), "k", F.posexplode("all").alias("rank", "shingle")
+    ).withColumn("in_signature", F.col("rank") < F.col("k")).drop("rank", "k")
+
+
+def _share(n: str, percent: int) -> Column:
+    return F.expr(f"({n} * {percent} + 99) div 100")
+
+
+def candidates(sketches: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs (doc_id, item_id) whose sketches agree in as many hashes as the item's size class asks for.
+
+    A document has a sketch for each class: its hashes up to the largest of any signature of the class. Classes are at most 63.
+    """
+    signed = items.filter("in_signature").select("size_class", "item_id", "matches", "shingle")
+    cuts = signed.groupBy("size_class").agg(F.max("shingle").alias("last")).collect()
+    if not cuts:
+        return items.select(F.lit(None).cast("long").alias("doc_id"), "item_id").limit(0)
+    classes = F.array(*[F.when(F.col("shingle") <= F.lit(c["last"]), F.lit(c["size_class"])) for c in cuts])
+    by_class = sketches.select("doc_id", "shingle", F.explode(F.array_compact(classes)).alias("size_class"))
+    agreeing = by_class.join(signed, ["size_class", "shingle"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("agree"), F.max("matches").alias("matches"))
+    return agreeing.filter("agree >= matches").select("doc_id", "item_id")
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Pairs (doc_id, item_id, n, common): documents with at least `percent` of an item's distinct `width`-word shingles.
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; an item of fewer words is one shingle and must be a whole
-    document of as few words. Documents are read once: hashes that some item may have pass a bit filter of fixed size.
-    The hits are joined with every shingle of every item and counted, which is exact by itself; documents that hold no sketch hash
-    of an item, or are smaller than it needs, are left out of the count. Items without words, null ids, and null or empty texts match nothing;
-    rows of one doc_id count as one document, rows of one item_id as one item.
+    document of as few words. Documents are read once: hashes that some item may have pass a bit filter of fixed size. Their
+    sketches are searched size class by size class; of the candidates, and of no other pair, the common shingles are counted on
+    whole sets. Items without words, null ids, and null or empty texts match nothing; rows of one doc_id count as one document,
+    rows of one item_id as one item.
     """
-    items = stored(item_sketches(benchmark, percent, width), "bench-items")
-    hits = stored(_hashes(docs.filter("doc_id is not null"), "doc_id", width, bit_filter(items, "shingle")), "bench-hits")
-    sketch = items.filter("in_sketch").select("item_id", "need", "shingle")
-    candidates = hits.join(sketch, "shingle").filter("set_size >= need").select("doc_id", "item_id").distinct()
-    whole = hits.select("doc_id", "shingle").distinct().join(items.select("item_id", "n", "need", "shingle"), "shingle")
+    items = stored(item_signatures(benchmark, percent, width), "bench-items")
+    hits = stored(_hashes(docs.filter("doc_id is not null"), "doc_id", width, bit_filter(items, "shingle")).select("doc_id", "shingle").distinct(), "bench-hits")
+    pairs = stored(candidates(hits, items), "bench-candidates")
+    wanted = pairs.join(items.select("item_id", "n", "need", "shingle"), "item_id")
     return (
-        whole.join(candidates, ["doc_id", "item_id"], "left_semi")
-        .groupBy("doc_id", "item_id", "n", "need").agg(F.count("*").alias("common"))
+        wanted.join(hits, ["doc_id", "shingle"]).groupBy("doc_id", "item_id", "n", "need").agg(F.count("*").alias("common"))
         .filter("common >= need").select("doc_id", "item_id", "n", "common")
     )
 
