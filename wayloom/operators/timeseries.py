@@ -148,6 +148,42 @@ def unit_root(df: DataFrame, keys: Sequence[str], value: str, lags: int = 1) ->
     return out.withColumns(critical).withColumn("stationary", F.col("statistic") < F.col("critical_5"))
 
 
+def forecast_summary(df: DataFrame, keys: Sequence[str], value: str, lags: int = 8, change_lags: int = 1) -> DataFrame:
+    """What a forecaster looks at first, per key: rows (part, item, value).
+
+    Parts: `records` (rows, values), `range` (first and last moment in seconds since 1970), `hour` (0 to 23) and `weekday` (0 is
+    Monday) with their mean values, `level_stationarity` and `unit_root` with their statistics and readings (1 is stationary). The
+    first four come from one pass that keeps 168 cells a key. A mean of no known value is NULL; a key too short for a test lacks its rows.
+    """
+    keys = list(keys)
+    second = F.unix_seconds(F.col("timestamp").cast("timestamp"))
+    cells = df.groupBy(*keys, F.hour("timestamp").alias("_h"), S.weekday0(F.col("timestamp")).alias("_d")).agg(
+        F.count("*").alias("_n"), F.count(value).alias("_k"), F.sum(value).alias("_s"), F.min(second).alias("_a"), F.max(second).alias("_b")
+    )
+
+    def places(*pairs) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(part).alias("part"), item.cast("string").alias("item")) for part, item in pairs]))
+
+    sums = cells.withColumn("_p", places(("", F.lit("")), ("hour", F.col("_h")), ("weekday", F.col("_d")))).groupBy(*keys, "_p.part", "_p.item").agg(
+        F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), (F.sum("_s") / F.nullif(F.sum("_k"), F.lit(0))).alias("_m"), F.min("_a").alias("_a"), F.max("_b").alias("_b")
+    )
+
+    def told(part: str, **items: Column) -> Column:
+        return F.array(*[F.struct(F.lit(part).alias("part"), F.lit(k).alias("item"), v.cast("double").alias("value")) for k, v in items.items()])
+
+    whole = F.concat(told("records", rows=F.col("_n"), values=F.col("_k")), told("range", start=F.col("_a"), end=F.col("_b")))
+    pattern = F.array(F.struct("part", "item", F.col("_m").cast("double").alias("value")))
+    tests = {
+        "level_stationarity": level_stationarity(df, keys, value, lags),
+        "unit_root": unit_root(df, keys, value, change_lags),
+    }
+    out = sums.select(*keys, F.explode(F.when(F.col("part") == "", whole).otherwise(pattern)).alias("_e"))
+    for part, test in tests.items():
+        items = {c: F.col(c) for c in ("statistic", "p_value", "stationary") if c in test.columns}
+        out = out.unionByName(test.select(*keys, F.explode(told(part, **items)).alias("_e")))
+    return out.select(*keys, "_e.part", "_e.item", "_e.value")
+
+
 def change_points(df: DataFrame, keys: Sequence[str], value: str, threshold: float = 2.0) -> DataFrame:
     """Positions where the step of the centred mean exceeds `threshold` population deviations of all steps.
 

@@ -71,6 +71,24 @@ register("unit_root", on_measurements(lambda m: rounded(TS.unit_root(m, ROUTE, V
          with_tables(MEASUREMENTS, PLACED) + f""", d AS (SELECT origin, destination, v - lag(v) OVER w AS dv, lag(v) OVER w AS y1 FROM x WINDOW w AS ({PART} ORDER BY pos)),
          s AS (SELECT origin, destination, count(dv) AS n, regr_slope(dv, y1) AS b, sqrt(regr_syy(dv, y1) * (1 - regr_r2(dv, y1)) / (regr_count(dv, y1) - 2) / regr_sxx(dv, y1)) AS se FROM d GROUP BY 1, 2)
          SELECT origin, destination, n, {r6("b / se", 4)} AS statistic, b / se < -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n) AS stationary FROM s""")
+def summary(m):
+    out = TS.forecast_summary(m, ROUTE, V, 8, 0)
+    return out.withColumn("value", F.when(F.col("part") == "unit_root", shown(F.col("value"), 4)).otherwise(shown(F.col("value"), 6)))
+
+
+register(
+    "forecast_summary",
+    on_measurements(summary),
+    MEAS + f""", parts AS (SELECT origin, destination, 'records' AS part, 'rows' AS item, count(*)::DOUBLE AS value FROM measurements GROUP BY 1, 2
+    UNION ALL SELECT origin, destination, 'records', 'values', count(travel_time_min) FROM measurements GROUP BY 1, 2
+    UNION ALL SELECT origin, destination, 'range', 'start', epoch(date_trunc('second', min(timestamp))) FROM measurements GROUP BY 1, 2
+    UNION ALL SELECT origin, destination, 'range', 'end', epoch(date_trunc('second', max(timestamp))) FROM measurements GROUP BY 1, 2
+    UNION ALL SELECT origin, destination, 'hour', hour(timestamp)::VARCHAR, {r6("avg(travel_time_min)")} FROM measurements GROUP BY 1, 2, 4
+    UNION ALL SELECT origin, destination, 'weekday', (isodow(timestamp) - 1)::VARCHAR, {r6("avg(travel_time_min)")} FROM measurements GROUP BY 1, 2, 4
+    UNION ALL SELECT origin, destination, 'level_stationarity', unnest(['statistic', 'p_value', 'stationary']), unnest([statistic, p_value, stationary::INT::DOUBLE]) FROM ({ORACLE["level_stationarity"]}) k
+    UNION ALL SELECT origin, destination, 'unit_root', unnest(['statistic', 'stationary']), unnest([statistic, stationary::INT::DOUBLE]) FROM ({ORACLE["unit_root"]}) u)
+    SELECT origin, destination, part, item, value FROM parts""",
+)
 CHANGES = with_tables(MEASUREMENTS, PLACED) + f""", s AS (SELECT *, CASE WHEN n < 12 AND pos BETWEEN 2 AND n - 2 THEN avg(v) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) - avg(v) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)
       WHEN n BETWEEN 12 AND 14 AND pos BETWEEN 3 AND n - 2 THEN avg(v) OVER (w ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) - avg(v) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)
       WHEN n >= 15 AND pos BETWEEN 3 AND n - 3 THEN avg(v) OVER (w ROWS BETWEEN 1 PRECEDING AND 3 FOLLOWING) - avg(v) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE 0 END AS step
