@@ -380,12 +380,88 @@ def eligible_cutoffs(series: DataFrame, keys: Sequence[str], min_future: int = 1
 
 
 MODELS = ("perfil", "ayer", "media", "ultimo")
+SEASONAL = "estacional"
+_MOMENTS = ("_c", "_sx", "_sy", "_sxx", "_sxy", "_syy")
 
 
-def rolling_evaluation(series: DataFrame, keys: Sequence[str], min_future: int = 12, min_past: int = 168) -> DataFrame:
-    """MAE and RMSE of every baseline at every eligible midnight, from one plan."""
+def _moments() -> list[Column]:
+    """Sums of the regression of `y` on `x` over the rows that have both."""
+    x, y = F.col("x"), F.col("y")
+    terms = zip(_MOMENTS, (F.lit(1.0), x, y, x * x, x * y, y * y))
+    return [F.sum(F.when(x.isNotNull() & y.isNotNull(), term)).alias(name) for name, term in terms]
+
+
+def seasonal_by_cut(series: DataFrame, keys: Sequence[str], limit: int = 3) -> DataFrame:
+    """What `seasonal_forecast` says at every midnight for the hours of that day, from the hours before it only.
+
+    No model is fitted twice. A pair of day-on-day changes counts from the day on which its values are known, an interpolated
+    one from the next observed hour, so that the fit of a midnight is a running sum of regression sums over days. An open gap
+    holds its last value until it closes: its rows, at most `limit` a midnight, are added to the midnights that see it open.
+    `series` has one row for every hour of a key, as `hourly_series` gives it; a key without two changes has no forecast."""
+    keys = list(keys)
+    order = Window.partitionBy(*keys).orderBy("hour")
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    observed = F.when(F.col("share").isNotNull(), F.col("hour"))
+    rows = interpolate(series, keys, limit).withColumns({
+        "_known": F.coalesce(F.first(observed, True).over(after), F.max("hour").over(Window.partitionBy(*keys)) + HOUR(hours=F.lit(1))),
+        "_held": F.last("share", True).over(before),
+    })
+    rows = rows.withColumns({f"{c}24": F.lag(c, 24).over(order) for c in ("filled", "_known", "_held")})
+    open_gap = F.col("share").isNull() & F.col("filled").isNotNull()
+    rows = rows.withColumns({"_z": F.col("filled") - F.col("filled24"), "_zh": F.when(open_gap, F.col("_held") - F.col("filled24"))})
+    rows = rows.withColumn("_kz", F.when(F.col("_z").isNotNull(), F.greatest("_known", "_known24")))
+    rows = rows.withColumns({
+        "_z1": F.lag("_z", 1).over(order), "_kz1": F.lag("_kz", 1).over(order),
+        "_zh1": F.when(F.lag("share", 1).over(order).isNull(), F.lag("_zh", 1).over(order)).otherwise(F.lag("_z", 1).over(order)),
+    })
+    nothing = F.lit(None).cast("double")
+
+    def entry(moment: Column, x: Column, y: Column, at: Column) -> Column:
+        return F.struct(F.to_date(moment).alias("cut"), x.alias("x"), y.alias("y"), at.alias("at"))
+
+    change = F.struct("hour", F.col("_z").alias("z"))
+    nowhere = F.when(F.lit(False), change)
+    entries = F.array(
+        entry(F.when(F.col("_z1").isNotNull(), F.greatest("_kz", "_kz1")), F.col("_z1"), F.col("_z"), nowhere),
+        entry(F.col("_kz"), nothing, nothing, F.when(F.col("_z").isNotNull(), change)),
+        entry(F.col("hour"), nothing, nothing, nowhere),
+    )
+    daily = rows.select(*keys, F.inline(entries)).filter("cut IS NOT NULL").groupBy(*keys, "cut").agg(*_moments(), F.max("at").alias("_at"))
+    past = Window.partitionBy(*keys).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    fits = daily.select(*keys, "cut", *[F.sum(c).over(past).alias(c) for c in _MOMENTS], F.max("_at").over(past).alias("_at"))
+
+    last_cut, first_cut = F.to_date("_known"), F.date_add(F.to_date("hour"), 1)
+    held = rows.filter(open_gap & (first_cut <= last_cut)).select(
+        *keys, F.explode(F.sequence(first_cut, last_cut)).alias("cut"), F.col("_zh1").alias("x"), F.col("_zh").alias("y"),
+        F.when(F.col("_zh").isNotNull(), F.struct("hour", F.col("_zh").alias("z"))).alias("at"),
+    ).groupBy(*keys, "cut").agg(*_moments(), F.max("at").alias("_at"))
+    held = held.select(*keys, "cut", *[F.col(c).alias(f"{c}_held") for c in (*_MOMENTS, "_at")])
+    fits = fits.join(held, [*keys, "cut"], "left").withColumns({
+        **{c: F.coalesce(c, F.lit(0.0)) + F.coalesce(f"{c}_held", F.lit(0.0)) for c in _MOMENTS}, "_at": F.greatest("_at", "_at_held"),
+    })
+    n = F.nullif(F.col("_c"), F.lit(0.0))
+    slope = (F.col("_sxy") - F.col("_sx") * F.col("_sy") / n) / F.nullif(F.col("_sxx") - F.col("_sx") * F.col("_sx") / n, F.lit(0.0))
+    fits = fits.withColumn("_b", slope).select(
+        *keys, "cut", "_b", ((F.col("_sy") - F.col("_b") * F.col("_sx")) / n).alias("_a"), F.col("_at.z").alias("_zt"),
+        ((F.unix_seconds(F.col("cut").cast("timestamp")) - F.unix_seconds(F.col("_at.hour").cast("timestamp"))) / 3600 - 1).alias("_late"),
+    )
+    joined = rows.withColumn("cut", F.to_date("hour")).join(fits, [*keys, "cut"])
+    yesterday = F.when(F.col("_known24") < F.col("cut").cast("timestamp_ntz"), F.col("filled24")).when(F.col("filled24").isNotNull(), F.col("_held24"))
+    ahead = F.hour("hour") + 1 + F.col("_late")
+    power = F.pow("_b", ahead)
+    drift = F.when(F.abs(1 - F.col("_b")) < 1e-12, F.col("_a") * ahead).otherwise(F.col("_a") * (1 - power) / F.nullif(1 - F.col("_b"), F.lit(0.0)))
+    return joined.select(*keys, "cut", "hour", (yesterday + drift + power * F.col("_zt")).alias(SEASONAL))
+
+
+def rolling_evaluation(series: DataFrame, keys: Sequence[str], min_future: int = 12, min_past: int = 168, seasonal: bool = False) -> DataFrame:
+    """MAE and RMSE of every baseline at every eligible midnight, from one plan; with `seasonal` of the seasonal model too.
+    `n` counts the hours of that day, whether or not a model has a forecast for each."""
     rows = with_baselines(series, keys).filter(eligible(min_future, min_past) & F.col("share").isNotNull())
-    long = rows.unpivot([*keys, "cut", "share"], list(MODELS), "model", "prediction")
+    models = list(MODELS)
+    if seasonal:
+        rows = rows.join(seasonal_by_cut(series, keys), [*keys, "cut", "hour"], "left")
+        models.append(SEASONAL)
+    long = rows.unpivot([*keys, "cut", "share"], models, "model", "prediction")
     error = F.col("prediction") - F.col("share")
     return long.groupBy(*keys, "cut", "model").agg(
         F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse")

@@ -186,6 +186,29 @@ res AS (SELECT data_source, cut, model, count(*) AS n, avg(abs(p - share)) AS ma
 EVAL = with_tables(MEASUREMENTS, SERIES, BASELINES)
 register("eligible_cutoffs", on_series(lambda s: TS.eligible_cutoffs(s, ["data_source"])), EVAL + "SELECT data_source, cut, future_obs, past_obs FROM ok")
 register("rolling_origin_errors", on_series(lambda s: rounded(TS.rolling_evaluation(s, ["data_source"]), "mae", "rmse")), EVAL + f"SELECT data_source, cut, model, n, {r6('mae')} AS mae, {r6('rmse')} AS rmse FROM res")
+SEASONAL_CUTS = """hist AS (SELECT o.data_source, o.cut, s.hour, s.share, row_number() OVER (PARTITION BY o.data_source, o.cut ORDER BY s.hour) AS i FROM ok o JOIN series s ON s.data_source = o.data_source AND s.hour < o.cut),
+nb AS (SELECT *, last_value(CASE WHEN share IS NOT NULL THEN i END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS pi, last_value(share IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS pv,
+  first_value(CASE WHEN share IS NOT NULL THEN i END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni,
+  first_value(share IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv FROM hist WINDOW w AS (PARTITION BY data_source, cut ORDER BY hour)),
+fl AS (SELECT data_source, cut, hour, coalesce(share, CASE WHEN i - pi <= 3 THEN coalesce(pv + (nv - pv) * (i - pi) / nullif(ni - pi, 0), pv) END) AS y FROM nb),
+zs AS (SELECT *, y - lag(y, 24) OVER (PARTITION BY data_source, cut ORDER BY hour) AS z FROM fl),
+zl AS (SELECT *, lag(z) OVER (PARTITION BY data_source, cut ORDER BY hour) AS z1 FROM zs),
+ft AS (SELECT data_source, cut, regr_slope(z, z1) AS b, regr_intercept(z, z1) AS a, arg_max(z, hour) FILTER (z IS NOT NULL) AS zt, date_diff('hour', max(hour) FILTER (z IS NOT NULL), max(hour)) AS late FROM zl GROUP BY 1, 2),
+sea AS (SELECT f.data_source, f.cut, l.hour + INTERVAL 24 HOUR AS hour, l.y + a * (1 - pow(b, hour(l.hour) + 1 + late)) / (1 - b) + pow(b, hour(l.hour) + 1 + late) * zt AS p FROM ft f JOIN fl l ON l.data_source = f.data_source AND l.cut = f.cut AND l.hour >= f.cut - INTERVAL 24 HOUR)"""
+SEASONAL_RES = SEASONAL_CUTS + """,
+res5 AS (SELECT * FROM res UNION ALL SELECT o.data_source, o.cut, 'estacional', count(*), avg(abs(p - share)), sqrt(avg(pow(p - share, 2))) FROM ok o JOIN series s ON s.data_source = o.data_source AND CAST(s.hour AS DATE) = o.cut
+  LEFT JOIN sea q ON q.data_source = s.data_source AND q.cut = o.cut AND q.hour = s.hour WHERE share IS NOT NULL GROUP BY 1, 2)"""
+
+
+def seasonal_cuts(series):
+    cuts = TS.eligible_cutoffs(series, ["data_source"]).select("data_source", "cut")
+    return rounded(TS.seasonal_by_cut(series, ["data_source"]).join(cuts, ["data_source", "cut"], "left_semi"), TS.SEASONAL)
+
+
+register("seasonal_forecast_by_cut", on_series(seasonal_cuts),
+         with_tables(MEASUREMENTS, SERIES, BASELINES, SEASONAL_CUTS) + f"SELECT data_source, cut, hour, {r6('p')} AS estacional FROM sea")
+register("rolling_origin_errors_all_models", on_series(lambda s: rounded(TS.rolling_evaluation(s, ["data_source"], seasonal=True), "mae", "rmse")),
+         with_tables(MEASUREMENTS, SERIES, BASELINES, SEASONAL_RES) + f"SELECT data_source, cut, model, n, {r6('mae')} AS mae, {r6('rmse')} AS rmse FROM res5")
 register("rolling_origin_summary", on_series(lambda s: rounded(TS.summarize_evaluation(TS.rolling_evaluation(s, ["data_source"]), ["data_source"]), "mae", "rmse", "difference", "ci95")),
          EVAL + f""", j AS (SELECT r.*, CASE WHEN r.model <> 'perfil' THEN r.mae - b.mae END AS d FROM res r JOIN res b ON b.data_source = r.data_source AND b.cut = r.cut AND b.model = 'perfil'),
          a AS (SELECT data_source, model, avg(mae) AS mae, avg(rmse) AS rmse, avg(d) AS difference, 1.96e0 * stddev_samp(d) / sqrt(count(d)) AS ci95, count(*) FILTER (d < 0) AS wins, count(d) AS cuts FROM j GROUP BY 1, 2)
