@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from wayloom.functions import text as X
 from wayloom.operators import medallion as M
 from wayloom.operators import population as P
 from wayloom.operators import quality as Q
+from wayloom.operators import rollups as R
 from wayloom.operators import upserts as U
 from wayloom.plans import common as C
 from wayloom.plans.common import MEASUREMENTS, measurements, r6, shown, table, with_tables
@@ -203,6 +205,45 @@ register(
 )
 
 
+def trips(spark, sf):
+    return D.to_trips(measurements(spark, sf).withColumn("mobility_level", S.mobility_level(F.col("travel_time_min"))))
+
+
+def shown_hours(df):
+    return df.withColumn("hour", F.col("hour").cast("timestamp_ntz")).withColumns({c: shown(F.col(c)) for c in R.MEASURES.values()})
+
+
+def late_rows(spark, sf):
+    """States of the trips of all sources but one, into which the trips of that one are merged when they arrive."""
+    rows = trips(spark, sf)
+    here = F.col("data_source") == "base"
+    return shown_hours(R.figures(R.merged(R.hourly_states(rows.filter(here)), R.hourly_states(rows.filter(~here)))))
+
+
+def corrected_rows(spark, sf):
+    """States of trips whose durations were wrong in one week; the hours of that week are computed again."""
+    rows = trips(spark, sf)
+    low, high = datetime(2024, 1, 8), datetime(2024, 1, 14, 23)
+    wrong = F.col("datetime").between(F.lit(low), F.lit(datetime(2024, 1, 14, 23, 59, 59)))
+    stale = R.hourly_states(rows.withColumn("duration_min", F.when(wrong, F.col("duration_min") + 5).otherwise(F.col("duration_min"))))
+    return shown_hours(R.figures(R.recomputed(stale, rows, low, high)))
+
+
+def live_rows(spark, sf):
+    rows = trips(spark, sf)
+    until = datetime(2024, 1, 20, 6)
+    return shown_hours(R.live(R.hourly_states(rows), rows, until))
+
+
+TRIPS_HOURLY = MEAS + f"""SELECT date_trunc('hour', timestamp)::TIMESTAMP AS hour, origin, destination, count(*) AS num_trips, {r6("avg(travel_time_min)")} AS avg_duration_min,
+    {r6("avg(distance_km)")} AS avg_distance_km, {r6("avg(origin_temperature)")} AS avg_temperature, {r6("avg(origin_humidity)")} AS avg_humidity,
+    {r6("avg(traffic_delay_min)")} AS avg_traffic_delay_min, round(100e0 * count(*) FILTER (travel_time_min > 20) / count(*), 1) AS pct_alta_demora FROM measurements GROUP BY 1, 2, 3"""
+register("trips_hourly", lambda spark, sf: shown_hours(R.figures(R.hourly_states(trips(spark, sf)))), TRIPS_HOURLY)
+register("trips_hourly_late_rows", late_rows, TRIPS_HOURLY)
+register("trips_hourly_corrected", corrected_rows, TRIPS_HOURLY)
+register("trips_hourly_live", live_rows, TRIPS_HOURLY)
+
+
 def legacy_merge(spark, sf):
     m = measurements(spark, sf)
     plain = m.filter(F.col("data_source") == "base").select(
