@@ -119,6 +119,13 @@ def level_stationarity(df: DataFrame, keys: Sequence[str], value: str, lags: int
     return out.withColumn("stationary", F.col("p_value") > 0.05)
 
 
+def _judged(statistics: DataFrame) -> DataFrame:
+    """Critical values for `n` rows, and whether `statistic` is below the one of 5 %."""
+    n = F.col("n")
+    critical = {f"critical_{k[:-1]}": F.lit(b[0]) + b[1] / n + b[2] / (n * n) + b[3] / F.pow(n, F.lit(3)) for k, b in UNIT_ROOT_CRITICAL.items()}
+    return statistics.withColumns(critical).withColumn("stationary", F.col("statistic") < F.col("critical_5"))
+
+
 def unit_root(df: DataFrame, keys: Sequence[str], value: str, lags: int = 1) -> DataFrame:
     """Unit-root statistic of the regression of the change on the previous level and `lags` earlier changes. The sums of
     products are aggregated by Spark; each key then solves one small system."""
@@ -141,11 +148,45 @@ def unit_root(df: DataFrame, keys: Sequence[str], value: str, lags: int = 1) ->
     )
     term = regression_term("_g", "_c", "_yy", F.col("n").cast("double"), F.lit(0))
     out = sums.withColumn("_r", term).select(*keys, "n", (F.col("_r.coefficient") / F.nullif(F.col("_r.std_error"), F.lit(0.0))).alias("statistic"))
-    critical = {
-        f"critical_{k[:-1]}": F.lit(b[0]) + b[1] / F.col("n") + b[2] / (F.col("n") * F.col("n")) + b[3] / F.pow(F.col("n"), F.lit(3))
-        for k, b in UNIT_ROOT_CRITICAL.items()
-    }
-    return out.withColumns(critical).withColumn("stationary", F.col("statistic") < F.col("critical_5"))
+    return _judged(out)
+
+
+def unit_root_by_lags(df: DataFrame, keys: Sequence[str], value: str, most: int = 4) -> DataFrame:
+    """`unit_root` for 0 to `most` earlier changes, all from one table of products.
+
+    A row lacks earlier changes only at the start of its key. Products are summed by the number of changes a row has, so
+    that the sums of a number of lags are those of the rows with as many changes or more, and one read serves all of them.
+    A number of lags that leaves no row to spare has a null statistic, and one that leaves no row is absent."""
+    keys = list(keys)
+    lagged = [f"_d{k}" for k in range(1, most + 1)]
+
+    def add(w):
+        v = F.col("value")
+        steps = {name: F.lag(v, k).over(w) - F.lag(v, k + 1).over(w) for k, name in enumerate(lagged, 1)}
+        return {"_d": v - F.lag(v, 1).over(w), "_y1": F.lag(v, 1).over(w), **steps}
+
+    rows = with_previous_rows(known(df, keys, value), keys, ORDER, most + 1, ["value"], add, day_chunk("timestamp")).filter("_d IS NOT NULL")
+    has = sum((F.col(c).isNotNull().cast("int") for c in lagged), F.lit(0))
+    rows = rows.withColumns({"_has": has, "_one": F.lit(1.0), **{c: F.coalesce(c, F.lit(0.0)) for c in lagged}})
+    names = ["_y1", "_one", *lagged]
+    pairs = {(a, b): f"_s{a}{b}" for i, a in enumerate(names) for b in [*names[i:], "_d"]} | {("_d", "_d"): "_s_d_d"}
+    sums = rows.groupBy(*keys, "_has").agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(c) for (a, b), c in pairs.items()])
+    each = sums.withColumn("lags", F.explode(F.sequence(F.lit(0), F.col("_has"))))
+    each = each.groupBy(*keys, "lags").agg(*[F.sum(c).alias(c) for c in ("n", *pairs.values())])
+
+    def product(a: str, b: str) -> Column:
+        return F.col(pairs.get((a, b)) or pairs[b, a])
+
+    gram = crossed = F.lit(None).cast("array<double>")
+    for lags in range(most, -1, -1):
+        used, here = names[: lags + 2], F.col("lags") == lags
+        gram = F.when(here, F.array(*[product(a, b) for a in used for b in used])).otherwise(gram)
+        crossed = F.when(here, F.array(*[product(a, "_d") for a in used])).otherwise(crossed)
+    solved = each.withColumns({"_g": gram, "_c": crossed})
+    enough = F.col("n") > F.col("lags") + 2
+    term = F.when(enough, regression_term("_g", "_c", "_s_d_d", F.col("n").cast("double"), F.lit(0)))
+    statistic = (F.col("_r.coefficient") / F.nullif(F.col("_r.std_error"), F.lit(0.0))).alias("statistic")
+    return _judged(solved.withColumn("_r", term).select(*keys, "lags", "n", statistic))
 
 
 def forecast_summary(df: DataFrame, keys: Sequence[str], value: str, lags: int = 8, change_lags: int = 1) -> DataFrame:

@@ -71,6 +71,28 @@ register("unit_root", on_measurements(lambda m: rounded(TS.unit_root(m, ROUTE, V
          with_tables(MEASUREMENTS, PLACED) + f""", d AS (SELECT origin, destination, v - lag(v) OVER w AS dv, lag(v) OVER w AS y1 FROM x WINDOW w AS ({PART} ORDER BY pos)),
          s AS (SELECT origin, destination, count(dv) AS n, regr_slope(dv, y1) AS b, sqrt(regr_syy(dv, y1) * (1 - regr_r2(dv, y1)) / (regr_count(dv, y1) - 2) / regr_sxx(dv, y1)) AS se FROM d GROUP BY 1, 2)
          SELECT origin, destination, n, {r6("b / se", 4)} AS statistic, b / se < -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n) AS stationary FROM s""")
+
+
+def lag_set_sql(lags: int) -> str:
+    """The unit-root statistic with a number of lags: the regressors are made orthogonal one after the other, the level last."""
+    part = "OVER (PARTITION BY origin, destination)"
+    names = [*(f"d{k}" for k in range(1, lags + 1)), "y1", "dv"]
+    steps = "".join(f", lag(v, {k}) OVER w - lag(v, {k + 1}) OVER w AS d{k}" for k in range(1, lags + 1))
+    inner = f"SELECT * FROM (SELECT origin, destination, v - lag(v) OVER w AS dv, lag(v) OVER w AS y1{steps} FROM x WINDOW w AS ({PART} ORDER BY pos)) WHERE {names[max(lags - 1, 0)]} IS NOT NULL"
+    inner = "SELECT origin, destination, " + ", ".join(f"{c} - avg({c}) {part} AS {c}" for c in names) + f" FROM ({inner})"
+    for i in range(lags):
+        base = names[i]
+        rest = ", ".join(f"{c} - {base} * sum({c} * {base}) {part} / sum({base} * {base}) {part} AS {c}" for c in names[i + 1 :])
+        inner = f"SELECT origin, destination, {rest} FROM ({inner})"
+    fit = f"SELECT origin, destination, count(*) AS n, sum(y1 * dv) / sum(y1 * y1) AS b, sum(y1 * y1) AS yy, sum(dv * dv) AS dd FROM ({inner}) GROUP BY 1, 2"
+    tested = f"SELECT *, b / sqrt((dd - b * b * yy) / (n - {lags + 2}) / yy) AS st FROM ({fit})"
+    return f"SELECT origin, destination, {lags} AS lags, n, {r6('st', 4)} AS statistic, st < -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n) AS stationary FROM ({tested})"
+
+
+register("unit_root_lag_sets", on_measurements(lambda m: rounded(TS.unit_root_by_lags(m, ROUTE, V, 4).select(*ROUTE, "lags", "n", "statistic", "stationary"), "statistic", digits=4)),
+         with_tables(MEASUREMENTS, PLACED) + " UNION ALL ".join(lag_set_sql(k) for k in range(5)))
+
+
 def summary(m):
     out = TS.forecast_summary(m, ROUTE, V, 8, 0)
     return out.withColumn("value", F.when(F.col("part") == "unit_root", shown(F.col("value"), 4)).otherwise(shown(F.col("value"), 6)))
