@@ -1,11 +1,15 @@
-"""Greedy matching and connected parts against plain versions."""
+"""Candidate pairs, greedy matching and connected parts against plain versions."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from wayloom.functions.text import common_characters, match_name, name_similarity
+from wayloom.operators.geo import haversine_m
 from wayloom.operators.graphs import component_roots
-from wayloom.operators.matching import greedy_matching
+from wayloom.operators.matching import STOP_WORDS, candidate_pairs, greedy_matching
 
 SCHEMA = "left_id long, right_id long, sim double, dist_m double, level string"
 
@@ -57,3 +61,31 @@ def test_components(spark, n):
         root[max(a, b)] = min(a, b)
     got = {r["node"]: r["root"] for r in component_roots(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for pair in links for x in pair}
+
+
+def test_candidates_against_all_pairs(spark):
+    rng = random.Random(11)
+    words = ["luzzu", "marina", "sliema", "corner", "old", "harbour", "valletta", "cafe", "bakery", "st", "julians", "aaa", "aab"]
+
+    def places(n, prefix):
+        names = [" ".join(rng.choices(words, k=rng.randrange(1, 4))) for _ in range(n)]
+        noisy = [("".join(c for c in x if rng.random() > 0.15) if rng.random() < 0.5 else x) for x in names]
+        return [(prefix + i, x, 35.9 + rng.random() * 0.0012, 14.5 + rng.random() * 0.0012) for i, x in enumerate([*noisy, "", None, "x"])]
+
+    left, right = places(60, 0), places(60, 1000)
+    a, b = (spark.createDataFrame(rows, "id long, name string, lat double, lon double") for rows in (left, right))
+    got = {(r["left_id"], r["right_id"]): (round(r["sim"], 9), r["level"]) for r in candidate_pairs(a, b).collect()}
+    sides = [df.select(F.col("id").alias(f"{p}_id"), match_name(F.col("name")).alias(f"{p}_name"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon")) for df, p in ((a, "a"), (b, "b"))]
+    every = sides[0].filter("a_name <> ''").crossJoin(sides[1].filter("b_name <> ''")).withColumns({
+        "sim": name_similarity(F.col("a_name"), F.col("b_name"), STOP_WORDS), "dist": haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")),
+    }).collect()
+    want = {(r["a_id"], r["b_id"]): (round(r["sim"], 9), "fuerte" if r["sim"] >= 0.75 else "probable") for r in every
+            if r["dist"] <= 100 and (r["sim"] >= 0.75 or r["sim"] >= 0.5 and r["dist"] <= 60)}
+    assert got == want and len(want) > 50 and {level for _, level in want.values()} == {"fuerte", "probable"}
+
+
+def test_common_characters_count_copies(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choices("ab c.", k=rng.randrange(9))), "".join(rng.choices("ab c.", k=rng.randrange(9)))) for _ in range(200)]
+    got = [r["n"] for r in spark.createDataFrame(rows, "a string, b string").select(common_characters(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert got == [sum((Counter(a) & Counter(b)).values()) for a, b in rows]

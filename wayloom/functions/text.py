@@ -151,6 +151,16 @@ def name_tokens(normalised: Column, stop: Sequence[str] = ()) -> Column:
     return F.array_except(words, F.array(*[F.lit(s) for s in stop]).cast("array<string>"))
 
 
+def common_characters(a: Column, b: Column) -> Column:
+    """Number of characters that both texts hold, a character as often as in the text that has fewer of it."""
+
+    def count(text: Column, c: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, c, F.lit("")))
+
+    shared = F.array_distinct(F.split(a, ""))
+    return F.aggregate(shared, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(a, c), count(b, c))))
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.functions.text import match_name, name_similarity
+from wayloom.functions.text import common_characters, match_name, name_similarity
 from wayloom.operators.geo import in_any_circle, within_distance
 from wayloom.operators.graphs import component_roots
 from wayloom.session import checkpointed
@@ -28,13 +28,15 @@ LOG_PATTERN = r"\[([^\]]+)\] Foursquare devolvi\S* ([0-9]+) resultados crudos"
 def candidate_pairs(left: DataFrame, right: DataFrame, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """Pairs (left_id, right_id, sim, dist_m, level) near enough and alike enough to be one place.
 
-    Both inputs hold (id, name, lat, lon). Names are compared once per distinct pair, and only pairs whose lengths allow
-    the lowest similarity are compared at all."""
+    Both inputs hold (id, name, lat, lon). Names are compared once per distinct pair, and only pairs whose characters allow
+    the similarity that their distance asks for are compared at all: matching stretches never hold more characters than both
+    names have in common, copies counted."""
     a = left.select(F.col("id").alias("left_id"), match_name(F.col("name")).alias("left_name"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     b = right.select(F.col("id").alias("p_id"), match_name(F.col("name")).alias("p_name"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     near = within_distance(a.filter("left_name <> ''"), b.filter("p_name <> ''"), STRONG_M)
     la, lb = F.length("left_name"), F.length("p_name")
-    possible = 2 * F.least(la, lb) / (la + lb) >= PROBABLE
+    asked = F.when(F.col("dist_m") <= PROBABLE_M, PROBABLE).otherwise(STRONG)
+    possible = (2 * F.least(la, lb) >= asked * (la + lb)) & (2 * common_characters(F.col("left_name"), F.col("p_name")) >= asked * (la + lb))
     nested = F.col("left_name").contains(F.col("p_name")) | F.col("p_name").contains(F.col("left_name"))
     shared = F.arrays_overlap(F.split("left_name", " "), F.split("p_name", " "))
     worth = near.filter(possible | nested | shared)
