@@ -238,3 +238,36 @@ def test_model_text_decomposes_every_letter(spark):
 def test_second_source_buckets(spark):
     df = spark.createDataFrame([("Barbershop",), ("Coffee Shop",), ("Food and Beverage Retail",), ("Department Store",), ("Church",), ("Café",)], "n string")
     assert [r[0] for r in df.select(T.second_source_bucket(F.col("n"))).collect()] == ["services", "restaurant", "retail", "mall", "other", "restaurant"]
+
+
+def test_distance_work_collects_no_side_on_the_driver(spark):
+    """Small files under an `explode` made the planner broadcast rows by the million."""
+    df = spark.createDataFrame(cloud(60, 3, 0.1), "id int, category string, lat double, lon double")
+    centers, spots = df.select(F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")), df.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    same = df.withColumn("name", F.col("category"))
+    for out in (
+        G.neighbour_counts(df, 250.0), G.nearest_same_category(df, 1000.0), G.within_distance(centers, spots, 100.0),
+        G.in_any_circle(spots, centers, 100.0), G.same_key_within(same, same, "name", 60.0),
+    ):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_are_paired_in_blocks(spark):
+    """A tile is sent to the blocks it reaches, not to each of the hundreds of tiles around it."""
+    df = spark.createDataFrame([(i, "a", 35.9 + i / 1000, 14.5) for i in range(20)], "id int, category string, lat double, lon double")
+    tiles = df.select(*[c.alias(n) for c, n in zip(G.tile_of(F.col("lat"), F.col("lon"), 31.25), ("ti", "tj"))])
+    pairs = G.tile_pairs(tiles, tiles, 250.0, 31.25)
+    assert {"bi", "bj"} <= set(pairs.columns)
+    got = {(r["a_ti"], r["ti"]) for r in pairs.collect()}
+    step = 31.25 / PER_LAT
+    rows = [r["ti"] for r in tiles.collect()]
+    assert got >= {(a, b) for a in rows for b in rows if hav((a + 0.5) * step, 14.5, (b + 0.5) * step, 14.5) <= 250}
+
+
+def test_nearest_same_category_from_dense_to_lonely_places(spark):
+    r = random.Random(5)
+    pts = [(i, "a", 35.9 + r.random() * 1e-4, 14.5 + r.random() * 1e-4) for i in range(40)] + [(100 + i, "a", 35.85 + r.random() * 0.08, 14.45 + r.random() * 0.12) for i in range(40)]
+    df = spark.createDataFrame(pts, "id int, category string, lat double, lon double")
+    got = {x["id"]: x["dist_m"] for x in G.nearest_same_category(df, 1000.0).collect()}
+    for i, _, la, lo in pts:
+        assert got[i] == pytest.approx(min([hav(la, lo, q[2], q[3]) for q in pts if q[0] != i] + [1000.0]), abs=1e-6)
