@@ -240,9 +240,19 @@ def test_second_source_buckets(spark):
     assert [r[0] for r in df.select(T.second_source_bucket(F.col("n"))).collect()] == ["services", "restaurant", "retail", "mall", "other", "restaurant"]
 
 
-def test_distance_work_collects_no_side_on_the_driver(spark):
+@pytest.fixture
+def stored_cloud(spark, tmp_path):
+    """A small file, read with the planner's usual limit for broadcasts."""
+    spark.createDataFrame(cloud(60, 3, 0.1), "id int, category string, lat double, lon double").write.parquet(f"{tmp_path}/cloud")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    yield spark.read.parquet(f"{tmp_path}/cloud")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_distance_work_collects_no_side_on_the_driver(stored_cloud):
     """Small files under an `explode` made the planner broadcast rows by the million."""
-    df = spark.createDataFrame(cloud(60, 3, 0.1), "id int, category string, lat double, lon double")
+    df = stored_cloud
     centers, spots = df.select(F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")), df.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     same = df.withColumn("name", F.col("category"))
     for out in (
@@ -271,3 +281,13 @@ def test_nearest_same_category_from_dense_to_lonely_places(spark):
     got = {x["id"]: x["dist_m"] for x in G.nearest_same_category(df, 1000.0).collect()}
     for i, _, la, lo in pts:
         assert got[i] == pytest.approx(min([hav(la, lo, q[2], q[3]) for q in pts if q[0] != i] + [1000.0]), abs=1e-6)
+
+
+def test_closure_features_collect_no_side_on_the_driver(stored_cloud):
+    tags = F.create_map(F.lit("amenity"), F.lit("bar"), F.lit("name"), F.concat(F.lit("Bar "), "category"))
+    elements = stored_cloud.select(F.lit("node").alias("type"), F.col("id").cast("long").alias("id"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), tags.alias("tags"))
+    labels = K.label(elements, elements.filter("id % 3 > 0"), elements.limit(0))
+    for out in (labels, K.modelling_frame(labels, elements)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = K.modelling_frame(labels, elements).collect()
+    assert rows and all(r["n_total_500"] >= r["n_total_250"] >= r["n_same_250"] for r in rows)
