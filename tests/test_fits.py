@@ -53,3 +53,12 @@ def test_no_product_of_two_tables(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "CartesianProduct" not in plan
+
+
+def test_texts_are_cut_on_all_cores(spark):
+    """A small file is one part; its texts and the fit's passes would stay on one core."""
+    one = spark.createDataFrame([(i, "red ring" if i % 2 else "steel bolt", "ab"[i % 2]) for i in range(40)], "id int, t string, c string").coalesce(1)
+    model = M.fit_phrases(one, "t", "c", slots=1 << 10)
+    out = M.classify_phrases(model, one, "t")
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert all(r["category"] == r["c"] for r in out.collect())
