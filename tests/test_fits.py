@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from wayloom.operators import models as M
-from wayloom.operators.chunks import average_rank, exact_percentiles
+from wayloom.operators.chunks import PART_ROWS, average_rank, dealt, exact_percentiles
 from wayloom.operators.indicators import indicators
+from wayloom.plans.common import measurements
+from wayloom.plans.model_queries import by_cycle
 
 
 def test_indicators_have_full_rank_and_take_unseen_levels(spark):
@@ -62,3 +64,24 @@ def test_texts_are_cut_on_all_cores(spark):
     out = M.classify_phrases(model, one, "t")
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert all(r["category"] == r["c"] for r in out.collect())
+
+
+def test_rows_of_a_fit_are_dealt_over_the_cores(spark):
+    """Rows that come as one part are dealt, the same way in whatever order they come; few rows stay together."""
+    rows = spark.range(3 * PART_ROWS).select("id", (F.col("id") % 7).alias("v"))
+    first, second = dealt(rows.coalesce(1)), dealt(rows.orderBy(F.desc("v")).coalesce(2))
+    parts = [df.rdd.map(lambda r: r["id"]).glom().collect() for df in (first, second)]
+    assert 2 <= len(parts[0]) <= spark.sparkContext.defaultParallelism
+    assert parts[0] == parts[1] and all(p == sorted(p) for p in parts[0])
+    assert max(map(len, parts[0])) < 1.1 * min(map(len, parts[0]))
+    assert dealt(rows.limit(100).repartition(9)).rdd.getNumPartitions() == 1
+
+
+def test_regression_fits_read_dealt_rows(spark, monkeypatch):
+    """The boosted rounds of a one-file table ran in a single task."""
+    seen = []
+    fit = M.GBTRegressor.fit
+    monkeypatch.setattr(M.GBTRegressor, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    monkeypatch.setattr("wayloom.operators.chunks.PART_ROWS", 2000)
+    out = M.evaluate_regression(measurements(spark, "/root/testdata/sf0.01"), by_cycle, rounds=1).collect()
+    assert len(out) == 2 and 2 <= seen[0] <= spark.sparkContext.defaultParallelism
