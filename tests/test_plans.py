@@ -85,3 +85,17 @@ def test_specifications_in_one_pass_are_the_single_ones(spark):
         one = df.withColumn("stratum", A.stratum(columns, df)).join(spark.createDataFrame(mu.reset_index().values.tolist(), "stratum string, mu double"), "stratum").filter("treated")
         ci = A.cluster_interval(one.withColumn("diff", F.col("y") - F.col("mu")), [], "day", 50).first()
         assert (r["ci_low"], r["ci_high"]) == pytest.approx((ci["ci_low"], ci["ci_high"]))
+
+
+@pytest.mark.parametrize("name", ["covariate_balance", "worst_balanced_covariates"])
+def test_balance_reads_written_scores(spark, name):
+    """Six parts of the balance read scores and pairs: they are written once, not worked out again from the files by each."""
+    assert "FileScan" not in plan_of(spark, name)
+
+
+def test_balance_is_the_one_of_its_parts(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("ab"), rng.choice("xy"), rng.random() < 0.4, rng.randrange(50) / 10, rng.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, g string, c string, treated boolean, logit double, y double")
+    got, want = (sorted(map(tuple, t.collect())) for t in (A.matched_balance(df, ["g"], ["c"]), A.balance(df, A.matched_pairs(df, ["g"]), ["c"])))
+    assert got == want and len(got) == 2
