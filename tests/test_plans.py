@@ -99,3 +99,16 @@ def test_balance_is_the_one_of_its_parts(spark):
     df = spark.createDataFrame(rows, "id int, g string, c string, treated boolean, logit double, y double")
     got, want = (sorted(map(tuple, t.collect())) for t in (A.matched_balance(df, ["g"], ["c"]), A.balance(df, A.matched_pairs(df, ["g"]), ["c"])))
     assert got == want and len(got) == 2
+
+
+def test_nearest_controls_go_through_each_range_twice_only(spark):
+    """A frame that ends with the range is gone through from every row on; and the pairs are those of all comparisons."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice("ab"), rng.random() < 0.5, rng.randrange(40) / 8, float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, treated boolean, logit double, y double")
+    out = A.nearest_controls(df, ["g"])
+    assert "currentrow$(), unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        gaps = {(abs(s - r["logit"]), s, i) for i, g, t, s, _ in rows if g == r["g"] and not t}
+        low = min(gaps)
+        assert r["gap"] == low[0] and (r["gap"], rows[r["control_id"]][3]) == low[:2]
