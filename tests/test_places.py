@@ -291,3 +291,27 @@ def test_closure_features_collect_no_side_on_the_driver(stored_cloud):
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     rows = K.modelling_frame(labels, elements).collect()
     assert rows and all(r["n_total_500"] >= r["n_total_250"] >= r["n_same_250"] for r in rows)
+
+
+def test_nearest_street_is_exchanged_and_right(stored_cloud):
+    """Streets by the million are no file of few bytes to be broadcast, and tiles are no wider than the reach."""
+    points = stored_cloud.select("id", "lat", "lon")
+    corner = F.struct("lat", "lon")
+    end = F.struct((F.col("lat") + 0.002).alias("lat"), (F.col("lon") + 0.001).alias("lon"))
+    name = F.create_map(F.lit("highway"), F.lit("residential"), F.lit("name"), F.concat(F.lit("Triq "), F.col("id").cast("string")))
+    ways = stored_cloud.filter("id % 9 = 0").select(F.lit("way").alias("type"), "id", name.alias("tags"), F.array(corner, end).alias("geometry"))
+    out = B.nearest_street(points, ways)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    kx = G.M_PER_DEG_LAT * math.cos(math.radians((G.SOUTH + G.NORTH) / 2))
+    sides = [(w["id"], w["geometry"][0], w["geometry"][1]) for w in ways.collect()]
+
+    def gap(la, lo, a, b):
+        px, py, dx, dy = (lo - a["lon"]) * kx, (la - a["lat"]) * G.M_PER_DEG_LAT, (b["lon"] - a["lon"]) * kx, (b["lat"] - a["lat"]) * G.M_PER_DEG_LAT
+        t = max(0.0, min(1.0, (px * dx + py * dy) / (dx * dx + dy * dy)))
+        return math.hypot(px - t * dx, py - t * dy)
+
+    rows = out.collect()
+    assert len(rows) == points.count() and any(r["calle"] for r in rows)
+    for r in rows:
+        best = min((gap(r["lat"], r["lon"], a, b), i) for i, a, b in sides)
+        assert (r["calle"] == "") if best[0] > B.STREET_M else r["calle_m"] == pytest.approx(best[0], abs=1e-6)

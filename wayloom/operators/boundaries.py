@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from wayloom.operators.chunks import with_one_row
 from wayloom.functions.text import preferred_name, useful_street_name
-from wayloom.operators.geo import M_PER_DEG_LAT, NORTH, SOUTH
+from wayloom.operators.geo import M_PER_DEG_LAT, NORTH, SOUTH, sorted_join
 
 LOCALITY_LEVEL = 8
 TOLERANCE_M, STREET_M = 250.0, 150.0
@@ -102,9 +102,10 @@ def boundary_edges(places: DataFrame) -> DataFrame:
 
 
 # --- point in polygon ------------------------------------------------------------------------------------------------
-def _tiles(low_y: Column, high_y: Column, low_x: Column, high_x: Column) -> Column:
-    rows = F.sequence(F.floor(low_y / TILE_DEG), F.floor(high_y / TILE_DEG))
-    cols = F.sequence(F.floor(low_x / TILE_DEG), F.floor(high_x / TILE_DEG))
+def _tiles(low_y: Column, high_y: Column, low_x: Column, high_x: Column, step: float | None = None) -> Column:
+    step = step or TILE_DEG
+    rows = F.sequence(F.floor(low_y / step), F.floor(high_y / step))
+    cols = F.sequence(F.floor(low_x / step), F.floor(high_x / step))
     return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("ti"), c.alias("tj")))))
 
 
@@ -147,15 +148,17 @@ def segment_distance_m(lat: Column, lon: Column, lon_scale: Column) -> Column:
 
 
 def sides_within(positions: DataFrame, sides: DataFrame, max_m: float, lon_scale: Column) -> DataFrame:
-    """Sides no further than `max_m` from each position, joined by tile."""
+    """Sides no further than `max_m` from each position, joined by tiles as wide as that. Both are exchanged: the planner would
+    collect sides by the million for the size of their file, and meet them in as few tasks as the positions' file has parts."""
+    step = max_m / M_PER_DEG_LAT
     margin_y = max_m / 110_000.0
     margin_x = F.lit(margin_y * 1.1) / F.cos(F.radians(F.greatest(F.abs("y1"), F.abs("y2"))))
     tiles = _tiles(
-        F.least("y1", "y2") - margin_y, F.greatest("y1", "y2") + margin_y, F.least("x1", "x2") - margin_x, F.greatest("x1", "x2") + margin_x
+        F.least("y1", "y2") - margin_y, F.greatest("y1", "y2") + margin_y, F.least("x1", "x2") - margin_x, F.greatest("x1", "x2") + margin_x, step
     )
     spread = sides.withColumn("_t", F.explode(tiles)).withColumns({"ti": F.col("_t.ti"), "tj": F.col("_t.tj")}).drop("_t")
-    tiled = positions.withColumns({"ti": F.floor(F.col("lat") / TILE_DEG), "tj": F.floor(F.col("lon") / TILE_DEG)})
-    near = tiled.join(spread, ["ti", "tj"]).drop("ti", "tj")
+    tiled = positions.withColumns({"ti": F.floor(F.col("lat") / step), "tj": F.floor(F.col("lon") / step)})
+    near = sorted_join(tiled, spread, ["ti", "tj"]).drop("ti", "tj")
     return near.withColumn("dist_m", segment_distance_m(F.col("lat"), F.col("lon"), lon_scale)).filter(F.col("dist_m") <= max_m)
 
 
@@ -195,7 +198,7 @@ def nearest_street(points: DataFrame, ways: DataFrame, max_m: float = STREET_M,
     best = near.groupBy("lat", "lon").agg(
         F.min_by("street", F.struct("dist_m", "id")).alias("calle"), F.min("dist_m").alias("calle_m")
     )
-    return points.join(best, ["lat", "lon"], "left").na.fill("", ["calle"])
+    return sorted_join(points, best, ["lat", "lon"], "left").na.fill("", ["calle"])
 
 
 def cell_places(cells: DataFrame, places: DataFrame, ways: DataFrame) -> DataFrame:
