@@ -47,3 +47,39 @@ def test_short_and_long_lines(spark, tmp_path):
 
 def test_limits_by_length():
     assert line_dedup.limit_of(np.array([0, 1, 2, 39, 40, 159, 160, 319, 320, 9999]), line_dedup.LIMITS).tolist() == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_lines_within_their_limit_share_a_key_of_the_shorter_one():
+    rng = random.Random(8)
+    limits = line_dedup.LIMITS
+    starts = line_dedup.length_classes(limits, 700)[0].tolist()
+    pairs = []
+    for n in [*range(2, 60), *(s + d for s in starts for d in (-2, -1, 0, 1, 2) if s > 58)]:
+        for _ in range(6):
+            a = "".join(rng.choice("abcxyz019é") for _ in range(n))
+            b = a
+            edits = rng.randrange(1, allowed(n) + 1)
+            for _ in range(edits):
+                at = rng.choice([0, max(0, len(b) - 1), rng.randrange(max(1, len(b)))])
+                b = b[:at] + rng.choice(["", "Q", b[at] + "Q"]) + b[at + 1 :]
+            a, b = sorted((a, b), key=len)
+            if edits <= allowed(len(a)):
+                pairs.append((a, b))
+    lines = line_dedup.Lines([x for p in pairs for x in p])
+    rows, keys, indexed = line_dedup.segment_keys(lines, np.arange(len(lines.length)), limits)
+    own = {}
+    for row, key, first in zip(rows.tolist(), keys.tolist(), indexed.tolist()):
+        own.setdefault(row, ({}, set()))[1].add(key)
+        if first:
+            own[row][0][key] = True
+    assert len(pairs) > 800
+    assert all(own[2 * i][0].keys() & own[2 * i + 1][1] for i in range(len(pairs)))
+
+
+def test_a_line_has_few_postings():
+    rng = random.Random(9)
+    for n, most in ((30, 3), (100, 6), (200, 11), (400, 18), (3000, 13)):
+        lines = line_dedup.Lines(["".join(rng.choice("abcdefgh") for _ in range(n + d)) for d in range(9)])
+        rows, _, indexed = line_dedup.segment_keys(lines, np.arange(9), line_dedup.LIMITS)
+        assert len(rows) <= 9 * most
+        assert indexed.sum() == 9 * (allowed(n) + 1)

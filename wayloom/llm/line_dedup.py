@@ -135,40 +135,65 @@ def limit_of(length: np.ndarray, limits: tuple) -> np.ndarray:
     return np.r_[0, [k for _, k in limits]][np.searchsorted([n for n, _ in limits], length, side="right")]
 
 
-def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Start and size of the edits + 1 segments of strings of some lengths, the last ones being one longer where needed."""
-    n = edits + 1
-    base, more = length // n, length % n
-    sizes = [base + (i >= n - more) for i in range(n)]
-    return [(sum(sizes[:i], np.zeros_like(length)), sizes[i]) for i in range(n)]
+def length_classes(limits: tuple, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest lengths of the classes of lengths up to `most`, and the edits allowed in each. A class is an eighth of its smallest length wide,
+    or one, and none reaches across a step of `limits`. Lengths that do not exceed their edits have no class."""
+    starts, edits = [], []
+    for (at, k), end in zip(limits, [n for n, _ in limits[1:]] + [most + 1], strict=True):
+        at = max(at, k + 1)
+        while at < end:
+            starts.append(at)
+            edits.append(k)
+            at += max(1, at // 8)
+    return np.array(starts, np.int64), np.array(edits, np.int64)
+
+
+def places(edits: int, size: np.ndarray, length: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """(segment, unmoved, rows, starts) of the substrings of lines of some lengths that may equal a segment of a line that is shorter by `least` to
+    `most` characters. Segments of a line are edits + 1 stretches of `size` characters, the first half of them counted from its start, the
+    others from its end, so that they lie at one place in lines of any length.
+
+    Two lines within the edits share a segment i with at most i edits before it and edits - i behind it. So it has moved by no more than i
+    against the start, and by no more than edits - i against the end."""
+    for i in range(edits + 1):
+        head, before, behind = 2 * i <= edits, i, edits - i
+        reach = before if head else behind
+        for moved in range(-reach, reach + 1):
+            low, high = (moved - behind, moved + behind) if head else (-before - moved, before - moved)
+            at = (i * size if head else length - (edits + 1 - i) * size) + moved
+            rows = np.flatnonzero((np.maximum(least, low) <= np.minimum(most, high)) & (at >= 0) & (at + size <= length))
+            yield i, moved == 0, rows, at[rows]
 
 
 def segment_keys(lines: Lines, chosen: np.ndarray, limits: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of chosen, key, indexed) of lines: their segments, and the substrings that may equal a segment of a line that is shorter
-    by no more than its own limit. Strings within the limit of the shorter one share one of these keys, the shorter one (or either, at
-    one length) being indexed under it. A key is of one length of the indexed line; its low three bits are the edits allowed there.
+    by no more than its own limit. Strings within the limit of the shorter one share one of these keys, the shorter one (or either, in
+    one class of lengths) being indexed under it. A key is of one class of lengths of the indexed line, whose segments are all of one
+    size; its low three bits are the edits allowed there.
 
-    A substring is only taken where a segment can have moved to, given how many edits fit before and after it.
+    A line is posted in its own class, and in a class below only where a line shorter by the edits may be in it. A substring is only
+    taken where a segment can have moved to, given how many edits fit before and after it.
     """
     rows, keys, indexed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     start, length = lines.start[chosen], lines.length[chosen]
-    for edits in sorted({k for _, k in limits}):
-        for less in range(edits + 1):
-            own = np.flatnonzero((limit_of(length - less, limits) == edits) & (length - less > edits))
-            target = length[own] - less
-            for i, (at, size) in enumerate(segments(target, edits)):
-                for shift in range(-edits, edits + 1):
-                    moved = shift + less
-                    # `shift` is against the place counted from the end, `moved` against that counted from the start.
-                    if not (abs(moved) <= i and abs(shift) <= edits - i):
-                        continue
-                    a = at + moved
-                    ok = np.flatnonzero((a >= 0) & (a + size <= length[own]))
-                    h = lines.hashes(start[own[ok]] + a[ok], start[own[ok]] + a[ok] + size[ok])
-                    key = mixed(h + (target[ok] * (edits + 1) + i).astype(U64) * _SALT)
-                    keys.append((key & ~U64(7) | U64(edits)).view(np.int64))
-                    rows.append(own[ok])
-                    indexed.append(np.full(len(ok), less == 0 and moved == 0))
+    starts, allowed = length_classes(limits, int(length.max(initial=0)))
+    own_class = np.searchsorted(starts, length, side="right") - 1
+    for below in range(int(allowed.max(initial=0)) + 1):
+        inside = np.flatnonzero(own_class >= below)
+        chosen_class = own_class[inside] - below
+        least = length[inside] - (starts[chosen_class + 1] - 1 if below else length[inside])
+        near = least <= allowed[chosen_class]
+        inside, chosen_class, least = inside[near], chosen_class[near], least[near]
+        for edits in np.unique(allowed[chosen_class]).tolist():
+            here = allowed[chosen_class] == edits
+            own, smallest = inside[here], starts[chosen_class[here]]
+            size = smallest // (edits + 1)
+            for i, unmoved, taken, at in places(edits, size, length[own], least[here], np.minimum(edits, length[own] - smallest)):
+                h = lines.hashes(start[own[taken]] + at, start[own[taken]] + at + size[taken])
+                key = mixed(h + (smallest[taken] * (edits + 1) + i).astype(U64) * _SALT)
+                keys.append((key & ~U64(7) | U64(edits)).view(np.int64))
+                rows.append(own[taken])
+                indexed.append(np.full(len(taken), below == 0 and unmoved))
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(indexed)
 
 
@@ -393,9 +418,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FR
     edits. Without `limits` it is `edits` from `fuzzy_from` characters on. A class is what links reach. The first line of a class,
     by (doc_id, hash of the text, line_no), is kept. line_no counts from 0 and blank lines too.
 
-    Lines are cut into one segment more than their edits: if two are within the distance, a segment of the shorter one is unchanged in the
+    Lines have one segment more than their edits: if two are within the distance, a segment of the shorter one is unchanged in the
     other, not far from its place. Each line is posted under its segments and under those of its substrings that may equal a
-    segment of a line as long or shorter; pairs that meet, and whose counts of characters differ no more than the edits can make
+    segment of a line as long or shorter, once for all lengths of a class; pairs that meet, and whose counts of characters differ no more than the edits can make
     them, are verified on their texts. Of a key with very many lines, all are
     first paired with one of them, and only what is still in different classes is paired in full.
 
