@@ -83,3 +83,27 @@ def test_a_line_has_few_postings():
         rows, _, indexed = line_dedup.segment_keys(lines, np.arange(9), line_dedup.LIMITS)
         assert len(rows) <= 9 * most
         assert indexed.sum() == 9 * (allowed(n) + 1)
+
+
+def test_crowded_lines_that_are_not_alike_make_no_pairs(spark):
+    """Lines of one key in many classes meet in tasks; only links come out, and none is lost."""
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)]
+    lines = []
+    for _ in range(60):
+        own = list(words)
+        for at in rng.sample(range(30), 2):
+            own[at] = "".join(rng.sample(own[at], 6))
+        lines += [" ".join(own), " ".join(own)[: -rng.randrange(1, 4)]] if rng.random() < 0.3 else [" ".join(own)]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = classes(rows)
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"]) for r in line_dedup.line_classes(docs, small=4, limits=line_dedup.LIMITS).collect()}
+    assert len(set(want.values())) > 5 and got == want
+    meeting = line_dedup.met(line_dedup.postings(docs, line_dedup.LIMITS), 4).cache()
+    members, texts = meeting.filter("tag = 1"), line_dedup.line_texts(docs, meeting.selectExpr("bx AS x", "by AS y").distinct())
+    none = spark.createDataFrame([], "node struct<x: long, y: long>, root struct<x: long, y: long>")
+    for block in (1024, 16):
+        links = line_dedup._rest(members, none, texts, line_dedup.LIMITS, block)
+        assert links.count() < 4 * len(lines)
+    meeting.unpersist()

@@ -203,10 +203,6 @@ def alike(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.bitwise_count((differ | (differ >> U64(1))) & U64(0x5555555555555555)) <= 2 * (keys & 7)
 
 
-def _alike(a: str, b: str, key: str) -> str:
-    return f"bit_count((({a} ^ {b}) | shiftrightunsigned({a} ^ {b}, 1)) & {0x5555555555555555}L) <= 2 * ({key} & 7)"
-
-
 def postings(docs: DataFrame, limits: tuple) -> DataFrame:
     """(key, x, y, indexed, bag) of all lines that `limits` allows edits; a line repeated in one batch comes once."""
 
@@ -390,24 +386,97 @@ def verified(pairs: DataFrame, texts: DataFrame, limits: tuple) -> DataFrame:
     left = texts.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("line").alias("la"))
     right = texts.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("line").alias("lb"))
     both = pairs.join(left, ["ax", "ay"]).join(right, ["bx", "by"]).select("ax", "ay", "bx", "by", "la", "lb")
-    named = both.mapInArrow(work, "ax long, ay long, bx long, by long")
-    return named.select(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("a"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")).alias("b"))
+    return _named(both.mapInArrow(work, "ax long, ay long, bx long, by long"))
+
+
+def _block_links(left: pa.Table, right: pa.Table, limits: tuple) -> pa.Table:
+    """Links between the lines of two blocks of a key that join what is still apart, verified on the texts.
+
+    Each line brings all its large keys. A pair that meets under several of them is verified under one, drawn by hash, so that the
+    work of a group of lines is spread over the keys that they share."""
+    key = U64(left.column("key")[0].as_py() % 2**64)
+    (ax, ay, abag, ai), (bx, by, bbag, bi) = ([t.column(c).to_numpy() for c in ("x", "y", "bag", "indexed")] for t in (left, right))
+    roots = np.concatenate([np.stack([t.column(c).to_numpy() for c in ("root_x", "root_y")], axis=1) for t in (left, right)])
+    part = np.unique(roots, axis=0, return_inverse=True)[1].reshape(-1)
+    left_part, right_part = part[: len(ax)], part[len(ax) :]
+    once = left.column("main").to_numpy()[:, None] | (ax[:, None] < bx) | ((ax[:, None] == bx) & (ay[:, None] < by))
+    near = alike(np.repeat(abag[:, None], len(bx), axis=1), np.repeat(bbag[None, :], len(ax), axis=0), key.view(np.int64))
+    i, j = np.nonzero((left_part[:, None] != right_part) & once & (ai[:, None] | bi) & near)
+
+    def holders(table: pa.Table) -> dict[int, tuple[list[int], list[int]]]:
+        out: dict[int, tuple[list[int], list[int]]] = {}
+        for r, keys in enumerate(table.column("keys").to_pylist()):
+            for k in keys:
+                held = out.setdefault(k["key"], ([], []))
+                held[0].append(r)
+                if k["indexed"]:
+                    held[1].append(r)
+        return out
+
+    def flags(rows: list[int], n: int) -> np.ndarray:
+        out = np.zeros(n, bool)
+        out[rows] = True
+        return out
+
+    others = holders(right)
+    for k, (any_a, first_a) in holders(left).items():
+        if k in others and k % 2**64 != int(key):
+            any_b, first_b = others[k]
+            drawn = (ax[i] ^ bx[j]).view(U64)
+            met_there = flags(any_a, len(ax))[i] & flags(any_b, len(bx))[j] & (flags(first_a, len(ax))[i] | flags(first_b, len(bx))[j])
+            here = ~(met_there & (mixed(drawn ^ U64(k % 2**64)) < mixed(drawn ^ key)))
+            i, j = i[here], j[here]
+    la, lb = left.column("line").to_pylist(), right.column("line").to_pylist()
+    found = []
+    for at in range(0, len(i), 4096):
+        own_i, own_j = i[at : at + 4096], j[at : at + 4096]
+        apart = part[own_i] != part[len(ax) + own_j]
+        xs, ys = [la[r] for r in own_i[apart]], [lb[r] for r in own_j[apart]]
+        allowed = limit_of(np.array([min(len(x), len(y)) for x, y in zip(xs, ys, strict=True)], np.int64), limits)
+        for edits in np.unique(allowed[allowed > 0]).tolist():
+            own = np.flatnonzero(allowed == edits)
+            ok = own[within([xs[r] for r in own], [ys[r] for r in own], edits)]
+            for r, q in zip(own_i[apart][ok].tolist(), own_j[apart][ok].tolist(), strict=True):
+                if part[r] != part[len(ax) + q]:
+                    part[part == part[r]] = part[len(ax) + q]
+                    found.append((r, q))
+    r, q = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.table({"ax": ax[r], "ay": ay[r], "bx": bx[q], "by": by[q]})
+
+
+def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, limits: tuple, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of lines of large keys that are in different components so far: every indexed line meets every other, block by block,
+    in a task that holds the lines of two blocks and gives links only. A block holds so many lines, or so many kilobytes, on average."""
+    line = F.struct("x", "y")
+    own = members.select("key", F.col("bx").alias("x"), F.col("by").alias("y"), "indexed", "bag").groupBy("key", "x", "y").agg(F.max("indexed").alias("indexed"), F.min("bag").alias("bag"))
+    own = own.join(roots.withColumnRenamed("node", "_node"), line == F.col("_node"), "left").withColumn("root", F.coalesce("root", line)).drop("_node").join(texts, ["x", "y"])
+    parts = own.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    lists = parts.groupBy("key").agg(F.max(F.struct("n", "root", "chars")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count("*").alias("roots")).filter("roots > 1")
 
+    def blocks(n: str, chars: str):
+        return F.ceil(F.greatest(F.expr(n) / block, F.expr(chars) / (1024 * block), F.lit(1.0))).cast("int")
 
-def _rest(members: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of large keys that are in different components so far: every indexed line with every other, block by block."""
-    line = F.struct("x", "y")
-    own = members.select("key", F.col("bx").alias("x"), F.col("by").alias("y"), "indexed", "bag").distinct().withColumn("node", line)
-    own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = own.groupBy("key", "root").agg(F.count("*").alias("n"))
-    lists = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
-    cut = own.join(lists.select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("xs"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("ys")), "key")
-    hashed = F.xxhash64("x", "y")
-    left = cut.select("key", F.pmod(hashed, "xs").cast("int").alias("p"), F.explode(F.expr("sequence(0, ys - 1)")).alias("q"), "node", "root", "indexed", "bag")
-    right = cut.filter("root <> main").select("key", F.explode(F.expr("sequence(0, xs - 1)")).alias("p"), F.pmod(hashed, "ys").cast("int").alias("q"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("indexed").alias("indexed2"), F.col("bag").alias("bag2"))
-    return left.join(right, ["key", "p", "q"]).filter(f"root <> root2 and (indexed or indexed2) and {_alike('bag', 'bag2', 'key')}").select(
-        F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")
-    ).distinct().select(F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+    cut = own.join(lists.select("key", F.col("main.root").alias("main"), blocks("n", "chars").alias("xs"), blocks("n - main.n", "chars - main.chars").alias("ys")), "key")
+    cut = stored(cut.withColumn("main", F.col("root") == F.col("main")), "line-crowded")
+    keys = cut.groupBy("x", "y").agg(F.collect_list(F.struct("key", "indexed")).alias("keys"))
+    sent = cut.join(keys, ["x", "y"]).withColumn("h", F.xxhash64("x", "y"))
+    fields = ["key", "p", "q", "x", "y", "root.x AS root_x", "root.y AS root_y", "main", "indexed", "bag", "line", "keys"]
+    left = sent.withColumns({"p": F.expr("cast(pmod(h, xs) AS int)"), "q": F.explode(F.expr("sequence(0, ys - 1)"))}).selectExpr(*fields)
+    # Named anew: a cogroup does not tell columns of one origin apart.
+    right = sent.filter("not main").withColumns({"p": F.explode(F.expr("sequence(0, xs - 1)")), "q": F.expr("cast(pmod(h, ys) AS int)")}).selectExpr(*fields)
+    right = right.toDF(*right.columns)
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("ax", "ay", "bx", "by")})
+        return _block_links(a, b, limits)
+
+    found = left.groupBy("key", "p", "q").cogroup(right.groupBy("key", "p", "q")).applyInArrow(work, "ax long, ay long, bx long, by long")
+    return _named(found)
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("a"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")).alias("b"))
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM, small: int = SMALL, limits: tuple | None = None) -> DataFrame:
@@ -438,7 +507,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, fuzzy_from: int = FUZZY_FR
     texts = stored(line_texts(docs, wanted), "line-texts")
     links = stored(verified(pairs, texts, limits), "line-links")
     roots = components(links)
-    more = verified(_rest(members, roots), texts, limits)
+    more = _rest(members, roots, texts, limits)
     roots = components(links.unionByName(more)).select(F.col("node.x").alias("x"), F.col("node.y").alias("y"), "root")
     classed = lines.join(roots, ["x", "y"], "left").withColumn("root", F.coalesce("root", F.struct("x", "y")))
     own = F.struct("doc_id", "text_hash", "line_no")
