@@ -1,11 +1,13 @@
 """Candidate pairs, greedy matching and connected parts against plain versions."""
 
+import difflib
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from wayloom.functions import text
 from wayloom.functions.text import common_characters, match_name, name_similarity
 from wayloom.operators.geo import haversine_m
 from wayloom.operators.graphs import component_roots
@@ -84,6 +86,27 @@ def test_candidates_against_all_pairs(spark):
     assert got == want and len(want) > 50 and {level for _, level in want.values()} == {"fuerte", "probable"}
 
 
+def test_places_meet_once_and_nothing_is_collected(spark, tmp_path):
+    """The distance join ran once for the pairs and once for their names, and small sides were sent through the driver."""
+    rows = [(i, f"bar {i % 7}", 35.9 + i / 1e6, 14.5) for i in range(200)]
+    spark.createDataFrame(rows, "id long, name string, lat double, lon double").write.parquet(f"{tmp_path}/places")
+    a, b = spark.read.parquet(f"{tmp_path}/places"), spark.read.parquet(f"{tmp_path}/places")
+    equal = candidate_pairs(a, b).filter("sim = 1")
+    assert equal.count() > 200
+    plan = equal._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("sequence_ratio") == 1
+    assert "Broadcast" not in equal._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ratios_are_kept_only_up_to_a_limit(spark, monkeypatch):
+    names = ["luzzu", "luz", "marina", "mara", "old harbour"]
+    pairs = [(x, y) for _ in range(3) for x in names for y in names]
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    monkeypatch.setattr(text, "RATIOS_KEPT", 2)
+    got = [r["r"] for r in df.select(text.sequence_ratio(F.col("a"), F.col("b")).alias("r")).collect()]
+    assert got == [difflib.SequenceMatcher(None, x, y).ratio() for x, y in pairs]
+
+
 def test_common_characters_count_copies(spark):
     rng = random.Random(3)
     rows = [("".join(rng.choices("ab c.", k=rng.randrange(9))), "".join(rng.choices("ab c.", k=rng.randrange(9)))) for _ in range(200)]

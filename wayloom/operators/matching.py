@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.functions.text import common_characters, match_name, name_similarity
+from wayloom.functions.text import counted_characters, match_name, name_similarity, name_tokens
 from wayloom.operators.geo import in_any_circle, within_distance
 from wayloom.operators.graphs import component_roots
 from wayloom.session import checkpointed
@@ -28,21 +28,21 @@ LOG_PATTERN = r"\[([^\]]+)\] Foursquare devolvi\S* ([0-9]+) resultados crudos"
 def candidate_pairs(left: DataFrame, right: DataFrame, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """Pairs (left_id, right_id, sim, dist_m, level) near enough and alike enough to be one place.
 
-    Both inputs hold (id, name, lat, lon). Names are compared once per distinct pair, and only pairs whose characters allow
-    the similarity that their distance asks for are compared at all: matching stretches never hold more characters than both
-    names have in common, copies counted."""
-    a = left.select(F.col("id").alias("left_id"), match_name(F.col("name")).alias("left_name"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    b = right.select(F.col("id").alias("p_id"), match_name(F.col("name")).alias("p_name"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    near = within_distance(a.filter("left_name <> ''"), b.filter("p_name <> ''"), STRONG_M)
-    la, lb = F.length("left_name"), F.length("p_name")
-    asked = F.when(F.col("dist_m") <= PROBABLE_M, PROBABLE).otherwise(STRONG)
-    possible = (2 * F.least(la, lb) >= asked * (la + lb)) & (2 * common_characters(F.col("left_name"), F.col("p_name")) >= asked * (la + lb))
-    nested = F.col("left_name").contains(F.col("p_name")) | F.col("p_name").contains(F.col("left_name"))
-    shared = F.arrays_overlap(F.split("left_name", " "), F.split("p_name", " "))
-    worth = near.filter(possible | nested | shared)
-    names = worth.select("left_name", "p_name").distinct()
-    names = names.withColumn("sim", name_similarity(F.col("left_name"), F.col("p_name"), stop))
-    scored = worth.join(names, ["left_name", "p_name"])
+    Both inputs hold (id, name, lat, lon). Places meet once; names are compared only where their characters allow the similarity
+    that the distance asks for, as matching stretches never hold more characters than both names have in common, copies counted,
+    or where they share a word that counts. Characters and words are taken apart before the places meet."""
+
+    def side(df: DataFrame, ident: str, place: str, name: str) -> DataFrame:
+        named = df.select(F.col("id").alias(ident), match_name(F.col("name")).alias(name), F.col("lat").alias(f"{place}_lat"), F.col("lon").alias(f"{place}_lon"))
+        words = F.transform(name_tokens(F.col(name), stop), lambda w: F.xxhash64(w))
+        return named.filter(F.col(name) != "").withColumns({f"{name}_characters": counted_characters(F.col(name)), f"{name}_words": words})
+
+    near = within_distance(side(left, "left_id", "c", "left_name"), side(right, "p_id", "p", "right_name"), STRONG_M)
+    la, lb = F.length("left_name"), F.length("right_name")
+    asked = F.when(F.col("dist_m") <= PROBABLE_M, PROBABLE).otherwise(STRONG) * (la + lb)
+    possible = (2 * F.least(la, lb) >= asked) & (2 * F.size(F.array_intersect("left_name_characters", "right_name_characters")) >= asked)
+    worth = near.filter(possible | F.arrays_overlap("left_name_words", "right_name_words"))
+    scored = worth.select("left_id", "p_id", "dist_m", name_similarity(F.col("left_name"), F.col("right_name"), stop).alias("sim"))
     level = F.when(F.col("sim") >= STRONG, "fuerte").when((F.col("sim") >= PROBABLE) & (F.col("dist_m") <= PROBABLE_M), "probable")
     return scored.withColumn("level", level).filter(F.col("level").isNotNull()).select(
         "left_id", F.col("p_id").alias("right_id"), "sim", "dist_m", "level"
