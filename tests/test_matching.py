@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import text
 from wayloom.functions.text import common_characters, match_name, name_similarity
+from wayloom.operators import graphs, matching
 from wayloom.operators.geo import haversine_m
 from wayloom.operators.graphs import component_roots
 from wayloom.operators.matching import STOP_WORDS, candidate_pairs, greedy_matching
+from wayloom.session import checkpointed
 
 SCHEMA = "left_id long, right_id long, sim double, dist_m double, level string"
 
@@ -42,6 +44,33 @@ def test_a_chain_of_ten_thousand_links(spark):
     assert sorted(tuple(r) for r in got.collect()) == plain(pairs)
 
 
+def test_pairs_without_chains_need_no_parts(spark, monkeypatch):
+    """All pairs were linked into parts, a dozen rounds over all places, and a part was matched in one task."""
+    rng = random.Random(9)
+    pairs = [(a, b, rng.random(), rng.random(), "x") for a in range(300) for b in rng.sample(range(400), 5)]
+    monkeypatch.setattr(matching, "component_roots", None)
+    got = greedy_matching(spark.createDataFrame(pairs, SCHEMA).repartition(4))
+    assert sorted(tuple(r) for r in got.collect()) == plain(pairs)
+
+
+def test_a_pair_that_comes_twice_is_taken_once(spark):
+    pairs = [(1, 1, 0.9, 2.0, "a"), (1, 1, 0.9, 1.0, "b"), (1, 2, 0.8, 1.0, "c"), (2, 1, 0.8, 1.0, "d"), (2, 2, 0.7, 1.0, "e"), (2, 2, 0.7, 1.0, "e")]
+    assert sorted(tuple(r) for r in greedy_matching(spark.createDataFrame(pairs, SCHEMA)).collect()) == [pairs[1], pairs[4]]
+
+
+def test_matching_collects_no_side_on_the_driver(spark, monkeypatch):
+    """Each round over the places broadcast its small sides, which stayed on the driver."""
+    def watched(df):
+        out = checkpointed(df)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    for module in (matching, graphs):
+        monkeypatch.setattr(module, "checkpointed", watched)
+    pairs = [(i, i, 1 - 2 * i / 300, 1.0, "x") for i in range(50)] + [(i + 1, i, 1 - (2 * i + 1) / 300, 1.0, "x") for i in range(50)]
+    assert sorted(tuple(r) for r in greedy_matching(spark.createDataFrame(pairs, SCHEMA).repartition(4)).collect()) == plain(pairs)
+
+
 def test_no_pairs(spark):
     assert greedy_matching(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.operators.geo import sorted_join
 from wayloom.session import checkpointed
 
 
@@ -18,11 +19,11 @@ def component_roots(links: DataFrame) -> DataFrame:
     both = checkpointed(both.distinct())
     state = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least("u", F.min("v")).alias("f")))
     while True:
-        own = state.join(state.select(F.col("node").alias("f"), F.col("f").alias("g")), "f")
-        seen = both.join(own.select(F.col("node").alias("v"), "g"), "v").groupBy(F.col("u").alias("node")).agg(F.min("g").alias("m"))
-        moves = own.join(seen, "node").select(F.explode(F.array(F.struct("node", F.least("g", "m").alias("to")), F.struct(F.col("f").alias("node"), F.col("m").alias("to")))).alias("e"))
+        own = sorted_join(state, state.select(F.col("node").alias("f"), F.col("f").alias("g")), "f")
+        seen = sorted_join(both, own.select(F.col("node").alias("v"), "g"), "v").groupBy(F.col("u").alias("node")).agg(F.min("g").alias("m"))
+        moves = sorted_join(own, seen, "node").select(F.explode(F.array(F.struct("node", F.least("g", "m").alias("to")), F.struct(F.col("f").alias("node"), F.col("m").alias("to")))).alias("e"))
         best = moves.select("e.*").groupBy("node").agg(F.min("to").alias("to"))
-        new = checkpointed(state.join(best, "node").select("node", F.least("f", "to").alias("f"), (F.col("to") < F.col("f")).alias("moved")))
+        new = checkpointed(sorted_join(state, best, "node").select("node", F.least("f", "to").alias("f"), (F.col("to") < F.col("f")).alias("moved")))
         state = new.select("node", "f")
         if new.filter("moved").isEmpty():
             return state.withColumnRenamed("f", "root")

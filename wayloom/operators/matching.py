@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.text import counted_characters, match_name, name_similarity, name_tokens
-from wayloom.operators.geo import in_any_circle, within_distance
+from wayloom.operators.geo import in_any_circle, sorted_join, within_distance
 from wayloom.operators.graphs import component_roots
 from wayloom.session import checkpointed
 
@@ -52,13 +53,40 @@ def candidate_pairs(left: DataFrame, right: DataFrame, stop: tuple[str, ...] = S
 def greedy_matching(pairs: DataFrame) -> DataFrame:
     """The one-to-one matching that takes pairs (left_id, right_id, sim, dist_m, ...) by similarity, then distance, then ids.
 
-    Pairs without a common place do not touch each other, so each connected part of the pairs is matched on its own: its rows
+    A pair that comes first for both of its places is taken in any order, so rounds take all such pairs at once and drop what
+    shares a place with them. While a round leaves at most half of the pairs another one follows; what is left by a round that
+    leaves more is a matter of chains, in which each pair waits for the next better one, and is matched part by part."""
+    rest, taken = checkpointed(pairs), []
+    n = rest.count()
+    while n:
+        before = n
+        first = checkpointed(_first_for_both(rest))
+        taken.append(first)
+        for side in ("left_id", "right_id"):
+            rest = sorted_join(rest, first.select(side), side, "left_anti")
+        rest = checkpointed(rest.select(*pairs.columns))
+        n = rest.count()
+        if 2 * n > before:
+            taken.append(_matched_by_part(rest))
+            break
+    return reduce(DataFrame.unionByName, taken, rest.limit(0))
+
+
+def _first_for_both(pairs: DataFrame) -> DataFrame:
+    """Pairs that come first in the order of the matching among all pairs of their left and among all pairs of their right place."""
+    order = F.struct(-F.col("sim"), "dist_m", "left_id", "right_id")
+    of_left = pairs.groupBy("left_id").agg(F.min_by(F.struct(*pairs.columns), order).alias("pair")).select("left_id", "pair.right_id", "pair")
+    of_right = pairs.groupBy("right_id").agg(F.min_by("left_id", order).alias("left_id"))
+    return sorted_join(of_left, of_right, ["left_id", "right_id"]).select("pair.*")
+
+
+def _matched_by_part(pairs: DataFrame) -> DataFrame:
+    """Pairs without a common place do not touch each other, so each connected part of the pairs is matched on its own: its rows
     come to one task in their order, which keeps only the places taken so far. Parts are as long as chains of places that are
     near and alike; however long a chain, there are no rounds over it."""
     ends = {side: F.concat(F.lit(f"{side}:"), F.col(f"{side}_id").cast("string")) for side in ("left", "right")}
-    pairs = checkpointed(pairs)
     roots = component_roots(pairs.select(ends["left"].alias("a"), ends["right"].alias("b")))
-    keyed = pairs.withColumn("node", ends["left"]).join(roots, "node").withColumn("_order", -F.col("sim"))
+    keyed = sorted_join(pairs.withColumn("node", ends["left"]), roots, "node").withColumn("_order", -F.col("sim"))
     dealt = keyed.repartition("root").sortWithinPartitions("root", "_order", "dist_m", "left_id", "right_id").select(*pairs.columns, "root")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
