@@ -145,3 +145,24 @@ def test_settings_are_whole(operator, want):
 
     defaults = {k: v.default for k, v in inspect.signature(getattr(M, operator)).parameters.items()}
     assert {k: defaults[k] for k in want} == want
+
+
+@pytest.mark.parametrize("family, share", [("logistic", 0.8), ("poisson", 1.0)])
+def test_boosting_learns_from_every_row_of_tables_over_the_bound(cells, monkeypatch, family, share):
+    """Growing in passes gives the trees of all rows: no row is left out for being one too many."""
+    monkeypatch.setattr(B, "KEPT_TREES", 3)
+    spec = B.Boosting(["a", "b", "c"], family, rounds=8, depth=2, rate=0.2, leaf=8, subsample=share)
+    rows = cells.withColumn("y", F.col("z" if family == "logistic" else "y"))
+    key = ["row_id", "repetition"]
+    whole = B.scored_boosting(rows, "boosting", spec, REPEATS, FOLDS).toPandas().sort_values(key)
+    passes = B.scored_boosting(rows, "boosting", spec, REPEATS, FOLDS, most_rows=120).toPandas().sort_values(key)
+    assert whole[key].values.tolist() == passes[key].values.tolist()
+    assert passes.prediction.to_numpy() == pytest.approx(whole.prediction.to_numpy(), rel=1e-9)
+
+
+def test_draws_of_a_tree_keep_their_share_and_differ_by_tree_and_fit():
+    ids = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 50_000)
+    first = B._drawn(ids, 1000, 0, 0.8)
+    assert abs(first.mean() - 0.8) < 0.01
+    for other in (B._drawn(ids, 1000, 1, 0.8), B._drawn(ids, 1001, 0, 0.8)):
+        assert abs((first & other).mean() - 0.64) < 0.01
