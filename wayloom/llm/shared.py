@@ -30,6 +30,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: it is sorted and exchanged. The planner goes by the compressed size of files and
+    exchanges, and would collect many times as much on the driver to broadcast it."""
+    return df.hint("merge")
+
+
 def _stars(edges: DataFrame) -> bool:
     below = edges.groupBy("v").agg(F.count("*").alias("n"))
     tops = edges.select(F.col("u").alias("v")).distinct().withColumn("top", F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wayloom.llm.shared import LOWER, UPPER, stored
+from wayloom.llm.shared import LOWER, UPPER, sorted_side, stored
 
 #: Rules as host and path, and their verdict.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -64,7 +64,7 @@ def language_models(labelled: DataFrame, grams: DataFrame, order: int = ORDER) -
         F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum(F.signum("a")).cast("long").alias("ta"), F.sum(F.signum("b")).cast("long").alias("tb")
     )
     asked = grams.select("gram").distinct().select("gram", levels).select("gram", "k", F.expr(f"substring(gram, {n} - k + 1, k)").alias("tail"), F.expr(f"substring(gram, {n} - k + 1, k - 1)").alias("context"))
-    joined = asked.join(tails, ["k", "tail"], "left").join(contexts, ["k", "context"], "left").na.fill(0)
+    joined = asked.join(sorted_side(tails), ["k", "tail"], "left").join(sorted_side(contexts), ["k", "context"], "left").na.fill(0)
     steps = joined.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "a", "b", "na", "nb", "ta", "tb"))).alias("s"))
     chance = "aggregate(s, 0.00390625D, (p, x) -> if(x.n{c} = 0, p, (x.{c} + x.t{c} * p) / (x.n{c} + x.t{c})))"
     return steps.select("gram", F.round((F.log(F.expr(chance.format(c="a"))) - F.log(F.expr(chance.format(c="b")))) * UNIT).cast("long").alias("ratio"))
@@ -72,8 +72,8 @@ def language_models(labelled: DataFrame, grams: DataFrame, order: int = ORDER) -
 
 def scored(urls: DataFrame, models: DataFrame, order: int = ORDER) -> DataFrame:
     """urls with score: the mean ratio of their characters. The sums are whole numbers, so they do not depend on order."""
-    sums = _grams(urls, order).join(models, "gram").groupBy("host", "path").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
-    return urls.join(sums, ["host", "path"]).withColumn("score", F.col("total") / F.col("n") / UNIT)
+    sums = _grams(urls, order).join(sorted_side(models), "gram").groupBy("host", "path").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
+    return urls.join(sorted_side(sums), ["host", "path"]).withColumn("score", F.col("total") / F.col("n") / UNIT)
 
 
 def calibrated(held: DataFrame) -> float:
@@ -114,7 +114,7 @@ def url_filter(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     else:
         open_urls = urls.filter(F.col("verdict").isNull()).select("host", "path", F.lit(None).cast("double").alias("score"), F.lit("allow").alias("guess"))
     ruled = rows.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    return ruled.join(open_urls, ["host", "path"], "left").select("page_id", "host", "path", "r.rule", F.coalesce("r.verdict", "guess").alias("verdict"), "score")
+    return ruled.join(sorted_side(open_urls), ["host", "path"], "left").select("page_id", "host", "path", "r.rule", F.coalesce("r.verdict", "guess").alias("verdict"), "score")
 
 
 def url_sql(rules=RULES, order: int = ORDER) -> str:
