@@ -315,3 +315,18 @@ def test_nearest_street_is_exchanged_and_right(stored_cloud):
     for r in rows:
         best = min((gap(r["lat"], r["lon"], a, b), i) for i, a, b in sides)
         assert (r["calle"] == "") if best[0] > B.STREET_M else r["calle_m"] == pytest.approx(best[0], abs=1e-6)
+
+
+def test_pairs_of_points_and_streets_are_not_sorted_for_the_nearest(stored_cloud):
+    """The least distance is kept by position: an aggregate by sorting would write all pairs to disk. Equally near streets: the lowest id."""
+    points = stored_cloud.select("id", "lat", "lon")
+    end = F.struct((F.col("lat") + 0.002).alias("lat"), (F.col("lon") + 0.001).alias("lon"))
+    name = F.create_map(F.lit("name"), F.concat(F.lit("Triq "), F.col("way").cast("string")))
+    twice = stored_cloud.filter("id % 9 = 0").withColumn("way", F.explode(F.array(F.col("id") + 100_000, F.col("id"))))
+    ways = twice.select(F.lit("way").alias("type"), F.col("way").alias("id"), name.alias("tags"), F.array(F.struct("lat", "lon"), end).alias("geometry"))
+    out = B.nearest_street(points, ways)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "SortAggregate" in line and "dist_m" in line]
+    rows = out.collect()
+    assert len(rows) == points.count() and any(r["calle"] for r in rows)
+    assert all(not r["calle"] or int(r["calle"].split()[1]) < 100_000 for r in rows)

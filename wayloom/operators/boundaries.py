@@ -147,9 +147,8 @@ def segment_distance_m(lat: Column, lon: Column, lon_scale: Column) -> Column:
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
 
 
-def sides_within(positions: DataFrame, sides: DataFrame, max_m: float, lon_scale: Column) -> DataFrame:
-    """Sides no further than `max_m` from each position, joined by tiles as wide as that. Both are exchanged: the planner would
-    collect sides by the million for the size of their file, and meet them in as few tasks as the positions' file has parts."""
+def _tiled(positions: DataFrame, sides: DataFrame, max_m: float) -> tuple[DataFrame, DataFrame]:
+    """Positions in their tile, which is as wide as the reach, and sides in every tile they may be near to."""
     step = max_m / M_PER_DEG_LAT
     margin_y = max_m / 110_000.0
     margin_x = F.lit(margin_y * 1.1) / F.cos(F.radians(F.greatest(F.abs("y1"), F.abs("y2"))))
@@ -157,8 +156,13 @@ def sides_within(positions: DataFrame, sides: DataFrame, max_m: float, lon_scale
         F.least("y1", "y2") - margin_y, F.greatest("y1", "y2") + margin_y, F.least("x1", "x2") - margin_x, F.greatest("x1", "x2") + margin_x, step
     )
     spread = sides.withColumn("_t", F.explode(tiles)).withColumns({"ti": F.col("_t.ti"), "tj": F.col("_t.tj")}).drop("_t")
-    tiled = positions.withColumns({"ti": F.floor(F.col("lat") / step), "tj": F.floor(F.col("lon") / step)})
-    near = sorted_join(tiled, spread, ["ti", "tj"]).drop("ti", "tj")
+    return positions.withColumns({"ti": F.floor(F.col("lat") / step), "tj": F.floor(F.col("lon") / step)}), spread
+
+
+def sides_within(positions: DataFrame, sides: DataFrame, max_m: float, lon_scale: Column) -> DataFrame:
+    """Sides no further than `max_m` from each position, joined by tiles as wide as that. Both are exchanged: the planner would
+    collect sides by the million for the size of their file, and meet them in as few tasks as the positions' file has parts."""
+    near = sorted_join(*_tiled(positions, sides, max_m), ["ti", "tj"]).drop("ti", "tj")
     return near.withColumn("dist_m", segment_distance_m(F.col("lat"), F.col("lon"), lon_scale)).filter(F.col("dist_m") <= max_m)
 
 
@@ -192,12 +196,16 @@ def street_sides(ways: DataFrame) -> DataFrame:
 
 
 def nearest_street(points: DataFrame, ways: DataFrame, max_m: float = STREET_M, ref_lat: float = (SOUTH + NORTH) / 2) -> DataFrame:
-    """Adds calle and calle_m: the named street nearest to each point, empty when none is within reach."""
+    """Adds calle and calle_m: the named street nearest to each point, empty when none is within reach; the lowest id of equally
+    near ones. Pairs of positions and sides are gone through twice, for the least distance and for what lies at it: the first is
+    a number, which is kept by position, while a least pair of distance and name would have all pairs sorted on disk."""
     scale = F.lit(M_PER_DEG_LAT * math.cos(math.radians(ref_lat)))
-    near = sides_within(points.select("lat", "lon").distinct(), street_sides(ways), max_m, scale)
-    best = near.groupBy("lat", "lon").agg(
-        F.min_by("street", F.struct("dist_m", "id")).alias("calle"), F.min("dist_m").alias("calle_m")
-    )
+    tiled, spread = _tiled(points.select("lat", "lon").distinct(), street_sides(ways), max_m)
+    place, gap = ["ti", "tj", "lat", "lon"], segment_distance_m(F.col("lat"), F.col("lon"), scale)
+    near = sorted_join(tiled, spread, ["ti", "tj"]).withColumn("dist_m", gap).filter(F.col("dist_m") <= max_m)
+    least = near.groupBy(*place).agg(F.min("dist_m").alias("calle_m"))
+    hits = sorted_join(least, spread, ["ti", "tj"]).filter(gap == F.col("calle_m"))
+    best = hits.groupBy(*place, "calle_m").agg(F.min_by("street", "id").alias("calle")).select("lat", "lon", "calle", "calle_m")
     return sorted_join(points, best, ["lat", "lon"], "left").na.fill("", ["calle"])
 
 
